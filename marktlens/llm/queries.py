@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marktlens.llm import simhash
+from marktlens.llm import mixing, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,44 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_removed_units", "n_removed_chars", "removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(table(spark, sf_dir, "documents"), target_entropy=0.95, blocks=64, seed=1)
+    return drawn.select("doc_id", "source", "tokens", "epoch", "block", "start", F.col("order").alias("order_key"))
+
+
+#: The same mixing in DuckDB: shares, fifty halvings of the exponent, quotas, then running sums over each permutation.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^	- ]+')) AS BIGINT) AS tokens FROM documents
+), s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS source_tokens FROM d GROUP BY source HAVING sum(tokens) > 0),
+p AS (SELECT source, source_tokens, source_tokens / CAST((SELECT sum(source_tokens) FROM s) AS DOUBLE) AS p FROM s),
+bis(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(8 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+      (SELECT ln(sum(pow(p.p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p.p, (lo + hi) / 2) * ln(p.p)) / sum(pow(p.p, (lo + hi) / 2)) >= 0.95 * ln(count(*)) FROM p) AS ok
+    FROM bis WHERE i < 50)
+), a AS (SELECT lo AS a FROM bis WHERE i = 50),
+w AS (SELECT source, source_tokens, pow(p.p, a.a) / (SELECT sum(pow(p.p, a.a)) FROM p, a) AS weight FROM p, a),
+q AS (SELECT *, CAST(round(weight * (SELECT max(source_tokens / weight) FROM w)) AS BIGINT) AS quota FROM w),
+e AS (SELECT *, quota // source_tokens AS epochs, quota % source_tokens AS part FROM q),
+x AS (
+  SELECT d.doc_id, d.source, d.tokens, epochs, part, quota, source_tokens,
+    unnest(generate_series(0, CASE WHEN d.tokens = 0 THEN 0 ELSE epochs - CASE WHEN part = 0 THEN 1 ELSE 0 END END)) AS epoch
+  FROM d LEFT JOIN e USING (source)
+), r AS (SELECT *, md5(concat('1:', doc_id, ':', epoch)) AS order_key FROM x),
+pc AS (SELECT *, CAST(concat('0x', substr(order_key, 1, 4)) AS INT) % 1024 AS piece FROM r),
+c AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY piece, order_key, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM pc),
+k AS (SELECT *, CAST(epoch * coalesce(source_tokens, 0) + upto - tokens AS BIGINT) AS start FROM c WHERE tokens = 0 OR epoch < epochs OR upto <= part)
+SELECT doc_id, source, tokens, CAST(epoch AS INT) AS epoch, CAST(least(coalesce(start * 64 // quota, 0), 63) AS INT) AS block, start, order_key FROM k
+"""
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_source_mixing": op3_source_mixing, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
