@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm import mixing, simhash, substrings
+from marktlens.llm import mixing, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same mixing in DuckDB: shares, fifty halvings of the exponent, quotas, then running sums over each permutation.
 OP3_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^	- ]+')) AS BIGINT) AS tokens FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^	-
+ ]+')) AS BIGINT) AS tokens FROM documents
 ), s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS source_tokens FROM d GROUP BY source HAVING sum(tokens) > 0),
 p AS (SELECT source, source_tokens, source_tokens / CAST((SELECT sum(source_tokens) FROM s) AS DOUBLE) AS p FROM s),
 bis(i, lo, hi) AS (
@@ -55,5 +56,12 @@ SELECT doc_id, source, tokens, CAST(epoch AS INT) AS epoch, CAST(least(coalesce(
 """
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_source_mixing": op3_source_mixing, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op10_simhash_near_dedup": op10_simhash_near_dedup}
 ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
