@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm import mixing, simhash, substrings, toxicity
+from marktlens.llm import mixing, pieces, simhash, substrings, toxicity, wordpiece
+
+
+#: A parameter of the queries: where the public tokenizers' vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +67,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted", F.size("passages").alias("n_passages"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.count_tokens(docs, f"{TOKENIZERS}/piece_bpe_32k.model").drop("text")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op10_simhash_near_dedup": op10_simhash_near_dedup}
 ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
