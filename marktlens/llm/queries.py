@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm import mixing, pieces, simhash, substrings, toxicity, wordpiece
+from marktlens.llm import embeddings, hamming, mixing, pieces, simhash, substrings, toxicity, wordpiece
 
 
 #: A parameter of the queries: where the public tokenizers' vocabulary files are.
@@ -25,6 +25,41 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_removed_units", "n_removed_chars", "removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs, and for the components the closure of their links.
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93
+), r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = e.vec_id) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.vec_id = e.vec_id
+"""
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming.top_k(codes, codes.filter("vec_id % 20 = 0"), k=10)
+
+
+OP6_SQL = """
+WITH c AS (
+  SELECT vec_id, list_aggregate(list_transform(range(64), lambda i: CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END), 'sum') AS code
+  FROM embeddings WHERE embedding IS NOT NULL
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code)) AS distance FROM c q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(distance AS INT) AS distance FROM r WHERE rank <= 10
+"""
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draw(table(spark, sf_dir, "documents"), target_entropy=0.95, blocks=64, seed=1)
     return drawn.select("doc_id", "source", "tokens", "epoch", "block", "start", F.col("order").alias("order_key"))
@@ -76,5 +111,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(docs, f"{TOKENIZERS}/piece_bpe_32k.model").drop("text")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op10_simhash_near_dedup": op10_simhash_near_dedup}
-ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_topk_search": OP6_SQL}
