@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm import embeddings, hamming, mixing, pieces, simhash, substrings, suffixes, toxicity, wordpiece
+from marktlens.llm import embeddings, hamming, mixing, pieces, pseudolikelihood, simhash, substrings, suffixes, toxicity, wordpiece
 
 
 #: A parameter of the queries: where the public tokenizers' vocabulary files are.
@@ -116,5 +116,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(docs, f"{TOKENIZERS}/piece_bpe_32k.model").drop("text")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudolikelihood.score(docs, *pseudolikelihood.train(docs))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op9_lm_scoring": op9_lm_scoring, "op10_simhash_near_dedup": op10_simhash_near_dedup}
 ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_topk_search": OP6_SQL}
