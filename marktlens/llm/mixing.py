@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marktlens.llm.common import checkpoint
+from marktlens.llm.common import SALTS, checkpoint, salted
 
 #: Tokens are runs of characters other than ASCII white space.
 TOKEN = r"[^\x09-\x0D\x20]+"
@@ -90,9 +90,9 @@ def draw(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     name = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "source", name.alias("_s"), tokens.alias("tokens"))
     rows = checkpoint(rows)
-    # bounded only by the number of sources: planned as an ordinary join, whose hot source is split when it runs
-    made = weights(rows, target_entropy, max_repeats, budget)
-    rows = rows.join(made, "_s", "left")
+    # every source's weights are there once for each salt, so that the rows of a hot source are dealt to many tasks
+    made = weights(rows, target_entropy, max_repeats, budget).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = salted(rows, "doc_id", "row_key").join(made, ["_s", "_salt"], "left").drop("_salt")
     last = F.when(F.col("tokens") == 0, 0).otherwise(F.coalesce(F.expr("epochs - if(part = 0, 1, 0)"), F.lit(0)))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("epoch").cast("string")))
