@@ -1,6 +1,284 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries and their DuckDB oracles: Spark runs the library's operators, DuckDB hand-written SQL over the same views."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marktlens.functions import geo, text
+from marktlens.functions import window_time as wt
+from marktlens.operators import aggregates as ag
+from marktlens.operators import filters, joins, merge, ranking
+from marktlens.plans import dashboards, expansion, gate, lists, pacing
+from marktlens.sources.tables import Tables, with_ctes
+
+AS_OF = "2001-12-31 00:00:00"
+NOW = "2025-04-17 10:30:00"  # a Thursday before a holiday
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, make: Callable[[Tables], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+    if sql:
+        ORACLES[name] = with_ctes(sql)
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# Eligible contacts of every campaign that are still to be written to.
+CANDIDATES = f"""
+SELECT c.id AS campaign_id, sl.contact_id, sl.rate, sl.rate_cb
+FROM campaign c JOIN task t ON t.id = c.sending_list_id JOIN sending_list sl ON sl.task_id = t.id JOIN contact ac ON ac.id = sl.contact_id
+LEFT JOIN (SELECT campaign_id, contact_id, MAX(COALESCE(processed_at, created_at)) AS sent_at FROM sending_log WHERE processed AND status = 'SEND' GROUP BY ALL) ps
+  ON ps.campaign_id = c.campaign_parent_id AND ps.contact_id = sl.contact_id
+WHERE COALESCE(sl.removed, FALSE) = FALSE AND sl.rate IS NOT NULL AND sl.rate <= t.rate_limit AND COALESCE(ac.blocked, FALSE) = FALSE AND COALESCE(ac.wrong_email, FALSE) = FALSE
+  AND (c.campaign_parent_id IS NULL OR ps.sent_at <= TIMESTAMP '{AS_OF}' - c.send_after_parent_days * INTERVAL 1 DAY)
+  AND NOT EXISTS (SELECT 1 FROM sending_log lg WHERE lg.campaign_id = c.id AND lg.contact_id = sl.contact_id)
+"""
+
+
+def found(t: Tables) -> DataFrame:
+    return ranking.candidates(t.campaign, t.task, t.sending_list, t.contact, t.sending_log, AS_OF)
+
+
+# --- figures -------------------------------------------------------------------------------------------------------------
+
+query("A1_list_stats", lambda t: ag.list_stats(t.sending_list, t.task), """
+SELECT sl.task_id, count(*) AS total, count(sl.rate) AS rated, count(*) FILTER (WHERE sl.rate IS NULL) AS unrated, count(*) FILTER (WHERE sl.rate <= t.rate_limit) AS good, count(*) FILTER (WHERE sl.rate > t.rate_limit) AS bad
+FROM sending_list sl JOIN task t ON t.id = sl.task_id WHERE NOT coalesce(sl.removed, false) GROUP BY sl.task_id""")
+query("A2_list_status", lambda t: ag.list_status(t.sending_list, t.task), """
+SELECT sl.task_id, count(*) AS total, count(rate) AS rated, count(*) - count(rate) AS unrated, CAST(max(rate) AS BIGINT) AS max_rate, CAST(floor(count(rate) * 100.0 / count(*)) AS BIGINT) AS percent,
+  CASE WHEN count(rate) = count(*) THEN 'completed' WHEN any_value(t.user_active AND NOT t.archived) THEN 'run' ELSE 'paused' END AS state
+FROM sending_list sl JOIN task t ON t.id = sl.task_id WHERE NOT coalesce(removed, false) GROUP BY sl.task_id""")
+query("A3_sent_per_campaign", lambda t: ag.sent_per_campaign(t.sending_log), "SELECT campaign_id, count(*) AS sent FROM sending_log WHERE status = 'SEND' GROUP BY campaign_id")
+query("A4_unique_viewers", lambda t: ag.unique_viewers(t.click, t.sending_log), "SELECT lg.campaign_id, count(DISTINCT lg.contact_id) AS viewers FROM click c JOIN sending_log lg ON lg.id = c.letter_id GROUP BY lg.campaign_id")
+query("A5_site_clicks", lambda t: ag.site_clicks(t.click, t.sending_log), "SELECT lg.campaign_id, lg.contact_id, max(c.time) AS seen_at, count(*) AS clicks FROM click c JOIN sending_log lg ON lg.id = c.letter_id GROUP BY ALL")
+query("A6_group_count", lambda t: ag.group_count(t.click, t.sending_log), "SELECT count(*) AS n_groups FROM (SELECT lg.campaign_id, lg.contact_id FROM click c JOIN sending_log lg ON lg.id = c.letter_id GROUP BY ALL)")
+query("A7_total_sent_left", lambda t: ag.totals(t.campaign, t.sending_list, t.sending_log), """
+SELECT c.id AS campaign_id, coalesce(n.total, 0) AS total, coalesce(s.sent, 0) AS sent, greatest(0, coalesce(n.total, 0) - coalesce(s.sent, 0)) AS left_over
+FROM campaign c LEFT JOIN (SELECT task_id, count(*) AS total FROM sending_list WHERE NOT coalesce(removed, false) GROUP BY 1) n ON n.task_id = c.sending_list_id
+LEFT JOIN (SELECT campaign_id, count(*) AS sent FROM sending_log WHERE status = 'SEND' GROUP BY 1) s ON s.campaign_id = c.id""")
+query("A8_send_success", lambda t: ag.send_success(t.sending_log), "SELECT campaign_id, count(*) AS total, count(*) FILTER (WHERE upper(coalesce(status, '')) = 'SEND') AS ok, count(*) FILTER (WHERE upper(coalesce(status, '')) = 'SEND') / count(*) AS share FROM sending_log GROUP BY 1")
+query("A9_pending_per_campaign", lambda t: dashboards.pending(t.campaign, t.task, t.sending_list, t.contact, t.sending_log, AS_OF), f"SELECT c.id AS campaign_id, coalesce(n.pending, 0) AS pending FROM campaign c LEFT JOIN (SELECT campaign_id, count(*) AS pending FROM ({CANDIDATES}) GROUP BY 1) n ON n.campaign_id = c.id")
+query("A10_parent_last_send", lambda t: ag.parent_last_send(t.campaign, t.sending_log), "SELECT campaign_id, contact_id, max(coalesce(processed_at, created_at)) AS parent_sent_at FROM sending_log WHERE processed AND status = 'SEND' AND campaign_id IN (SELECT campaign_parent_id FROM campaign WHERE campaign_parent_id IS NOT NULL) GROUP BY ALL")
+query("A11_sent_recount", lambda t: ag.sent_recount(t.campaign, t.sending_log, t.campaign.select(F.col("id").alias("campaign_id"), (F.col("id") % 3).alias("sent_num"))), """
+SELECT c.id AS campaign_id, coalesce(n, 0) AS sent_num FROM campaign c LEFT JOIN (SELECT campaign_id, count(*) AS n FROM sending_log WHERE processed GROUP BY 1) s ON s.campaign_id = c.id WHERE coalesce(n, 0) <> c.id % 3""")
+query("A12_plz_best_rate", lambda t: ag.plz_best_rate(t.task_city_rating, t.city_plz), "SELECT r.task_id, m.plz, CAST(min(r.rate) AS BIGINT) AS rate FROM task_city_rating r JOIN city_plz m USING (city_id) WHERE r.rate IS NOT NULL GROUP BY ALL")
+query("A13_rated_places", lambda t: ag.plz_best_rate(t.task_city_rating, t.city_plz).groupBy("task_id").agg(F.countDistinct("plz").alias("places")), "SELECT r.task_id, count(DISTINCT m.plz) AS places FROM task_city_rating r JOIN city_plz m USING (city_id) WHERE r.rate IS NOT NULL GROUP BY 1")
+query("A14_fingerprint_text", lambda t: ag.fingerprint_text(t.task_branch_rating, "branch_id"), "SELECT task_id, string_agg(concat(branch_id, ':', coalesce(CAST(rate AS VARCHAR), '')), '|' ORDER BY branch_id) AS fingerprint FROM task_branch_rating GROUP BY 1")
+query("A15_contacts_per_branch", lambda t: ag.contacts_per_branch(t.pair, t.pair_contact, t.task_pair), "SELECT tp.task_id, p.branch_id, CAST(sum(n.n) AS BIGINT) AS contacts FROM task_pair tp JOIN (SELECT cb_id, count(*) AS n FROM pair_contact GROUP BY 1) n USING (cb_id) JOIN pair p ON p.id = tp.cb_id GROUP BY ALL HAVING sum(n.n) > 0")
+query("A16_contacts_per_city", lambda t: ag.contacts_per_city(t.pair, t.pair_contact, t.plz, t.city_plz), """
+SELECT m.city_id, CAST(sum(n.n) AS BIGINT) AS contacts FROM pair p JOIN (SELECT cb_id, count(*) AS n FROM pair_contact GROUP BY 1) n ON n.cb_id = p.id
+JOIN plz z ON z.id = p.plz_id JOIN (SELECT plz, min(city_id) AS city_id FROM city_plz GROUP BY 1) m ON m.plz = z.plz GROUP BY 1""")
+query("A17_branch_collapse", lambda t: ag.collapse_branches(
+    t.task_branch_rating.join(t.branch, F.col("branch_id") == F.col("id")).select("id", F.when(F.col("id") % 2 == 0, F.upper(F.concat(F.lit("Straße "), (F.col("id") % 7).cast("string")))).otherwise(F.concat(F.lit("straße "), (F.col("id") % 7).cast("string"))).alias("name"), F.col("rate").cast("long").alias("rate"), F.lit(1).alias("n"), "task_id"),
+    "name", ["task_id", "id"]).select("title", "rate", "n", F.size("ids").cast("long").alias("n_ids"), F.get("ids", F.lit(0)).alias("first_id")), """
+WITH r AS (SELECT b.id, replace(lower(CASE WHEN b.id % 2 = 0 THEN upper(concat('Straße ', b.id % 7)) ELSE concat('straße ', b.id % 7) END), 'ß', 'ss') AS title, CAST(r.rate AS BIGINT) AS rate, r.task_id FROM task_branch_rating r JOIN branch b ON b.id = r.branch_id)
+SELECT title, arg_min_null(rate, (task_id, id)) AS rate, count(*) AS n, count(*) AS n_ids, arg_min(id, (task_id, id)) AS first_id FROM r GROUP BY title""")
+query("A18_hash_mismatch", lambda t: ag.hash_mismatch(
+    t.task_branch_rating.withColumn("hash_task", F.when(F.col("branch_id") % 10 < 8, F.col("task_id") % 5)), t.task.select(F.col("id").alias("task_id"), (F.col("id") % 5 + F.when(F.col("id") % 4 == 0, 1).otherwise(0)).alias("hash")), 8), """
+SELECT r.task_id, count(r.rate) AS rated, bool_or(r.rate IS NOT NULL AND (CASE WHEN branch_id % 10 < 8 THEN r.task_id % 5 END) IS DISTINCT FROM (r.task_id % 5 + CASE WHEN r.task_id % 4 = 0 THEN 1 ELSE 0 END)) AS mismatch,
+  bool_or(r.rate IS NOT NULL AND (CASE WHEN branch_id % 10 < 8 THEN r.task_id % 5 END) IS DISTINCT FROM (r.task_id % 5 + CASE WHEN r.task_id % 4 = 0 THEN 1 ELSE 0 END)) AND count(r.rate) <= 8 AS offer
+FROM task_branch_rating r JOIN task t ON t.id = r.task_id GROUP BY 1""")
+query("A19_contact_flags", lambda t: ag.contact_flags(t.sending_list), "SELECT contact_id, bool_or(coalesce(removed, false)) AS any_removed, bool_or(NOT coalesce(removed, false)) AS any_listed FROM sending_list GROUP BY 1")
+query("A20_sorted_arrays", lambda t: ag.contact_arrays(t.sending_list, t.task, t.sending_log).select("contact_id", F.array_join("titles", "|").alias("titles"), F.array_join(F.transform("sent_at", lambda x: F.date_format(x, "yyyy-MM-dd")), "|").alias("sent_days")), """
+SELECT l.contact_id, l.titles, coalesce(s.days, '') AS sent_days
+FROM (SELECT sl.contact_id, string_agg(DISTINCT t.title, '|' ORDER BY t.title) AS titles FROM sending_list sl JOIN task t ON t.id = sl.task_id GROUP BY 1) l
+LEFT JOIN (SELECT contact_id, string_agg(strftime(sent, '%Y-%m-%d'), '|' ORDER BY sent DESC) AS days FROM (SELECT DISTINCT contact_id, coalesce(processed_at, created_at) AS sent FROM sending_log WHERE status = 'SEND') GROUP BY 1) s ON s.contact_id = l.contact_id""")
+query("A21_changed_tasks", lambda t: merge.update_changed(t.task.select("id", "rate_limit"), t.task.select("id", F.when(F.col("id") % 3 == 0, F.lit(40)).otherwise(F.col("rate_limit")).alias("rate_limit")), ["id"], ["rate_limit"]).agg(F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string")), ",").alias("ids")), "SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM task WHERE id % 3 = 0 AND rate_limit <> 40")
+query("A22_last_n_quality", lambda t: ag.last_n_quality(t.sending_list, t.task, 10), """
+SELECT r.task_id, count(*) FILTER (WHERE r.rate < t.rate_limit) AS good, count(*) FILTER (WHERE r.rate >= t.rate_limit) AS bad, count(*) AS total
+FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY updated_at DESC NULLS LAST, contact_id DESC) AS rn FROM sending_list WHERE rate IS NOT NULL) r JOIN task t ON t.id = r.task_id WHERE rn <= 10 GROUP BY 1""")
+query("A23_rated_good", lambda t: t.sending_list.filter("rate is not null").join(t.task.select(F.col("id").alias("task_id"), "rate_limit"), "task_id").groupBy("task_id").agg(F.count("*").alias("rated"), F.count_if(F.expr("rate < rate_limit")).alias("good")), "SELECT sl.task_id, count(*) AS rated, count(*) FILTER (WHERE sl.rate < t.rate_limit) AS good FROM sending_list sl JOIN task t ON t.id = sl.task_id WHERE sl.rate IS NOT NULL GROUP BY 1")
+query("A24_geo_rollup", lambda t: ag.geo_rollup(t.city), "SELECT state_name, count(*) AS cities, CAST(sum(pop_total) AS BIGINT) AS population, CAST(grouping(state_name) AS BIGINT) AS level FROM city GROUP BY ROLLUP (state_name)")
+query("A25_first_and_plz_list", lambda t: ag.city_codes(t.city, t.city_plz).withColumn("plz_list", F.array_join("plz_list", ",")), "SELECT c.id, min(c.name) AS name, coalesce(string_agg(DISTINCT m.plz, ',' ORDER BY m.plz), '') AS plz_list FROM city c LEFT JOIN city_plz m ON m.city_id = c.id GROUP BY 1")
+
+
+def demand(t: Tables) -> DataFrame:
+    """Campaigns with made-up figures of what they sent and need."""
+    return t.campaign.select("sending_list_id", F.col("sending_list_id").alias("task_id"), (F.col("id") % 4).alias("sent_num"), (F.col("id") % 23).alias("to_send_num"), (F.col("id") % 17 == 0).alias("archived"))
+
+
+DEMAND = "SELECT sending_list_id AS task_id, id % 4 AS sent_num, id % 23 AS to_send_num, id % 17 = 0 AS archived FROM campaign"
+query("A28_max_deficit", lambda t: ag.max_deficit(demand(t).drop("sending_list_id"), t.sending_list.filter("rate < 50").groupBy("task_id").agg(F.count("*").alias("good"))), f"""
+SELECT d.task_id, max(greatest(0, d.to_send_num - greatest(0, coalesce(g.good, 0) - d.sent_num))) AS deficit FROM ({DEMAND}) d LEFT JOIN (SELECT task_id, count(*) AS good FROM sending_list WHERE rate < 50 GROUP BY 1) g USING (task_id) GROUP BY 1""")
+query("A29_rating_progress", lambda t: ag.rating_progress(t.task_city_rating), "SELECT task_id, count(rate) AS rated, count(*) - count(rate) AS unrated, CAST(floor(count(rate) * 100.0 / count(*)) AS BIGINT) AS percent FROM task_city_rating GROUP BY 1")
+query("A30_gate_percent", lambda t: ag.last_n_quality(t.sending_list, t.task, 10).select("task_id", F.bround(F.col("good") * 100 / F.col("total")).cast("long").alias("percent")), """
+SELECT r.task_id, CAST(round_even(count(*) FILTER (WHERE r.rate < t.rate_limit) * 100.0 / count(*), 0) AS BIGINT) AS percent
+FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY updated_at DESC NULLS LAST, contact_id DESC) AS rn FROM sending_list WHERE rate IS NOT NULL) r JOIN task t ON t.id = r.task_id WHERE rn <= 10 GROUP BY 1""")
+
+# --- best rows, orders, pages ----------------------------------------------------------------------------------------------
+
+RN = "row_number() OVER (PARTITION BY {} ORDER BY {}) AS rn"
+SEND = "rate ASC NULLS LAST, rate_cb ASC NULLS LAST, contact_id"
+query("W1_planned_top8", lambda t: ranking.planned(found(t)).select("campaign_id", "contact_id", "rn"), f"SELECT campaign_id, contact_id, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('campaign_id', SEND)} FROM ({CANDIDATES})) WHERE rn <= 8")
+query("W2_recent_top3", lambda t: ranking.recent_sends(t.sending_log).select("campaign_id", "id", "sent_at", "rn"), f"SELECT campaign_id, id, sent_at, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('campaign_id', 'sent_at DESC, id DESC, contact_id')} FROM (SELECT *, coalesce(processed_at, created_at) AS sent_at FROM sending_log)) WHERE rn <= 3")
+query("W3_best_pair_per_contact", lambda t: ranking.best_pair(t.task_pair, t.pair_contact).select("task_id", "contact_id", "cb_id", "rate"), "SELECT DISTINCT ON (tp.task_id, pc.contact_id) tp.task_id, pc.contact_id, tp.cb_id, tp.rate FROM task_pair tp JOIN pair_contact pc USING (cb_id) ORDER BY tp.task_id, pc.contact_id, tp.rate ASC NULLS LAST, tp.id")
+query("W4_latest_health", lambda t: ranking.latest_health(t.mailbox_event), "SELECT DISTINCT ON (mailbox_id, action) mailbox_id, action, status, created_at FROM mailbox_event ORDER BY mailbox_id, action, created_at DESC, event_id DESC")
+query("W5_latest_check", lambda t: ranking.latest_health(t.mailbox_event.filter("action = 'IMAP_CHECK'")).select("mailbox_id", "status"), "SELECT mailbox_id, arg_max(status, (created_at, event_id)) AS status FROM mailbox_event WHERE action = 'IMAP_CHECK' GROUP BY 1")
+query("W6_last_pair", lambda t: ranking.last_pair(t.pair_contact), "SELECT contact_id, max(cb_id) AS cb_id FROM pair_contact GROUP BY 1")
+query("W7_pair_count", lambda t: t.task_pair.groupBy("task_id").agg(F.count("*").alias("pairs")), "SELECT task_id, count(*) AS pairs FROM task_pair GROUP BY 1")
+query("W8_keep_first", lambda t: joins.in_order_best(t.orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey")
+query("L1_queue_head", lambda t: ranking.queue_head(joins.pair_queue(t.task_pair, t.pair, t.plz, t.branch)).select("task_id", "id", "rate", "plz", "catalog", "rn"), f"SELECT task_id, id, rate, plz, catalog, CAST(rn AS INT) AS rn FROM (SELECT tp.task_id, tp.id, tp.rate, z.plz, b.catalog, {RN.format('tp.task_id', 'tp.rate ASC NULLS LAST, tp.id')} FROM task_pair tp JOIN pair p ON p.id = tp.cb_id JOIN plz z ON z.id = p.plz_id JOIN branch b ON b.id = p.branch_id WHERE p.collected = false) WHERE rn <= 5")
+query("L2_send_order", lambda t: ranking.first_rows(found(t), ["campaign_id"], ranking.send_order(), 200).select("campaign_id", "contact_id", "rn"), f"SELECT campaign_id, contact_id, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('campaign_id', SEND)} FROM ({CANDIDATES})) WHERE rn <= 200")
+query("L3_page", lambda t: ranking.page(t.contact.select("id", "company_name"), [F.col("id")], 7, 25), "SELECT id, company_name FROM contact ORDER BY id LIMIT 25 OFFSET (SELECT (least(7, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT))) - 1) * 25 FROM contact)")
+query("L5_rehash_allowed", lambda t: t.sending_list.groupBy("task_id").agg((F.count("rate") <= 10).alias("allowed")), "SELECT task_id, count(rate) <= 10 AS allowed FROM sending_list GROUP BY 1")
+query("L6_backlog", lambda t: expansion.window_size(t.task_pair, t.pair), "SELECT tp.task_id, count(*) AS n, count(*) FILTER (WHERE NOT p.collected AND tp.rate > 0) AS waiting, CASE WHEN count(*) FILTER (WHERE NOT p.collected AND tp.rate > 0) < 5000 THEN count(*) + 5000 ELSE count(*) END AS wanted FROM task_pair tp JOIN pair p ON p.id = tp.cb_id GROUP BY 1")
+query("L7_rating_batch", lambda t: ranking.rating_batch(t.sending_list, t.task, t.workspace).select("task_id", "contact_id", "rn"), f"SELECT task_id, contact_id, CAST(rn AS INT) AS rn FROM (SELECT sl.task_id, sl.contact_id, w.access_type, {RN.format('sl.task_id', 'sl.rate_cb ASC NULLS LAST, sl.contact_id')} FROM sending_list sl JOIN task t ON t.id = sl.task_id JOIN workspace w ON w.id = t.workspace_id WHERE NOT coalesce(sl.removed, false) AND sl.rate IS NULL) WHERE rn <= CASE WHEN access_type = 'test' THEN 20 ELSE 50 END")
+
+BEFORE = """SELECT tp.* FROM task_pair tp JOIN pair p ON p.id = tp.cb_id LEFT JOIN (SELECT tp.task_id, min((coalesce(CAST(tp.rate AS BIGINT), {n}), tp.id)) AS hole FROM task_pair tp JOIN pair p ON p.id = tp.cb_id WHERE p.collected = false GROUP BY 1) h USING (task_id)
+WHERE p.collected AND (h.hole IS NULL OR (coalesce(CAST(tp.rate AS BIGINT), {n}), tp.id) < h.hole)"""
+query("L9_prefix_pairs", lambda t: ranking.prefix_pairs(t.task_pair, t.pair, 20).select("task_id", "id", "rn"), f"SELECT task_id, id, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('task_id', 'coalesce(rate, 1000000000) DESC, id DESC')} FROM ({BEFORE.format(n=10**9)})) WHERE rn <= 20")
+
+# --- joins and filters -----------------------------------------------------------------------------------------------------
+
+query("J1_pair_queue", lambda t: joins.pair_queue(t.task_pair, t.pair, t.plz, t.branch), "SELECT tp.task_id, tp.id, tp.cb_id, tp.rate, z.plz, b.branch_name, b.catalog FROM task_pair tp JOIN pair p ON p.id = tp.cb_id JOIN plz z ON z.id = p.plz_id JOIN branch b ON b.id = p.branch_id WHERE p.collected = false")
+query("J2_pair_meta", lambda t: joins.pair_meta(t.pair, t.plz, t.branch, t.city_plz, t.city), "SELECT p.id AS cb_id, z.plz, b.branch_name AS branch, b.catalog, c.name AS city, c.state_name AS land FROM pair p JOIN plz z ON z.id = p.plz_id JOIN branch b ON b.id = p.branch_id LEFT JOIN (SELECT plz, min(city_id) AS city_id FROM city_plz GROUP BY 1) m ON m.plz = z.plz LEFT JOIN city c ON c.id = m.city_id")
+query("J3_before_first_hole", lambda t: lists.before_first_hole(t.task_pair, t.pair).select("task_id", "id"), f"SELECT task_id, id FROM ({BEFORE.format(n=2**63 - 1)})")
+query("J4_unsent", lambda t: t.sending_list.select("task_id", "contact_id").join(t.sending_log.select("contact_id").distinct(), "contact_id", "left_anti").groupBy("task_id").agg(F.count("*").alias("unsent")), "SELECT task_id, count(*) AS unsent FROM sending_list sl WHERE NOT EXISTS (SELECT 1 FROM sending_log lg WHERE lg.contact_id = sl.contact_id) GROUP BY 1")
+query("J5_delete_missing", lambda t: joins.missing(t.task_pair, t.task_pair.filter("rate < 25"), ["task_id", "cb_id"]).select("task_id", "cb_id"), "SELECT task_id, cb_id FROM task_pair a WHERE NOT EXISTS (SELECT 1 FROM task_pair b WHERE b.rate < 25 AND b.task_id = a.task_id AND b.cb_id = a.cb_id)")
+query("J6_fully_rated_tasks", lambda t: joins.fully_rated(t.task_city_rating), "SELECT DISTINCT task_id FROM task_city_rating a WHERE NOT EXISTS (SELECT 1 FROM task_city_rating b WHERE b.task_id = a.task_id AND b.rate IS NULL)")
+query("J10_surrogate_ids", lambda t: t.task_branch_rating.filter("rate is not null").join(t.pair.select(F.col("id").alias("cb_id"), "branch_id", "plz_id"), "branch_id").filter("plz_id < 5").select("task_id", "cb_id", "rate"), "SELECT r.task_id, p.id AS cb_id, r.rate FROM task_branch_rating r JOIN pair p USING (branch_id) WHERE r.rate IS NOT NULL AND p.plz_id < 5")
+
+
+def points(t: Tables) -> DataFrame:
+    return t.plz.select("id", (47.3 + (F.col("id") * 37 % 97) / 14).alias("lat"), (5.9 + (F.col("id") * 53 % 89) / 10).alias("lon"))
+
+
+query("J12_nearest_city", lambda t: joins.nearest(points(t), t.city, cell=1.5).select("point_id", "place_id", F.round("d2", 6).alias("d2")), """
+SELECT p.id AS point_id, arg_min(c.id, (d2, c.id)) AS place_id, round(min(d2), 6) AS d2 FROM (SELECT id, 47.3 + (id * 37 % 97) / 14 AS lat, 5.9 + (id * 53 % 89) / 10 AS lon FROM plz) p, city c, LATERAL (SELECT pow(c.lat - p.lat, 2) + pow(c.lon - p.lon, 2) AS d2) GROUP BY p.id""")
+query("J13_geo_labels", lambda t: t.nation.join(t.region.filter("r_regionkey <> 2"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.coalesce("r_name", F.concat(F.lit("Kreis "), F.col("n_regionkey").cast("string"))).alias("label")), "SELECT n_nationkey, coalesce(r_name, concat('Kreis ', n_regionkey)) AS label FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) r ON r_regionkey = n_regionkey")
+query("J18_recent_mailboxes", lambda t: joins.recent_mailboxes(t.sending_log, t.campaign, "2000-06-01 00:00:00", 20), "SELECT DISTINCT c.mailbox_id FROM campaign c WHERE c.id IN (SELECT campaign_id FROM sending_log WHERE created_at >= TIMESTAMP '2000-06-01 00:00:00' - INTERVAL 20 DAY)")
+query("J20_titles", lambda t: joins.titles(t.branch, t.branch.filter("id % 3 <> 0").select("id", F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("lang")).withColumn("title", F.concat("lang", F.lit(" "), F.col("id").cast("string")))).select("id", F.element_at("titles", "de").alias("de"), F.try_element_at("titles", F.lit("en")).alias("en"), F.try_element_at("titles", F.lit("fr")).alias("fr")), "SELECT id, branch_name AS de, CASE WHEN id % 3 <> 0 THEN concat('en ', id) END AS en, CASE WHEN id % 3 <> 0 THEN concat('fr ', id) END AS fr FROM branch")
+query("P1_changed", lambda t: t.sending_list.filter(filters.changed("rate", "rate_cb")).groupBy("task_id").agg(F.count("*").alias("n")), "SELECT task_id, count(*) AS n FROM sending_list WHERE rate IS DISTINCT FROM rate_cb GROUP BY 1")
+query("P3_eligible", lambda t: t.sending_list.join(t.task.select(F.col("id").alias("task_id"), "rate_limit"), "task_id").join(t.contact.select(F.col("id").alias("contact_id"), "blocked", "wrong_email"), "contact_id").filter(filters.eligible()).groupBy("task_id").agg(F.count("*").alias("n")), "SELECT sl.task_id, count(*) AS n FROM sending_list sl JOIN task t ON t.id = sl.task_id JOIN contact c ON c.id = sl.contact_id WHERE NOT coalesce(sl.removed, false) AND sl.rate <= t.rate_limit AND NOT coalesce(c.blocked, false) AND NOT coalesce(c.wrong_email, false) GROUP BY 1")
+
+
+def sections(t: Tables) -> DataFrame:
+    rows = t.sending_list.join(t.task.select(F.col("id").alias("task_id"), "rate_limit"), "task_id")
+    return rows.groupBy("task_id").agg(*[F.count_if(F.coalesce(filters.rate_section(s), F.lit(False))).alias(f"n_{s}") for s in ("in", "out", "rated", "all")])
+
+
+query("P5_sections", sections, "SELECT sl.task_id, count(*) FILTER (WHERE rate <= rate_limit) AS n_in, count(*) FILTER (WHERE rate > rate_limit) AS n_out, count(rate) AS n_rated, count(*) - count(rate) AS n_all FROM sending_list sl JOIN task t ON t.id = sl.task_id GROUP BY 1")
+query("P6_search", lambda t: t.contact.filter(filters.search("o17", "company_name", "email")).select("id"), "SELECT id FROM contact WHERE company_name ILIKE '%o17%' OR email ILIKE '%o17%'")
+query("P11_population_bands", lambda t: t.city.filter(geo.in_bands(F.col("pop_total"), ["medium", "metropolis"])).select("id", "name"), "SELECT id, name FROM city WHERE pop_total BETWEEN 50000 AND 199999 OR pop_total BETWEEN 500000 AND 4000000")
+query("P12_radius", lambda t: geo.within_radius(t.city, "nation_1%", 300.0).select("id", F.round("km", 4).alias("km")), """
+WITH c AS (SELECT lat AS a, lon AS b FROM city WHERE name ILIKE 'nation_1%' ORDER BY pop_total DESC, id LIMIT 1)
+SELECT * FROM (SELECT id, round(6371 * acos(least(1, greatest(-1, cos(radians(a)) * cos(radians(lat)) * cos(radians(lon) - radians(b)) + sin(radians(a)) * sin(radians(lat))))), 4) AS km FROM city, c) WHERE km <= 300""")
+query("P13_display_name", lambda t: t.contact.select("id", filters.display_name("company_name", "email").alias("name")), "SELECT id, coalesce(nullif(trim(company_name), ''), nullif(trim(email), ''), '—') AS name FROM contact")
+query("P14_valid_rates", lambda t: t.task_city_rating.filter(filters.valid_rate("rate", 10, 60)).groupBy("task_id").agg(F.count("*").alias("n")), "SELECT task_id, count(*) AS n FROM task_city_rating WHERE rate BETWEEN 10 AND 60 GROUP BY 1")
+query("P16_workspace_scope", lambda t: filters.in_workspace(t.campaign, "7").select("id"), "SELECT id FROM campaign WHERE workspace_id = '7'")
+
+# --- merges ----------------------------------------------------------------------------------------------------------------
+
+
+def wanted(t: Tables) -> DataFrame:
+    return lists.prefix_list(t.task_pair, t.pair, t.pair_contact)
+
+
+WANTED = f"""SELECT task_id, contact_id, cb_id, rate AS rate_cb FROM (SELECT tp.*, pc.contact_id, row_number() OVER (PARTITION BY tp.task_id, pc.contact_id ORDER BY tp.rate ASC NULLS LAST, tp.id) AS rn FROM ({BEFORE.format(n=2**63 - 1)}) tp JOIN pair_contact pc USING (cb_id)) WHERE rn = 1"""
+query("M1_upsert_changed", lambda t: merge.upsert(t.sending_list, wanted(t), ["task_id", "contact_id"], ["cb_id", "rate_cb"], AS_OF).filter("action <> 'keep'").select("task_id", "contact_id", "cb_id", "rate_cb", "action"), f"""
+SELECT w.task_id, w.contact_id, w.cb_id, w.rate_cb, CASE WHEN sl.task_id IS NULL THEN 'insert' ELSE 'update' END AS action FROM ({WANTED}) w LEFT JOIN sending_list sl USING (task_id, contact_id)
+WHERE sl.task_id IS NULL OR sl.cb_id IS DISTINCT FROM w.cb_id OR sl.rate_cb IS DISTINCT FROM w.rate_cb""")
+query("M2_delete_unrated_missing", lambda t: merge.delete_missing(t.sending_list, wanted(t), ["task_id", "contact_id"], "rate is null").select("task_id", "contact_id"), f"SELECT sl.task_id, sl.contact_id FROM sending_list sl LEFT JOIN ({WANTED}) w USING (task_id, contact_id) WHERE sl.rate IS NOT NULL OR w.task_id IS NOT NULL")
+query("M3_insert_ignore", lambda t: merge.insert_ignore(t.task_city_rating, t.task.crossJoin(t.city.filter("id < 3").select(F.col("id").alias("city_id"))).select(F.col("id").alias("task_id"), "city_id"), ["task_id", "city_id"]).select("task_id", "city_id", F.col("rate").cast("long").alias("rate")), "SELECT task_id, city_id, CAST(rate AS BIGINT) AS rate FROM task_city_rating UNION ALL SELECT t.id, c.id, NULL FROM task t, city c WHERE c.id < 3 AND NOT EXISTS (SELECT 1 FROM task_city_rating r WHERE r.task_id = t.id AND r.city_id = c.id)")
+query("M4_stage_last", lambda t: merge.stage_last(t.li.select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_quantity"), ["k"], "pos"), "SELECT l_partkey AS k, max(l_orderkey * 10 + l_linenumber) AS pos, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS l_quantity FROM li GROUP BY 1")
+query("M5_pairs_refresh", lambda t: expansion.refresh(t.task_pair, t.task_pair.filter("cb_id % 3 <> 0").withColumn("rate", F.when(F.col("cb_id") % 5 == 0, F.lit(9)).otherwise(F.col("rate")))).select("task_id", "cb_id", "rate", "action"), "SELECT task_id, cb_id, CASE WHEN cb_id % 5 = 0 THEN 9 ELSE rate END AS rate, CASE WHEN cb_id % 5 = 0 AND rate IS DISTINCT FROM 9 THEN 'update' ELSE 'keep' END AS action FROM task_pair WHERE cb_id % 3 <> 0")
+query("M6_zero_rates", lambda t: expansion.zero_rates(t.task_pair, t.task.filter("archived").select(F.col("id").alias("task_id"))).select("id", "rate"), "SELECT tp.id, 0 AS rate FROM task_pair tp JOIN task t ON t.id = tp.task_id WHERE t.archived AND tp.rate IS DISTINCT FROM 0")
+query("M7_changed_only", lambda t: merge.update_changed(t.task.select("id", "archived"), gate.ready_active(t.task, t.task_pair, t.task.select(F.col("id").alias("task_id"), F.lit(True).alias("needed"))).select(F.col("task_id").alias("id"), F.col("active").alias("archived")), ["id"], ["archived"]), "SELECT t.id, t.active AS archived FROM (SELECT t.id, t.archived, NOT t.archived AND t.user_active AND EXISTS (SELECT 1 FROM task_pair p WHERE p.task_id = t.id AND p.rate > 0) AS active FROM task t) t WHERE t.active <> t.archived")
+query("M8_write_back", lambda t: merge.upsert(t.sending_list, t.sending_list.filter("rate is null and contact_id % 2 = 0").select("task_id", "contact_id", (F.col("contact_id") % 100 + 1).cast("int").alias("rate")), ["task_id", "contact_id"], ["rate"]).groupBy("task_id").agg(F.count("rate").alias("rated"), F.sum(F.col("rate").cast("long")).alias("sum_rate")), "SELECT task_id, count(r) AS rated, CAST(sum(r) AS BIGINT) AS sum_rate FROM (SELECT task_id, CASE WHEN rate IS NULL AND contact_id % 2 = 0 THEN contact_id % 100 + 1 ELSE rate END AS r FROM sending_list) GROUP BY 1")
+query("M9_block", lambda t: merge.set_where(t.sending_list, "removed", F.lit(True), t.contact.filter("blocked").select(F.col("id").alias("contact_id")), ["contact_id"]).groupBy("task_id").agg(F.count_if("removed").alias("removed")), "SELECT task_id, count(*) FILTER (WHERE sl.removed OR c.blocked) AS removed FROM sending_list sl JOIN contact c ON c.id = sl.contact_id GROUP BY 1")
+
+
+def cascade(t: Tables) -> DataFrame:
+    log, contact, listed = merge.hard_bounce(t.sending_log, t.contact, t.sending_list, t.sending_log.filter("id % 97 = 0").select("id"))
+    bad = log.groupBy().agg(F.count_if(F.col("status") == "BAD_ADDRESS").alias("bad_letters"))
+    return bad.join(contact.agg(F.count_if("wrong_email").alias("wrong")), F.lit(True)).join(listed.agg(F.count_if("removed").alias("removed")), F.lit(True))
+
+
+query("M11_bounce_cascade", cascade, """
+WITH hit AS (SELECT DISTINCT contact_id FROM sending_log WHERE id % 97 = 0)
+SELECT (SELECT count(*) FROM sending_log WHERE status = 'BAD_ADDRESS' OR id % 97 = 0) AS bad_letters, (SELECT count(*) FROM contact WHERE wrong_email OR id IN (SELECT contact_id FROM hit)) AS wrong,
+  (SELECT count(*) FROM sending_list WHERE removed OR contact_id IN (SELECT contact_id FROM hit)) AS removed""")
+query("U1_complete_batches", lambda t: merge.complete_batches(t.li.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("id"), F.col("l_quantity").cast("int").alias("rate")), t.li.select(F.col("l_orderkey").alias("batch"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("id")).distinct()), "SELECT l_orderkey AS batch FROM li GROUP BY 1 HAVING bool_and(CAST(l_quantity AS INT) BETWEEN 1 AND 100) AND count(*) = count(DISTINCT l_linenumber) AND list_sort(list(DISTINCT l_linenumber)) = [1, 2, 3]")
+query("U2_lenient_batch", lambda t: merge.lenient_batch(t.orders.select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 25).alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "other").otherwise(F.concat(F.lit("NATION_"), (F.col("o_custkey") % 25).cast("string"))).alias("name"), (F.col("o_orderkey") % 140).alias("rate")), t.city.select("id", "name")).select("pos", "id", "rate"), "SELECT DISTINCT ON (id) pos, id, rate FROM (SELECT o_orderkey AS pos, o_custkey % 25 AS id, o_orderkey % 140 AS rate FROM orders WHERE o_orderkey % 3 <> 0) WHERE rate BETWEEN 1 AND 100 ORDER BY id, pos")
+query("U3_snapshot_diff", lambda t: merge.snapshot_diff(t.part.filter("p_partkey % 10 <> 0").select("p_partkey", F.md5("p_name").alias("h")), t.part.filter("p_partkey % 7 <> 0").select("p_partkey", F.md5(F.when(F.col("p_partkey") % 5 == 0, "new").otherwise(F.col("p_name"))).alias("h")), "p_partkey", "h"), "SELECT * FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 AND p_partkey % 7 <> 0 THEN 'added' WHEN p_partkey % 10 <> 0 AND p_partkey % 7 = 0 THEN 'removed' WHEN p_partkey % 10 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 = 0 THEN 'changed' END AS change FROM part) WHERE change IS NOT NULL")
+
+# --- pipelines -------------------------------------------------------------------------------------------------------------
+
+SCORES = "SELECT r.task_id, z.id AS plz_id, b.branch_id, CAST(r.rate * b.rate AS BIGINT) AS score FROM (SELECT r.task_id, m.plz, min(r.rate) AS rate FROM task_city_rating r JOIN city_plz m USING (city_id) WHERE r.rate IS NOT NULL GROUP BY ALL) r JOIN plz z ON z.plz = r.plz JOIN task_branch_rating b ON b.task_id = r.task_id AND b.rate IS NOT NULL"
+query("C2_pair_expansion", lambda t: expansion.expand_pairs(t.task_city_rating, t.task_branch_rating, t.city_plz, t.plz, 40), f"SELECT task_id, plz_id, branch_id, score, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('task_id', 'score, plz_id, branch_id')} FROM ({SCORES})) WHERE rn <= 40")
+query("J11_all_pairs", lambda t: expansion.expand_pairs(t.task_city_rating, t.task_branch_rating, t.city_plz, t.plz, None).groupBy("task_id").agg(F.count("*").alias("pairs"), F.min("score").alias("least")), f"SELECT task_id, count(*) AS pairs, min(score) AS least FROM ({SCORES}) GROUP BY 1")
+
+GATE = f"""
+WITH t AS (SELECT t.id AS task_id, w.access_type AS access, t.rate_limit FROM task t JOIN workspace w ON w.id = t.workspace_id),
+r AS (SELECT sl.*, t.rate_limit, row_number() OVER (PARTITION BY sl.task_id ORDER BY updated_at DESC NULLS LAST, contact_id DESC) AS rn FROM sending_list sl JOIN t USING (task_id) WHERE rate IS NOT NULL),
+n AS (SELECT task_id, count(*) AS rated, count(*) FILTER (WHERE rate < rate_limit) AS good FROM r GROUP BY 1),
+d AS (SELECT d.task_id, max(greatest(0, d.to_send_num - greatest(0, coalesce(n.good, 0) - d.sent_num))) AS deficit FROM ({DEMAND}) d LEFT JOIN n USING (task_id) WHERE NOT d.archived GROUP BY 1),
+x AS (SELECT t.*, coalesce(n.rated, 0) AS rated, coalesce(n.good, 0) AS good, d.deficit, CASE WHEN d.deficit IS NULL THEN 100 ELSE greatest(1, d.deficit) END AS sample FROM t LEFT JOIN n USING (task_id) LEFT JOIN d USING (task_id)),
+q AS (SELECT x.task_id, count(*) AS seen, count(*) FILTER (WHERE r.rate < r.rate_limit) AS seen_good FROM x JOIN r ON r.task_id = x.task_id AND r.rn <= x.sample GROUP BY 1),
+y AS (SELECT x.*, access IN ('full', 'super', 'custom') AND CASE WHEN deficit IS NULL THEN rated < 100 ELSE deficit > 0 END AS wanted, x.task_id % 9 <> 0 AND coalesce(q.seen, 0) >= sample AND q.seen_good / q.seen < 0.25 AS bad FROM x LEFT JOIN q USING (task_id))
+SELECT task_id, (access = 'test' AND good < 20 AND rated < 60) OR (wanted AND NOT coalesce(bad, false)) AS needed, coalesce(wanted AND bad, false) AS blocked, CAST(sample AS BIGINT) AS sample FROM y"""
+
+
+def needed(t: Tables) -> DataFrame:
+    return gate.more_needed(t.task, t.workspace, t.sending_list, demand(t), t.task.filter("id % 9 = 0").select(F.col("id").alias("task_id")))
+
+
+query("C7_gate", needed, GATE)
+query("C4_ready_active", lambda t: gate.ready_active(t.task, t.task_pair, needed(t)), f"""
+SELECT t.id AS task_id, r.id IS NOT NULL AS ready, r.id IS NOT NULL AND NOT t.archived AND t.user_active AND coalesce(g.needed, false) AS active
+FROM task t LEFT JOIN (SELECT DISTINCT task_id AS id FROM task_pair WHERE rate > 0) r ON r.id = t.id LEFT JOIN ({GATE}) g ON g.task_id = t.id""")
+query("C5_prefix_list", wanted, WANTED)
+query("C5_rebuilt_list", lambda t: lists.rebuild(t.sending_list, wanted(t), AS_OF).groupBy("task_id", "action").agg(F.count("*").alias("n"), F.count("rate").alias("rated")), f"""
+SELECT coalesce(sl.task_id, w.task_id) AS task_id, CASE WHEN sl.task_id IS NULL THEN 'insert' WHEN w.task_id IS NOT NULL AND (sl.cb_id IS DISTINCT FROM w.cb_id OR sl.rate_cb IS DISTINCT FROM w.rate_cb) THEN 'update' ELSE 'keep' END AS action, count(*) AS n, count(sl.rate) AS rated
+FROM sending_list sl FULL JOIN ({WANTED}) w USING (task_id, contact_id) WHERE w.task_id IS NOT NULL OR sl.rate IS NOT NULL GROUP BY ALL""")
+query("C6_candidates", lambda t: found(t).select("campaign_id", "contact_id", "rate", "rate_cb"), CANDIDATES)
+query("C9_overview", lambda t: dashboards.overview(t.campaign, t.task, t.sending_list, t.contact, t.sending_log, t.click, AS_OF), f"""
+SELECT c.id AS campaign_id, coalesce(s.sent, 0) AS sent, coalesce(v.viewers, 0) AS viewers, CASE WHEN s.sent > 0 THEN round(coalesce(v.viewers, 0) / s.sent, 6) ELSE 0 END AS viewed_share, coalesce(p.pending, 0) AS pending
+FROM campaign c LEFT JOIN (SELECT campaign_id, count(*) AS sent FROM sending_log WHERE status = 'SEND' GROUP BY 1) s ON s.campaign_id = c.id
+LEFT JOIN (SELECT lg.campaign_id, count(DISTINCT lg.contact_id) AS viewers FROM click k JOIN sending_log lg ON lg.id = k.letter_id GROUP BY 1) v ON v.campaign_id = c.id
+LEFT JOIN (SELECT campaign_id, count(*) AS pending FROM ({CANDIDATES}) GROUP BY 1) p ON p.campaign_id = c.id""")
+query("C10_stats_sending", lambda t: dashboards.sending_statistics(t.sending_log, t.contact), "SELECT lg.id, lg.campaign_id, lg.contact_id, coalesce(nullif(trim(c.company_name), ''), nullif(trim(c.email), ''), '—') AS name, lg.status, coalesce(lg.processed_at, lg.created_at) AS at FROM sending_log lg JOIN contact c ON c.id = lg.contact_id")
+query("C11_contacts_page", lambda t: dashboards.contacts_page(t.sending_list, t.task, t.contact, t.sending_log, "ring", True, 2, 10).select("contact_id", "name", "any_removed", "any_listed", F.array_join("titles", "|").alias("titles"), F.size("sent_at").cast("long").alias("n_sent")), """
+WITH f AS (SELECT contact_id, bool_or(coalesce(removed, false)) AS any_removed, bool_or(NOT coalesce(removed, false)) AS any_listed FROM sending_list GROUP BY 1),
+m AS (SELECT c.id AS contact_id, coalesce(nullif(trim(company_name), ''), nullif(trim(email), ''), '—') AS name, any_removed, any_listed FROM contact c JOIN f ON f.contact_id = c.id WHERE any_removed AND (company_name ILIKE '%ring%' OR email ILIKE '%ring%')),
+p AS (SELECT * FROM m ORDER BY contact_id LIMIT 10 OFFSET (SELECT (least(2, greatest(1, CAST(ceil(count(*) / 10.0) AS BIGINT))) - 1) * 10 FROM m))
+SELECT p.*, (SELECT string_agg(DISTINCT t.title, '|' ORDER BY t.title) FROM sending_list sl JOIN task t ON t.id = sl.task_id WHERE sl.contact_id = p.contact_id) AS titles, (SELECT count(DISTINCT coalesce(processed_at, created_at)) FROM sending_log lg WHERE lg.status = 'SEND' AND lg.contact_id = p.contact_id) AS n_sent FROM p""")
+query("C12_mailing_page", lambda t: dashboards.mailing_page(t.sending_list, t.task, t.contact, 31, "in", "", 1, 20), """
+SELECT sl.contact_id, coalesce(nullif(trim(c.company_name), ''), '—') AS name, sl.rate, sl.rate_cb FROM sending_list sl JOIN task t ON t.id = sl.task_id JOIN contact c ON c.id = sl.contact_id
+WHERE sl.task_id = 31 AND NOT coalesce(sl.removed, false) AND sl.rate <= t.rate_limit ORDER BY sl.rate, sl.rate_cb DESC NULLS LAST, sl.contact_id LIMIT 20""")
+
+#: A window with a lunch break, a slot that overlaps, one that isn't a time and one that ends before it begins.
+DAY_SLOTS = [("mon", [("09:00", "12:00"), ("13:00", "17:30")]), ("tue", [("08:00", "10:00"), ("09:30", "11:00")]), ("wed", [("25:00", "26:00")]), ("thu", [("10:00", "10:45"), ("12:00", "11:00")]), ("fri", [("07:15", "08:00")]), ("sat", []), ("hol", [("10:00", "10:20")])]
+
+
+def paced(t: Tables) -> DataFrame:
+    own = F.create_map(*[x for d, slots in DAY_SLOTS for x in (F.lit(d), F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in slots]).cast("array<struct<`from`:string,`to`:string>>"))])
+    c = t.campaign.join(t.task.select(F.col("id").alias("sending_list_id"), "user_active", "archived"), "sending_list_id").withColumn("window", F.when(F.col("id") % 3 == 0, own).otherwise(F.map_filter(own, lambda k, v: k.isin("mon", "thu"))))
+    m = t.campaign.select(F.col("mailbox_id").alias("id")).distinct().select("id", (F.col("id") % 61).cast("int").alias("limit_hour"), (F.col("id") * 10).cast("int").alias("limit_day"))
+    return pacing.pace(c, m, NOW)
+
+
+# Minutes by day ahead of Thursday 17 April 2025 (18 and 21 April are holidays): which days have a window, and its minutes.
+query("C8_pacing", paced, """
+WITH c AS (SELECT c.id AS campaign_id, c.mailbox_id, t.user_active, NOT t.archived AS pool, c.id % 3 = 0 AS whole FROM campaign c JOIN task t ON t.id = c.sending_list_id),
+cal AS (SELECT * FROM (VALUES (0, 'thu'), (1, 'hol'), (2, 'sat'), (3, 'sun'), (4, 'hol'), (5, 'tue'), (6, 'wed'), (7, 'thu'), (8, 'fri'), (9, 'sat'), (10, 'sun'), (11, 'mon'), (12, 'tue'), (13, 'wed'), (14, 'hol')) v(ahead, k)),
+mins AS (SELECT * FROM (VALUES ('mon', 450), ('tue', 210), ('thu', 45), ('fri', 45), ('hol', 20)) v(k, minutes)),
+days AS (SELECT c.*, cal.ahead, mins.minutes FROM c, cal JOIN mins USING (k) WHERE c.pool AND (c.whole OR k IN ('mon', 'thu'))),
+s AS (SELECT mailbox_id, ahead, CASE WHEN mailbox_id % 61 > 0 AND mailbox_id * 10 > 0 THEN CAST(ceil(greatest(sum(minutes) * 60000.0 / (mailbox_id * 10), count(*) * 3600000.0 / (mailbox_id % 61))) AS BIGINT) END AS iv FROM days GROUP BY mailbox_id, ahead),
+d AS (SELECT days.*, s.iv FROM days JOIN s USING (mailbox_id, ahead)),
+p AS (SELECT campaign_id, arg_min_null(iv, ahead) AS interval_ms, max(iv) FILTER (WHERE ahead = 0) AS iv0, arg_min_null(iv, ahead) FILTER (WHERE ahead > 0) AS iv1, arg_min(minutes, ahead) FILTER (WHERE ahead > 0) AS m1 FROM d GROUP BY 1)
+SELECT c.campaign_id, c.pool AND c.user_active AS active, p.interval_ms,
+  CASE WHEN p.iv0 > 0 OR p.iv1 > 0 THEN CAST(coalesce(floor(15 * 60000 / p.iv0), 0) + coalesce(floor(p.m1 * 60000 / p.iv1), 0) AS BIGINT) END AS to_send
+FROM c LEFT JOIN p USING (campaign_id)""")
+query("T14_timeline", lambda t: pacing.timeline(ranking.planned(found(t)), ranking.recent_sends(t.sending_log), "2002-01-01 09:00:00", 90_000).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss")), f"""
+WITH s AS (SELECT campaign_id, contact_id, sent_at, rn FROM (SELECT *, {RN.format('campaign_id', 'sent_at DESC, id DESC, contact_id')} FROM (SELECT *, coalesce(processed_at, created_at) AS sent_at FROM sending_log)) WHERE rn <= 3),
+n AS (SELECT campaign_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT campaign_id, contact_id, rn FROM (SELECT *, {RN.format('campaign_id', SEND)} FROM ({CANDIDATES})) WHERE rn <= 8)
+SELECT campaign_id, contact_id, strftime(sent_at, '%Y-%m-%d %H:%M:%S') AS at, 'sent' AS kind, CAST(-rn AS INT) AS place FROM s -- latest first
+UNION ALL SELECT p.campaign_id, p.contact_id, strftime(TIMESTAMP '2002-01-01 09:00:00' + (p.rn - 1) * INTERVAL 90 SECOND, '%Y-%m-%d %H:%M:%S'), CASE WHEN p.rn = 1 THEN 'current' ELSE 'planned' END, CAST(p.rn AS INT) FROM p LEFT JOIN n USING (campaign_id) WHERE p.rn <= 5 - coalesce(n.n, 0)""")

@@ -75,11 +75,11 @@ class Tables:
         return self._made[name]
 
     def _run(self, sql: str) -> DataFrame:
-        words = set(re.findall(r"\w+", sql))
-        frames = {n: getattr(self, n) for n in [*BASE, *VIEWS] if n in words}
-        for n, frame in frames.items():
-            sql = re.sub(rf"(?i)(\b(?:FROM|JOIN|,)\s+){n}\b", rf"\1{{{n}}}", sql)
-        return self._spark.sql(re.sub(r"\bVARCHAR\b", "STRING", sql), **{n: f for n, f in frames.items() if f"{{{n}}}" in sql})
+        used = {m[1] for m in re.finditer(r"(?i)\b(?:FROM|JOIN)\s+(\w+)", sql)}
+        frames = {n: getattr(self, n) for n in [*BASE, *VIEWS] if n in used}
+        for n in frames:
+            sql = re.sub(rf"(?i)(\b(?:FROM|JOIN)\s+){n}\b", rf"\1{{{n}}}", sql)
+        return self._spark.sql(re.sub(r"\bVARCHAR\b", "STRING", sql), **frames)
 
     def sql(self, statement: str) -> DataFrame:
         return self._run(statement)
