@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marktlens.llm.common import map_rows, small_batches, texts
+from marktlens.llm.common import checkpoint, map_rows, small_batches, texts
 
 BUCKETS = 1 << 20
 #: Remembered words of a task; when full they are forgotten and counted anew.
@@ -126,16 +126,31 @@ def _bags(batches):
             yield b, i, bag
 
 
-def background(docs: DataFrame) -> np.ndarray:
-    """In how many of all documents each feature bucket occurs."""
+def background(docs: DataFrame) -> DataFrame:
+    """bucket and n: how many tokens of all documents have each feature bucket. A task counts words, and features for each
+    of its words once."""
 
     def work(batches):
-        return _counts(((0, list(bag)) for _, _, bag in _bags(batches)), 1)
+        words: dict[str, int] = {}
 
-    rows = map_rows(texts(docs), work, "bucket int, c0 long").groupBy("bucket").agg(F.sum("c0").alias("n")).toPandas()
-    out = np.zeros(BUCKETS)
-    out[rows["bucket"]] = rows["n"]
-    return out
+        def flush():
+            total = np.zeros(BUCKETS, np.int64)
+            for w, n in words.items():
+                total[features(w)] += n
+            words.clear()
+            at = np.flatnonzero(total)
+            for i in range(0, len(at), 100_000):
+                yield {"bucket": at[i : i + 100_000], "n": total[at[i : i + 100_000]]}
+
+        for b in batches:
+            for text in b.column("_t").to_pylist():
+                for w in _WORD.findall(text.lower()):
+                    words[w] = words.get(w, 0) + 1
+                if len(words) > 2 * MEMO:
+                    yield from flush()
+        yield from flush()
+
+    return map_rows(texts(docs), work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def labelled(labels: DataFrame, share: str, most: int) -> DataFrame:
@@ -170,17 +185,21 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
     def counted(batches):
         return _counts(((int(b.column("toxic")[i].as_py() > 0), list(bag)) for b, i, bag in _bags(batches)), 2)
 
-    seen = map_rows(rows, counted, "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("clean"), F.sum("c1").alias("toxic")).toPandas()
-    clean, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    clean[seen["bucket"]], toxic[seen["bucket"]] = seen["clean"], seen["toxic"]
-    if not clean.sum() or not toxic.sum():
+    seen = map_rows(rows, counted, "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("clean"), F.sum("c1").alias("toxic"))
+    seen = checkpoint(seen)
+    n = seen.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
+    if not n.clean or not n.toxic:
         rows.unpersist()
         return model
-    base = np.maximum(background(docs), clean + toxic)
-    a = np.maximum(prior * base / base.sum(), 1e-9)
-    odds = np.log((toxic + a) / (toxic.sum() + prior)) - np.log((clean + a) / (clean.sum() + prior))
-    error = np.sqrt(1 / (toxic + a) + 1 / (clean + a))
-    model.lower = np.maximum(0, odds - errors * error).astype(np.float32)
+    base = checkpoint(background(docs))
+    all_n = base.agg(F.sum("n")).first()[0]
+    # only buckets with evidence for toxicity come to the driver
+    a = F.greatest(F.lit(prior / all_n) * F.greatest(F.col("n"), F.col("clean") + F.col("toxic")), F.lit(1e-9))
+    counts = seen.filter("toxic > 0").join(base, "bucket").withColumn("a", a)
+    t, c = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
+    odds = F.log(t / F.lit(n.toxic + prior)) - F.log(c / F.lit(n.clean + prior))
+    found = counts.select("bucket", (odds - F.lit(errors) * F.sqrt(1 / t + 1 / c)).alias("lower")).filter("lower > 0").collect()
+    model.lower[[r.bucket for r in found]] = [r.lower for r in found]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def risen(batches):
