@@ -27,12 +27,12 @@ MEMO = 200_000
 _WORD = re.compile(r"\w+")
 
 
-def features(word: str) -> list[int]:
+def features(word: str) -> np.ndarray:
     w = f"^{word}$"
     if len(w) > 40:  # very long runs count by their edges
         w = w[:20] + w[-20:]
     grams = {w, *(w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1))}
-    return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams})
+    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], np.int32)
 
 
 def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -112,45 +112,28 @@ def _counts(batches_of_features, width: int):
 
 def _bags(batches):
     """The distinct features of each text."""
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, np.ndarray] = {}
+    none = np.empty(0, np.int32)
     for b in batches:
         for i, text in enumerate(b.column("_t").to_pylist()):
-            bag = set()
+            bag = []
             for w in set(_WORD.findall(text.lower())):
                 f = memo.get(w)
                 if f is None:
                     if len(memo) >= MEMO:
                         memo.clear()
                     f = memo[w] = features(w)
-                bag.update(f)
-            yield b, i, bag
+                bag.append(f)
+            yield b, i, np.unique(np.concatenate(bag)) if bag else none
 
 
 def background(docs: DataFrame) -> DataFrame:
-    """bucket and n: how many tokens of all documents have each feature bucket. A task counts words, and features for each
-    of its words once."""
+    """bucket and n: in how many of all documents each feature bucket occurs."""
 
     def work(batches):
-        words: dict[str, int] = {}
+        return _counts(((0, bag) for _, _, bag in _bags(batches)), 1)
 
-        def flush():
-            total = np.zeros(BUCKETS, np.int64)
-            for w, n in words.items():
-                total[features(w)] += n
-            words.clear()
-            at = np.flatnonzero(total)
-            for i in range(0, len(at), 100_000):
-                yield {"bucket": at[i : i + 100_000], "n": total[at[i : i + 100_000]]}
-
-        for b in batches:
-            for text in b.column("_t").to_pylist():
-                for w in _WORD.findall(text.lower()):
-                    words[w] = words.get(w, 0) + 1
-                if len(words) > 2 * MEMO:
-                    yield from flush()
-        yield from flush()
-
-    return map_rows(texts(docs), work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return map_rows(texts(docs), work, "bucket int, c0 long").groupBy("bucket").agg(F.sum("c0").alias("n"))
 
 
 def labelled(labels: DataFrame, share: str, most: int) -> DataFrame:
@@ -183,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
     rows = rows.groupBy("key", "toxic").agg(F.min(F.struct("_d", "_t")).alias("one")).select("toxic", F.col("one._t").alias("_t")).persist()
 
     def counted(batches):
-        return _counts(((int(b.column("toxic")[i].as_py() > 0), list(bag)) for b, i, bag in _bags(batches)), 2)
+        return _counts(((int(b.column("toxic")[i].as_py() > 0), bag) for b, i, bag in _bags(batches)), 2)
 
     seen = map_rows(rows, counted, "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("clean"), F.sum("c1").alias("toxic"))
     seen = checkpoint(seen)
