@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from marktlens.llm.common import map_rows, small_batches
 
 MARK = "▁"
-#: Words that a task remembers; when full they are forgotten and encoded anew.
-MEMO = 300_000
+#: Words that a worker remembers between texts; when full they are forgotten and encoded anew.
+MEMO = 700_000
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -130,7 +132,12 @@ class Encoder:
         self.names = Tokenizer(models.BPE(vocab=ids, merges=[], unk_token=None))  # to decode: ids to pieces
         self.names.decoder = self.tokenizer.decoder
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.memo: dict[str, tuple[bytes, bool]] = {}
+        spec = parse(data)
+        self.plain = not spec["charsmap"] and not spec["squeeze"] and spec["prefix"] and spec["escape"]
+        self.memo: dict[str, bytes] = {}
+        self.differ, self.lossy = set(), set()
+        self.stop = self.other.encode(".")
+        self.stop_text = self.decode([self.stop])[0]
 
     def _ids(self, tokenizer, texts: list[str]) -> list[list[int]]:
         if not self.bytes:
@@ -144,33 +151,49 @@ class Encoder:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
         mine = self._ids(self.words, words)
         plain = [(w[1:] if self.prefix and w[0] == MARK else w).replace(MARK, " ") for w in words]
-        for w, p, a, b in zip(words, plain, mine, self.other.encode(plain, num_threads=1)):
+        # a blank before the first word is the prefix's, which decoding strips: ids of its other words stand behind a full stop
+        back = self.decode([[*self.stop, *ids] for ids in mine])
+        for w, p, a, b, t in zip(words, plain, mine, self.other.encode(plain, num_threads=1), back):
+            self.memo[w] = np.array(a, "<i4").tobytes()
             # a lone marker is an empty text there; its only spelling is the piece itself
-            self.memo[w] = np.array(a, "<i4").tobytes(), a == (b if p else [self.other.piece_to_id(w)])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids of each text, and whether the sentencepiece library gives the same ones."""
+            if a != (b if p else [self.other.piece_to_id(w)]):
+                self.differ.add(w)
+            if t != self.stop_text + w.replace(MARK, " "):
+                self.lossy.add(w)
+
+    def normalise(self, text: str) -> str:
+        if not text:
+            return ""
+        return MARK + text.replace(" ", MARK) if self.plain else self.tokenizer.normalizer.normalize_str(text)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """Ids of each text, whether the sentencepiece library gives the same ones, and whether they decode to the text."""
         if not self.by_words:
-            normal = [self.tokenizer.normalizer.normalize_str(t) if t else t for t in texts]
-            mine = self._ids(self.words, normal)
-            return [(np.array(a, "<i4").tobytes(), a == b) for a, b in zip(mine, self.other.encode(texts, num_threads=1))]
-        out = []
-        for text in texts:
-            words = _WORDS.findall(self.tokenizer.normalizer.normalize_str(text)) if text else []
-            for i in range(0, len(words), MEMO // 2):
-                part = words[i : i + MEMO // 2]
-                if new := [w for w in dict.fromkeys(part) if w not in self.memo]:
-                    self._learn(new)
-                    self._learn([w for w in dict.fromkeys(part) if w not in self.memo])  # if the memo was emptied
-                found = [self.memo[w] for w in part]
-                ids, same = b"".join(x[0] for x in found), all(x[1] for x in found)
-                out.append((ids, same)) if i == 0 else out.append((out[-1][0] + ids, out.pop()[1] and same))
-            if not words:
-                out.append((b"", self.other.encode(text) == []))
+            mine = self._ids(self.words, [self.normalise(t) for t in texts])
+            return [(np.array(a, "<i4").tobytes(), a == b, t == back) for a, b, t, back in zip(mine, self.other.encode(texts, num_threads=1), texts, self.decode(mine))]
+        out, at = [], 0
+        while at < len(texts):
+            lists, size = [], 0
+            while at < len(texts) and (not lists or size + len(texts[at]) <= TOGETHER):
+                lists.append(_WORDS.findall(self.normalise(texts[at])))
+                size += len(texts[at])
+                at += 1
+            new = set().union(*lists).difference(self.memo)
+            if len(self.memo) + len(new) > MEMO:
+                for known in (self.memo, self.differ, self.lossy):
+                    known.clear()
+                new = set().union(*lists)
+            if new:
+                self._learn(sorted(new))
+            for text, words in zip(texts[at - len(lists) : at], lists):
+                same = self.differ.isdisjoint(words)
+                trip = MARK not in text and self.plain and self.lossy.isdisjoint(words)
+                ids = b"".join(map(self.memo.__getitem__, words))
+                if not self.plain:
+                    trip = self.decode([np.frombuffer(ids, "<i4").tolist()])[0] == text
+                out.append((ids, same, trip))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -204,15 +227,13 @@ def encode(docs: DataFrame, path: str, threads: int = 2, column: str = "text") -
         coder = _encoder(shipped.value, threads)
         for b in batches:
             texts = b.column(column).to_pylist()
-            for lo in range(0, len(texts), 64):
-                part = texts[lo : lo + 64]
+            for lo in range(0, len(texts), 512):
+                part = texts[lo : lo + 512]
                 found = iter(coder.encode([t for t in part if t is not None]))
                 found = [None if t is None else next(found) for t in part]
-                ids = [None if x is None else np.frombuffer(x[0], "<i4") for x in found]
-                back = coder.decode([[] if x is None else x.tolist() for x in ids])
                 out = {f.name: b.column(f.name).slice(lo, len(part)) for f in rest}
-                out |= {"ids": ids, "parity": [None if x is None else x[1] for x in found], "round_trip": [None if t is None else t == s for t, s in zip(part, back)]}
-                yield out
+                out["ids"] = [None if x is None else np.frombuffer(x[0], "<i4") for x in found]
+                yield out | {c: [None if x is None else x[i] for x in found] for i, c in ((1, "parity"), (2, "round_trip"))}
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     return map_rows(docs.select(*[f.name for f in rest]), work, f"{fields}, ids array<int>, parity boolean, round_trip boolean")
@@ -236,13 +257,23 @@ def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "decoded
 
 
 def digest(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
-    """encode() without the ids themselves: doc_id, n_tokens, ids_sha256 (of their little-endian 32-bit form), parity, round_trip."""
-    found = encode(docs.select("doc_id", "text"), path, threads)
+    """encode() with a digest in place of the ids: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit
+    integers), parity, round_trip."""
+    small_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
 
     def work(batches):
+        coder = _encoder(shipped.value, threads)
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            raw = [None if x is None else np.array(x, "<i4").tobytes() for x in ids]
-            yield {"doc_id": b.column("doc_id"), "n_tokens": [None if x is None else len(x) for x in ids], "ids_sha256": [None if x is None else hashlib.sha256(x).hexdigest() for x in raw], "parity": b.column("parity"), "round_trip": b.column("round_trip")}
-
-    return map_rows(found.withColumn("doc_id", F.col("doc_id").cast("long")), work, "doc_id long, n_tokens long, ids_sha256 string, parity boolean, round_trip boolean")
+            texts = b.column("text").to_pylist()
+            found = iter(coder.encode([t for t in texts if t is not None]))
+            found = [None if t is None else next(found) for t in texts]
+            yield {
+                "doc_id": b.column("doc_id"),
+                "n_tokens": [None if x is None else len(x[0]) // 4 for x in found],
+                "ids_sha256": [None if x is None else hashlib.sha256(x[0]).hexdigest() for x in found],
+                "parity": [None if x is None else x[1] for x in found],
+                "round_trip": [None if x is None else x[2] for x in found],
+            }
+
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_tokens long, ids_sha256 string, parity boolean, round_trip boolean")

@@ -48,8 +48,8 @@ def test_parity(data):
     texts = [t for t in ODD if t is not None] + ["the cats sat at the cat", "that  théâtre"]
     if sp.vocab_size() < 1000:
         texts = [t for t in texts if len(t) < 100]
-    for text, (ids, parity) in zip(texts, coder.encode(texts)):
-        assert np.frombuffer(ids, "<i4").tolist() == sp.encode(text) and parity, text[:30]
+    for text, (ids, parity, trip) in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == sp.encode(text) and parity and trip == (sp.decode(sp.encode(text)) == text), text[:30]
     assert coder.decode([sp.encode(t) for t in texts]) == [sp.decode(sp.encode(t)) for t in texts]
 
 
