@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.functions import geo, text
-from marktlens.functions import window_time as wt
+from marktlens.functions import geo, hashing, letters, text, websites
 from marktlens.operators import aggregates as ag
 from marktlens.operators import filters, joins, merge, ranking
-from marktlens.plans import dashboards, expansion, gate, lists, pacing
-from marktlens.sources.tables import Tables, with_ctes
+from marktlens.parsing import cards
+from marktlens.plans import dashboards, expansion, gate, lists, pacing, resolution
+from marktlens.sources.tables import Tables, shared_folder, with_ctes
+from marktlens.streaming import clicks, machines
 
 AS_OF = "2001-12-31 00:00:00"
 NOW = "2025-04-17 10:30:00"  # a Thursday before a holiday
@@ -282,3 +283,93 @@ WITH s AS (SELECT campaign_id, contact_id, sent_at, rn FROM (SELECT *, {RN.forma
 n AS (SELECT campaign_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT campaign_id, contact_id, rn FROM (SELECT *, {RN.format('campaign_id', SEND)} FROM ({CANDIDATES})) WHERE rn <= 8)
 SELECT campaign_id, contact_id, strftime(sent_at, '%Y-%m-%d %H:%M:%S') AS at, 'sent' AS kind, CAST(-rn AS INT) AS place FROM s -- latest first
 UNION ALL SELECT p.campaign_id, p.contact_id, strftime(TIMESTAMP '2002-01-01 09:00:00' + (p.rn - 1) * INTERVAL 90 SECOND, '%Y-%m-%d %H:%M:%S'), CASE WHEN p.rn = 1 THEN 'current' ELSE 'planned' END, CAST(p.rn AS INT) FROM p LEFT JOIN n USING (campaign_id) WHERE p.rn <= 5 - coalesce(n.n, 0)""")
+
+# --- state machines --------------------------------------------------------------------------------------------------------
+
+RESULTS = {"view": "OK", "click": "SEARCH HTTP 503", "signup": "FAILED TO PARSE", "purchase": "BLOCKED", "error": "AJAX HTTP 500"}
+
+
+def crawl_results(t: Tables) -> DataFrame:
+    """Results of crawled pairs, made up of events; a good result only now and then."""
+    kind = F.col("event_type")
+    result = F.when((kind == "view") & (F.col("event_id") % 4 > 0), "BLOCKED")
+    for k, v in RESULTS.items():
+        result = result.when(kind == k, v)
+    return t.events.select(F.col("user_id").alias("cb_id"), F.col("event_id").alias("seq"), result.alias("result"))
+
+
+query("T4_retry_fold", lambda t: machines.retry_fold(crawl_results(t)), """
+WITH RECURSIVE e AS (
+  SELECT user_id AS cb_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+    CASE WHEN event_type = 'view' AND event_id % 4 > 0 THEN 'BLOCKED' ELSE CASE event_type WHEN 'view' THEN 'OK' WHEN 'click' THEN 'SEARCH HTTP 503' WHEN 'signup' THEN 'FAILED TO PARSE' WHEN 'purchase' THEN 'BLOCKED' ELSE 'AJAX HTTP 500' END END AS result FROM events
+), f(cb_id, n, error, collected) AS (
+  SELECT DISTINCT cb_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), false FROM e
+  UNION ALL
+  SELECT f.cb_id, f.n + 1, CASE WHEN result = 'OK' THEN NULL WHEN result = 'BLOCKED' THEN error
+    WHEN result LIKE '%HTTP%' THEN CASE error WHEN 'HTTP ERROR 1' THEN 'HTTP ERROR 2' WHEN 'HTTP ERROR 2' THEN result ELSE 'HTTP ERROR 1' END
+    ELSE CASE error WHEN 'FAILED TO PARSE 1' THEN 'FAILED TO PARSE 2' WHEN 'FAILED TO PARSE 2' THEN 'FAILED TO PARSE' ELSE 'FAILED TO PARSE 1' END END,
+    result = 'OK' OR (result LIKE '%HTTP%' AND coalesce(error, '') = 'HTTP ERROR 2') OR (result = 'FAILED TO PARSE' AND coalesce(error, '') = 'FAILED TO PARSE 2')
+  FROM f JOIN e ON e.cb_id = f.cb_id AND e.n = f.n + 1 WHERE NOT f.collected
+)
+SELECT cb_id, arg_max_null(error, n) AS error, bool_or(collected) AS collected, CAST(max(n) AS INT) AS seen FROM f GROUP BY cb_id""")
+query("T5_soft_bounce", lambda t: machines.soft_bounces(t.events.select(F.col("user_id").alias("contact_id"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "purchase", F.when(F.col("event_type") == "view", 550).otherwise(451)).alias("code")), 3, 1), """
+WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'view' THEN 550 ELSE 451 END AS code FROM events),
+x AS (SELECT *, CASE WHEN code IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 DAY THEN 1 ELSE 0 END AS s FROM e),
+y AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x)
+SELECT DISTINCT user_id AS contact_id FROM (SELECT user_id, run FROM y WHERE code = 451 GROUP BY ALL HAVING count(*) >= 3)""")
+
+
+def streamed_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click lines written to the shared folder, read as a stream, appended to a table, and counted by the hour."""
+    folder = shared_folder(spark)
+    t = Tables(spark, sf_dir)
+    line = F.concat_ws("\t", F.concat(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), F.col("letter_id").cast("string"))
+    t.click.select(line.alias("value")).union(t.click.limit(5).select(F.lit("no click").alias("value"))).write.text(f"{folder}/log")
+    clicks.append(clicks.click_stream(spark, f"{folder}/log"), f"{folder}/table", f"{folder}/state").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/table")
+    return rows.groupBy(F.date_format(F.date_trunc("hour", "time"), "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("clicks"), F.countDistinct("letter_id").alias("letters"))
+
+
+QUERIES["T1_click_stream"] = streamed_clicks
+ORACLES["T1_click_stream"] = with_ctes("SELECT strftime(date_trunc('hour', time), '%Y-%m-%d %H') AS hour, count(*) AS clicks, count(DISTINCT letter_id) AS letters FROM click GROUP BY 1")
+
+# --- functions over texts and literals -------------------------------------------------------------------------------------
+
+MAILS = ["a@x.de", "a..b@x.de", ".a@x.de", "a.@x.de", "a@-x.de", "a@x", "a@@x.de", "a b@x.de", "A.B@X-y.De", "a@x..de", "a@x_y.de", "l" * 64 + "@x.de", "l" * 65 + "@x.de", "a@" + "d" * 63 + ".de", "a@" + "d" * 64 + ".de", "mailto:q@w.org?subject=x", "x@y.z", "q@w"]
+VALUES = ", ".join(f"('{m}')" for m in MAILS)
+query("F_mail_syntax", lambda t: values(t._spark, [(m,) for m in MAILS], "m string").select("m", text.bad_email(F.col("m")).alias("bad"), text.clean_email(F.col("m")).alias("cleaned")), f"""
+SELECT m, length(m) > 254 OR len(regexp_extract_all(m, '@')) <> 1 OR l = '' OR length(l) > 64 OR regexp_matches(m, '\\s') OR l LIKE '.%' OR l LIKE '%.' OR l LIKE '%..%' OR d NOT LIKE '%.%' OR NOT regexp_full_match(d, '[a-z0-9.-]+')
+  OR len(list_filter(string_split(d, '.'), lambda x: x = '' OR length(x) > 63 OR x LIKE '-%' OR x LIKE '%-')) > 0 AS bad, CASE WHEN length(c) >= 5 AND c LIKE '%@%' AND string_split(c, '@')[-1] LIKE '%.%' THEN c END AS cleaned
+FROM (SELECT m, split_part(m, '@', 1) AS l, lower(split_part(m, '@', 2)) AS d, split_part(regexp_replace(m, '^mailto:', ''), '?', 1) AS c FROM (VALUES {VALUES}) v(m))""")
+query("F_extract_emails", lambda t: t.documents.select("doc_id", F.array_join(text.emails_in(F.col("text")), "|").alias("emails"), F.size(text.urls_in(F.col("text"))).cast("long").alias("urls")).filter("emails <> '' or urls > 0"), r"""
+SELECT doc_id, coalesce(array_to_string(list_distinct_in_order, '|'), '') AS emails, len(list_distinct(regexp_extract_all(text, 'https?://[^\s"''<>]+'))) AS urls
+FROM (SELECT doc_id, text, list_filter(e, lambda x, i: list_position(e, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS e FROM documents)) WHERE len(list_distinct_in_order) > 0 OR regexp_matches(text, 'https?://[^\s"''<>]+')""")
+query("F_clean_text", lambda t: t.documents.select("doc_id", F.md5(text.clean(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("h")), r"SELECT doc_id, md5(nullif(trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[\s\x0B\x1C-\x1F\x85]+', ' ', 'g')), '')) AS h FROM documents")
+query("F_great_circle", lambda t: t.city.alias("a").join(t.city.alias("b"), F.expr("a.id < b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(geo.great_circle_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), 4).alias("km")), "SELECT a.id AS a, b.id AS b, round(6371 * acos(least(1, greatest(-1, cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon) - radians(a.lon)) + sin(radians(a.lat)) * sin(radians(b.lat))))), 4) AS km FROM city a JOIN city b ON a.id < b.id")
+query("F_city_and_plz", lambda t: t.contact.select("id", F.concat(F.lit("Ort "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, ", Stadt").when(F.col("id") % 3 == 1, ", Nord").otherwise("")).alias("c")).select("id", text.city_name(F.col("c")).alias("name"), text.before_comma(F.col("c")).alias("head"), text.padded_plz(F.col("id").cast("string")).alias("plz")), "SELECT id, CASE WHEN id % 3 = 1 THEN concat('Ort ', id, ', Nord') ELSE concat('Ort ', id) END AS name, concat('Ort ', id) AS head, CASE WHEN length(CAST(id AS VARCHAR)) >= 5 THEN CAST(id AS VARCHAR) ELSE lpad(CAST(id AS VARCHAR), 5, '0') END AS plz FROM contact")
+query("F_phone_url", lambda t: t.contact.select("id", F.concat(F.lit("tel:+49 "), F.expr("id * 37 % 100000"), F.lit("?x")).alias("p"), F.when(F.col("id") % 4 == 0, "javascript:void(0)").when(F.col("id") % 4 == 1, F.concat(F.lit(" https://a.de/"), F.col("id"), F.lit("/ "))).when(F.col("id") % 4 == 2, "b.de/x").otherwise("no link").alias("u")).select("id", text.clean_phone(F.col("p")).alias("phone"), text.clean_url(F.col("u")).alias("url"), text.link_label(text.clean_url(F.col("u"))).alias("label")), "SELECT id, CASE WHEN id * 37 % 100000 >= 1000 THEN concat('+49 ', id * 37 % 100000) END AS phone, CASE id % 4 WHEN 1 THEN concat('https://a.de/', id, '/') WHEN 2 THEN 'b.de/x' END AS url, CASE id % 4 WHEN 1 THEN concat('a.de/', id) WHEN 2 THEN 'b.de/x' END AS label FROM contact")
+
+# --- beyond SQL ------------------------------------------------------------------------------------------------------------
+
+query("F_h64", lambda t: t.contact.select("id", hashing.h64(F.col("company_name")).alias("h")), None)
+query("F_html_text", lambda t: t.pages.select("page_id", letters.page_text_udf("html").alias("text")), None)
+query("F_sanitize", lambda t: t.pages.select("page_id", letters.sanitize_udf("html").alias("html"), letters.plain_udf("html").alias("text")), None)
+query("F_web_merge", lambda t: t.pages.groupBy(F.regexp_extract("url", r"//([^/]+)/", 1).alias("host")).agg(websites.merge_websites(F.array_sort(F.collect_list("url"))).alias("urls")), None)
+query("X1_cards", lambda t: cards.cards(t.pages), None)
+query("X2_index_links", lambda t: cards.index_links(t.pages), None)
+
+
+def raw_cards(t: Tables) -> DataFrame:
+    """Cards made up of parts and their suppliers: several for each address, some of them bad."""
+    return t.li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "cb_id",
+        F.when(F.col("l_partkey") % 11 == 0, "").when(F.col("l_partkey") % 13 == 0, "broken@@x").otherwise(F.concat(F.lit(" Info"), (F.col("l_partkey") % 97).cast("string"), F.lit("@Example.de"))).alias("email"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Firma "), F.col("l_suppkey").cast("string"))).alias("company_name"),
+        F.concat(F.lit("Ort "), (F.col("l_suppkey") % 9).cast("string")).alias("city"), F.lit(None).cast("string").alias("land"),
+        F.array(F.concat(F.lit("0"), (F.col("l_suppkey") % 5).cast("string"))).alias("phones"), F.array().cast("array<string>").alias("websites"),
+        F.array(F.col("l_returnflag")).alias("categories"), F.concat(F.lit("Text "), (F.col("l_suppkey") % 3).cast("string")).alias("description"),
+    ).dropDuplicates(["id"])
+
+
+query("C3_outcome", lambda t: resolution.outcome(raw_cards(t), t.contact.filter("id < 50").select("email")), None)
+query("C3_resolution", lambda t: resolution.resolve(raw_cards(t)), None)

@@ -7,6 +7,8 @@ Spark gets it as a lazily planned temporary view, DuckDB as a common table expre
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +50,9 @@ def with_ctes(sql: str) -> str:
     """The statement with the views it needs as leading common table expressions, for DuckDB."""
     heads = [f"{name} AS ({VIEWS[name]})" for name in needed(sql)]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        heads.append(body[5:])
-        return "WITH " + ",\n".join(heads)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join([*heads, body[len(start) :]])
     return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + body
 
 
@@ -83,3 +85,9 @@ class Tables:
 
     def sql(self, statement: str) -> DataFrame:
         return self._run(statement)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder within the one that driver and executors share (spark.checkpoint.dir; a temporary one only where that is
+    not set, as in tests)."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/tables-{uuid.uuid4().hex}"
