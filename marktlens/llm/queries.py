@@ -103,7 +103,7 @@ SELECT doc_id, source, tokens, CAST(epoch AS INT) AS epoch, CAST(least(coalesce(
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted", F.size("passages").alias("n_passages"))
 
 

@@ -144,8 +144,9 @@ def labelled(labels: DataFrame, share: str, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("_l"), "_l").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as string)) % 4 != 2", most: int = 20_000, prior: float = 100_000.0, errors: float = 3.0, drift: float = 0.05) -> Model:
-    """Fits the model on the texts of at most `most` labelled rows (those of `share`); the prior covers all documents.
+def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as string)) % 4 != 2", most: int = 20_000, prior: float = 1.0, errors: float = 1.75, drift: float = 0.05) -> Model:
+    """Fits the model on the texts of at most `most` labelled rows (those of `share`): three quarters of them give the counts,
+    the others the calibration. The prior weighs `prior` times the toxic texts' counts and covers all documents.
 
     Copies of a text (equal in their four least word hashes) train as one. Without both labels, every score is 0."""
     small_batches(docs.sparkSession)
@@ -163,12 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
             yield {"_d": b.column("_d"), "toxic": b.column("toxic"), "key": keys, "_t": b.column("_t")}
 
     rows = map_rows(rows, sketches, "_d long, toxic int, key string, _t string")
-    rows = rows.groupBy("key", "toxic").agg(F.min(F.struct("_d", "_t")).alias("one")).select("toxic", F.col("one._t").alias("_t")).persist()
+    rows = rows.groupBy("key", "toxic").agg(F.min(F.struct("_d", "_t")).alias("one"))
+    aside = F.crc32(F.concat(F.lit("c"), F.col("one._d").cast("string"))) % 4 == 0
+    rows = rows.select("toxic", F.col("one._t").alias("_t"), aside.alias("aside")).persist()
 
     def counted(batches):
         return _counts(((int(b.column("toxic")[i].as_py() > 0), bag) for b, i, bag in _bags(batches)), 2)
 
-    seen = map_rows(rows, counted, "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("clean"), F.sum("c1").alias("toxic"))
+    seen = map_rows(rows.filter("not aside"), counted, "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("clean"), F.sum("c1").alias("toxic"))
     seen = checkpoint(seen)
     n = seen.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     if not n.clean or not n.toxic:
@@ -177,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
     base = checkpoint(background(docs))
     all_n = base.agg(F.sum("n")).first()[0]
     # only buckets with evidence for toxicity come to the driver
+    prior = prior * n.toxic
     a = F.greatest(F.lit(prior / all_n) * F.greatest(F.col("n"), F.col("clean") + F.col("toxic")), F.lit(1e-9))
     counts = seen.filter("toxic > 0").join(base, "bucket").withColumn("a", a)
     t, c = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
@@ -193,10 +197,12 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
                 k, found, _ = m.scan(t, memo)
                 n.append(k)
                 segs.append(sorted((x[2] for x in found), reverse=True)[:1])
-            yield {"toxic": b.column("toxic"), "n": n, "best": [x[0] if x else 0.0 for x in segs]}
+            yield {"toxic": b.column("toxic"), "aside": b.column("aside"), "n": n, "best": [x[0] if x else 0.0 for x in segs]}
 
-    top = map_rows(rows, risen, "toxic int, n long, best double").toPandas()  # one row for each training text, `most` at most
+    top = map_rows(rows, risen, "toxic int, aside boolean, n long, best double").toPandas()  # three numbers for each text, `most` at most
     rows.unpersist()
+    if min(top["aside"][top["toxic"] == c].sum() for c in (0, 1)) >= 10:  # else too few: calibrated on all
+        top = top[top["aside"]]
     _calibrate(model, top["toxic"].to_numpy() > 0, top["n"].to_numpy(), top["best"].to_numpy())
     return model
 

@@ -43,7 +43,7 @@ def corpus(spark, n=400):
 
 def test_learns_and_explains(spark):
     docs, labels = corpus(spark)
-    model = toxicity.train(docs, labels, prior=1000.0)
+    model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).collect()
     assert {r.predicted for r in rows if r.doc_id % 4 == 1} == {1} and {r.predicted for r in rows if r.doc_id % 4 != 1} == {0}
     hit = next(r for r in rows if r.doc_id == 1)
@@ -54,7 +54,7 @@ def test_odd_rows(spark):
     docs, labels = corpus(spark, 100)
     odd = spark.createDataFrame([(None, "vilesome words"), (901, None), (902, ""), (903, "balam " * 50000), (904, "x" * 100000), (1, "copy vilesome"), (1, "copy vilesome")], "doc_id long, text string")
     labels = labels.union(spark.createDataFrame([(None, 1), (5, None), (901, 0), (1, 0)], "doc_id long, toxic int"))
-    model = toxicity.train(docs.select("doc_id", "text").union(odd), labels, prior=1000.0)
+    model = toxicity.train(docs.select("doc_id", "text").union(odd), labels)
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
     assert [r.predicted for r in rows if r.doc_id in (901, 902, 903, 904)] == [0] * 4
