@@ -11,7 +11,7 @@ from marktlens.functions import geo, hashing, letters, text, websites
 from marktlens.operators import aggregates as ag
 from marktlens.operators import filters, joins, merge, ranking
 from marktlens.parsing import cards
-from marktlens.plans import dashboards, expansion, gate, lists, pacing, resolution
+from marktlens.plans import dashboards, expansion, gate, lists, pacing, rating, resolution
 from marktlens.sources.tables import Tables, shared_folder, with_ctes
 from marktlens.streaming import clicks, machines
 
@@ -373,3 +373,31 @@ def raw_cards(t: Tables) -> DataFrame:
 
 query("C3_outcome", lambda t: resolution.outcome(raw_cards(t), t.contact.filter("id < 50").select("email")), None)
 query("C3_resolution", lambda t: resolution.resolve(raw_cards(t)), None)
+
+# --- rating, dispatch, snapshots -------------------------------------------------------------------------------------------
+
+
+def scored(batch: DataFrame) -> DataFrame:
+    """A stand-in for the external scorer; some of its answers are out of range."""
+    return batch.withColumn("rate", (F.col("contact_id") * 7 % 100 + F.when(F.col("task_id") % 10 == 0, 50).otherwise(1)).cast("int"))
+
+
+query("C14_rating", lambda t: rating.rate_batch(ranking.rating_batch(t.sending_list, t.task, t.workspace), scored), f"""
+WITH b AS (SELECT task_id, contact_id, CAST(contact_id * 7 % 100 + CASE WHEN task_id % 10 = 0 THEN 50 ELSE 1 END AS INT) AS rate FROM (SELECT sl.task_id, sl.contact_id, w.access_type, {RN.format('sl.task_id', 'sl.rate_cb ASC NULLS LAST, sl.contact_id')} FROM sending_list sl JOIN task t ON t.id = sl.task_id JOIN workspace w ON w.id = t.workspace_id WHERE NOT coalesce(sl.removed, false) AND sl.rate IS NULL) WHERE rn <= CASE WHEN access_type = 'test' THEN 20 ELSE 50 END)
+SELECT * FROM b WHERE task_id NOT IN (SELECT task_id FROM b WHERE rate NOT BETWEEN 1 AND 100)""")
+query("C15_city_batch", lambda t: rating.city_batch(t.task_city_rating).select("task_id", "city_id", "rn"), f"SELECT task_id, city_id, CAST(rn AS INT) AS rn FROM (SELECT task_id, city_id, {RN.format('task_id', 'city_id')} FROM task_city_rating WHERE rate IS NULL AND task_id IN (SELECT DISTINCT task_id FROM task_city_rating WHERE rate IS NULL ORDER BY task_id LIMIT 200)) WHERE rn <= 50")
+query("T12_dispatch", lambda t: rating.dispatch(joins.pair_queue(t.task_pair, t.pair, t.plz, t.branch), F.when(F.col("catalog") == "gs", 40).otherwise(15)).select("catalog", "task_id", "id", "rn"), f"""
+SELECT catalog, task_id, id, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('catalog', 'rate ASC NULLS LAST, id')} FROM (SELECT task_id, id, rate, catalog FROM (SELECT tp.task_id, tp.id, tp.rate, b.catalog, {RN.format('tp.task_id', 'tp.rate ASC NULLS LAST, tp.id')} FROM task_pair tp JOIN pair p ON p.id = tp.cb_id JOIN plz z ON z.id = p.plz_id JOIN branch b ON b.id = p.branch_id WHERE p.collected = false) WHERE rn <= 10)) WHERE rn <= CASE WHEN catalog = 'gs' THEN 40 ELSE 15 END""")
+query("T9_held_back", lambda t: rating.held_back(t.sending_list.filter("rate is null").groupBy("task_id").agg(F.min("updated_at").alias("first_seen"), F.count("*").alias("n")), "1998-06-01 00:00:00").select("task_id", "n"), "SELECT task_id, n FROM (SELECT task_id, min(updated_at) AS first_seen, count(*) AS n FROM sending_list WHERE rate IS NULL GROUP BY 1) WHERE n >= 15 OR first_seen <= TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 15 MINUTE")
+query("T3_stale_snapshots", lambda t: ag.fingerprint_text(t.task_city_rating, "city_id").select("task_id", F.md5("fingerprint").alias("h")).join(ag.fingerprint_text(t.task_city_rating.withColumn("rate", F.when(F.col("task_id") % 4 == 0, F.lit(5)).otherwise(F.col("rate"))), "city_id").select("task_id", F.md5("fingerprint").alias("stored")), "task_id").filter(filters.changed("h", "stored")).select("task_id", "h"), """
+WITH f AS (SELECT task_id, string_agg(concat(city_id, ':', coalesce(CAST(rate AS VARCHAR), '')), '|' ORDER BY city_id) AS a, string_agg(concat(city_id, ':', coalesce(CAST(CASE WHEN task_id % 4 = 0 THEN 5 ELSE rate END AS VARCHAR), '')), '|' ORDER BY city_id) AS b FROM task_city_rating GROUP BY 1)
+SELECT task_id, md5(a) AS h FROM f WHERE a <> b""")
+query("T8_first_seen", lambda t: t.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_at"), F.count("*").alias("n")), "SELECT user_id, event_type, min(ts) AS first_at, count(*) AS n FROM events GROUP BY ALL")
+query("J14_unrated_counts", lambda t: t.task.select(F.col("id").alias("task_id")).join(t.task_city_rating.filter("rate is null").groupBy("task_id").agg(F.count("*").alias("unrated")), "task_id", "left").fillna(0, ["unrated"]), "SELECT id AS task_id, (SELECT count(*) FROM task_city_rating r WHERE r.task_id = t.id AND r.rate IS NULL) AS unrated FROM task t")
+query("J16_task_access", lambda t: t.task.join(t.workspace.select(F.col("id").alias("workspace_id"), "access_type"), "workspace_id").select(F.col("id").alias("task_id"), "access_type", "rate_limit"), "SELECT t.id AS task_id, w.access_type, t.rate_limit FROM task t JOIN workspace w ON w.id = t.workspace_id")
+query("L10_test_contacts", lambda t: ranking.first_rows(t.sending_list.join(t.task.select(F.col("id").alias("task_id"), "rate_limit"), "task_id").join(t.contact.select(F.col("id").alias("contact_id"), "email", "blocked", "wrong_email"), "contact_id").filter(filters.eligible()).filter("trim(email) <> ''"), ["task_id"], ranking.send_order(), 10).select("task_id", "contact_id", "rn"), f"SELECT task_id, contact_id, CAST(rn AS INT) AS rn FROM (SELECT sl.task_id, sl.contact_id, {RN.format('sl.task_id', 'sl.rate ASC NULLS LAST, sl.rate_cb ASC NULLS LAST, sl.contact_id')} FROM sending_list sl JOIN task t ON t.id = sl.task_id JOIN contact c ON c.id = sl.contact_id WHERE NOT coalesce(sl.removed, false) AND sl.rate <= t.rate_limit AND NOT coalesce(c.blocked, false) AND NOT coalesce(c.wrong_email, false) AND trim(c.email) <> '') WHERE rn <= 10")
+query("L8_list_page", lambda t: ranking.page(t.sending_list.filter("task_id = 31").select("contact_id", "rate", "rate_cb"), ranking.send_order(), 2, 10), "SELECT contact_id, rate, rate_cb FROM sending_list WHERE task_id = 31 ORDER BY rate ASC NULLS LAST, rate_cb ASC NULLS LAST, contact_id LIMIT 10 OFFSET (SELECT (least(2, greatest(1, CAST(ceil(count(*) / 10.0) AS BIGINT))) - 1) * 10 FROM sending_list WHERE task_id = 31)")
+query("P2_null_flags", lambda t: t.contact.agg(F.count_if(filters.is_false("wrong_email")).alias("good"), F.count_if(F.col("wrong_email").isNull()).alias("unknown")), "SELECT count(*) FILTER (WHERE NOT coalesce(wrong_email, false)) AS good, count(*) FILTER (WHERE wrong_email IS NULL) AS unknown FROM contact")
+
+# beyond the domain: clicks by the hour and sessions, as the streams count them
+query("X_click_windows", lambda t: t.click.groupBy(F.window(F.col("time").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("clicks")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "clicks"), "SELECT strftime(date_trunc('hour', time), '%Y-%m-%d %H:%M') AS start, count(*) AS clicks FROM click GROUP BY 1")
