@@ -27,12 +27,33 @@ MEMO = 200_000
 _WORD = re.compile(r"\w+")
 
 
-def features(word: str) -> np.ndarray:
-    w = f"^{word}$"
-    if len(w) > 40:  # very long runs count by their edges
-        w = w[:20] + w[-20:]
-    grams = {w, *(w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1))}
-    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], np.int32)
+_POWERS = np.uint64(0x100000001B3) ** np.arange(64, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of the words, one after the other, and where those of each word begin: the word itself and its 4- and
+    5-grams with marks at both ends. Very long words count by their edges."""
+    marked = [f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes)) - starts[owner]
+    found, owners = [_mixed(np.add.reduceat(codes * _POWERS[place], starts) if len(words) else codes)], [np.arange(len(words))]
+    for n in (4, 5):
+        if len(codes) >= n:
+            h = sum(codes[k : len(codes) - n + 1 + k] * _POWERS[n - k] for k in range(n)) + np.uint64(n)
+            inside = owner[: len(h)] == owner[n - 1 :]
+            found.append(_mixed(h[inside]))
+            owners.append(owner[: len(h)][inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
 def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -68,24 +89,24 @@ class Model:
     slope: float = 0.0
     offset: float = -100.0
 
-    def word(self, w: str) -> float:
-        best = float(self.lower[features(w)].max())
-        return best - self.drift if best > 0 else -self.drift
+    def learn(self, words: set[str], memo: dict[str, float]) -> None:
+        """Puts the scores of words that it lacks into the memo."""
+        new = list(words.difference(memo))
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list(words)
+        if new:
+            found, starts = features(new)
+            best = np.maximum.reduceat(self.lower[found], starts)
+            memo.update(zip(new, np.where(best > 0, best - self.drift, -self.drift).tolist()))
 
     def scan(self, text: str, memo: dict[str, float]) -> tuple[int, list[tuple[int, int, float]], list[str]]:
         """Number of tokens, segments over them, and the tokens."""
         words = _WORD.findall(text.lower())
-        at, scores = [], []
-        for i, w in enumerate(words):
-            s = memo.get(w)
-            if s is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                s = memo[w] = self.word(w)
-            if s > 0:
-                at.append(i)
-                scores.append(s)
-        return len(words), segments(at, scores, self.drift), words
+        self.learn(set(words), memo)
+        scores = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+        at = np.flatnonzero(scores > 0)
+        return len(words), segments(at.tolist(), scores[at].tolist(), self.drift), words
 
     def surprise(self, n: int, best: float) -> float:
         """-ln of the chance that n clean tokens hold a segment as good as `best`, at most 50."""
@@ -116,15 +137,15 @@ def _bags(batches):
     none = np.empty(0, np.int32)
     for b in batches:
         for i, text in enumerate(b.column("_t").to_pylist()):
-            bag = []
-            for w in set(_WORD.findall(text.lower())):
-                f = memo.get(w)
-                if f is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    f = memo[w] = features(w)
-                bag.append(f)
-            yield b, i, np.unique(np.concatenate(bag)) if bag else none
+            words = set(_WORD.findall(text.lower()))
+            new = list(words.difference(memo))
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+                new = list(words)
+            if new:
+                found, starts = features(new)
+                memo.update(zip(new, np.split(found, starts[1:])))
+            yield b, i, np.unique(np.concatenate([memo[w] for w in words])) if words else none
 
 
 def background(docs: DataFrame) -> DataFrame:
