@@ -117,8 +117,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pseudolikelihood.score(docs, *pseudolikelihood.train(docs))
+    return pseudolikelihood.train_and_score(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op9_lm_scoring": op9_lm_scoring, "op10_simhash_near_dedup": op10_simhash_near_dedup}
