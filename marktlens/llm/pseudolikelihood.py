@@ -42,10 +42,14 @@ class Shape:
     embed: int = 12
     hidden: int = 32
     rate: float = 0.05
-    share: int = 8  # each round trains on every share-th token of every document
+    share: int = 2  # each round trains on every share-th token; as many rounds take every token once
     rounds: int = 2
     seed: int = 1
 
+    def __post_init__(self):
+        if self.rounds < self.share:
+            raise ValueError("fewer rounds than shares leave tokens out")
+
     @property
     def size(self) -> int:
         return self.groups * self.within
@@ -151,6 +155,11 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def targets(ids: bytes, n: int, turn: int, share: int) -> np.ndarray:
+    """Places of the tokens of a document that a round trains on: `share` rounds in a row take each of its n tokens once."""
+    return np.arange((zlib.crc32(ids) + turn) % share, n, share)
+
+
 def frequent_words(docs: DataFrame, shape: Shape) -> list[str]:
     """The most frequent words of all documents, as many as have ids of their own; ties go by the word."""
 
@@ -187,8 +196,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def train(docs: DataFrame, shape: Shape = Shape()) -> tuple[Vocabulary, Network]:
-    """Counts the words of all documents and fits the network to them; every round passes through every document. Without
-    any token the network stays as it began."""
+    """Counts the words of all documents and fits the network to them; over the rounds every token of every document is a target.
+    Without any token the network stays as it began."""
     vocabulary = Vocabulary(frequent_words(docs, shape), shape)
     return vocabulary, fit(encoded(docs, vocabulary), shape)
 
@@ -225,7 +234,7 @@ def fit(rows: DataFrame, shape: Shape) -> Network:
             for b in batches:
                 for raw in b.column("ids").to_pylist():
                     ids = np.frombuffer(raw, shape.kind).astype(np.int64)
-                    at = np.arange((len(ids) + turn * (shape.share // 2 + 1)) % shape.share, len(ids), shape.share)
+                    at = targets(raw, len(ids), turn, shape.share)
                     if len(at):
                         held.append((own.contexts(ids)[at], ids[at]))
                         size += len(at)

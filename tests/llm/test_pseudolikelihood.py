@@ -100,3 +100,14 @@ def test_ids_kept_in_between(spark):
     twin = pl.score(docs, *pl.train(docs, SMALL)).orderBy("doc_id").collect()
     got = pl.train_and_score(docs, SMALL).orderBy("doc_id").collect()
     assert [r.doc_id for r in got] == [r.doc_id for r in twin] and all(abs(a.pseudo_log_likelihood - b.pseudo_log_likelihood) < 1e-2 for a, b in zip(got, twin))
+
+
+def test_every_token_is_a_target(spark):
+    shape = pl.Shape()
+    for n in range(20):
+        at = [pl.targets(bytes([n, 7]), n, turn, shape.share) for turn in range(shape.rounds)]
+        assert sorted(np.concatenate(at)) == list(range(n))
+    with pytest.raises(ValueError):
+        pl.Shape(share=3, rounds=2)
+    docs = spark.createDataFrame([(i, "red" if i % 2 else "red green") for i in range(6)], "doc_id long, text string")
+    assert not np.array_equal(pl.train(docs, shape)[1].vector, pl.Network(shape).vector)
