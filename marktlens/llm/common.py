@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,12 +18,26 @@ SALTS = 60
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder of spark.checkpoint.dir; one of its own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
+def shared(spark: SparkSession) -> str:
+    """The shared folder. A cluster has to name one; only a local master gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared one."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the bytes of the Arrow batches that carry whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -34,7 +49,8 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in work(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in fields], schema=fields)
+            made = (cols[f.name] for f in fields)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(made, fields)], schema=fields)
 
     return df.mapInArrow(run, schema)
 
@@ -63,7 +79,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of the undirected edges (a, b), longs: node, root (the smallest node reachable).
 
     Alternating large-star and small-star steps; each round is one written table, and the work ends when a round
-    changes no edge. Hubs are spread by salts. Null edges and loops are left out; nodes without edges have no row."""
+    changes no edge. Hubs are spread by salts. Null edges and loops are left out; nodes without edges have no row. Edges that
+    still change after so many rounds (which grow with the logarithm of the edges) are an error."""
 
     def toward_least(e: DataFrame, both: bool) -> DataFrame:
         """Every edge of a node moves to the least of the node and its neighbours."""
@@ -87,5 +104,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             break
         state = (new.n, new.h)
         e = checkpoint(toward_least(toward_least(e, True), False))
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(e.select(F.col("v"), F.col("v")).distinct())
