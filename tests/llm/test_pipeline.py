@@ -1,10 +1,9 @@
-import itertools
-
 import numpy as np
 import sentencepiece
 
 import corpus_pipeline as cp
-from marktlens.llm import simhash, substrings, toxicity
+from marktlens.llm import substrings, toxicity
+from tests.llm.test_shingles import brute as all_pairs
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,23 +28,10 @@ def test_stages_against_slow_twins(spark):
     kept = kept.orderBy("doc_id").collect()
     assert [r.doc_id for r in kept] == sorted(clean) and all(r == rows[r.doc_id] for r in kept)
 
-    # near-duplicates: all pairs, the smallest of each component
+    # near-duplicates: all pairs by Jaccard, the smallest of each component
     kept = spark.createDataFrame(kept, docs.schema)
-    got = cp.drop_near_duplicates(spark, kept, SF).orderBy("doc_id").collect()
-    ids = sorted(clean)
-    fps = [simhash.fingerprint(rows[d].text, 5) for d in ids]
-    root = list(range(len(ids)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(ids)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 3:
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-    assert [r.doc_id for r in got] == [d for i, d in enumerate(ids) if find(i) == i]
+    got = cp.drop_similar(spark, kept, SF).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == all_pairs([(d, rows[d].text) for d in sorted(clean)]) and all(r == rows[r.doc_id] for r in got)
 
     # repeats: documents in order, units seen before are cut
     kept = spark.createDataFrame(got, docs.schema)
