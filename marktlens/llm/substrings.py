@@ -1,7 +1,9 @@
 """Substring dedup by hashed text units.
 
 Units are whole lines, and passages: from the start of each sentence on, the fewest whole sentences that together have
-`min_words` words. A unit is compared in normal form (lower case, single blanks) by a 128-bit digest. Of equal units the
+`min_words` words. Words are what blanks separate; where a script or a run of characters has none, two ideographs, kana or letters of
+South-East Asian scripts, or twenty other characters, count as one. Sentences end at stops before a blank, closing quotes and brackets included, and at full-width
+stops. A unit is compared in normal form (lower case, single blanks) by a 128-bit digest. Of equal units the
 one that ranks first, by doc_id (nulls last), row key and offset, stays; the spans of all others are removed.
 
 Each task first reduces its own rows: later occurrences of a unit within it go for certain, so that only its first one
@@ -20,10 +22,21 @@ from pyspark.sql import functions as F
 
 from marktlens.llm.common import map_rows, small_batches, texts
 
-_END = re.compile(r"[.!?]+(?=\s|$)")
+_END = re.compile("[.!?\u2026]+[\"'\u2019\u201d\u00bb)\\]]*(?=\\s|$)|[\u3002\uff01\uff1f\uff61]+[\u300d\u300f\u2019\u201d\uff09)]*")
+#: Letters of scripts that are written without blanks.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _SPANS = "array<struct<start:int,end:int>>"
 
 
+def _words(pieces: list[str]) -> int:
+    """How many words the blank-separated pieces of a text count as."""
+    n = len(pieces)
+    joined = "".join(pieces)
+    if not joined.isascii() and (dense := len(_DENSE.findall(joined))):
+        return sum(max(1, (k := len(_DENSE.findall(x))) // 2 + (len(x) - k) // 20) for x in pieces)
+    return n if len(joined) <= 20 * n else sum(max(1, len(x) // 20) for x in pieces)
+
+
 def units(text: str, min_words: int, line_words: int) -> list[tuple[int, int, str]]:
     """start, end (code points) and normal form of the units of a text, in order of their starts."""
     out = []
@@ -34,8 +47,9 @@ def units(text: str, min_words: int, line_words: int) -> list[tuple[int, int, st
             words = s = 0
             for e in [*(m.end() for m in _END.finditer(line)), len(line)]:
                 if w := line[s:e].split():
-                    marks.append((at + s, at + e, " ".join(w).lower(), len(w)))
-                    words += len(w)
+                    size = _words(w)
+                    marks.append((at + s, at + e, " ".join(w).lower(), size))
+                    words += size
                 s = e
             if words >= line_words:
                 out.append((at, at + len(line), "l " + " ".join(line.split()).lower()))
@@ -116,27 +130,29 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut(text: str, gone: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """What is left of a text, and the offsets that it had. Blank lines that a removal leaves behind go with it."""
-    kept, at = [], 0
+def cut(text: str, gone: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """What is left of a text, and the offsets that it had and that the rest had. A line that a removal leaves blank goes
+    with it."""
+    kept, removed, at = [], [], 0
     for s, e in [*gone, (len(text), len(text))]:
         if s > at:
-            kept.append((at, s))
+            if kept and text[at] == "\n" and text[kept[-1][1] - 1] == "\n":
+                at += 1
+            if removed or at:
+                removed.append((kept[-1][1] if kept else 0, at))
+            if s > at:
+                kept.append((at, s))
         at = max(at, e)
-    parts: list[str] = []
-    for s, e in kept:
-        piece = text[s:e]
-        if parts and parts[-1].endswith("\n") and piece.startswith("\n"):
-            piece, s = piece[1:], s + 1
-        parts.append(piece)
-    return "".join(parts), kept
+    end = kept[-1][1] if kept else 0
+    return "".join(text[s:e] for s, e in kept), kept, merge([x for x in [*removed, (end, len(text))] if x[1] > x[0]])
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 8, line_words: int = 5) -> DataFrame:
     """The rows of `docs` with repeated units cut out of `text`, and: n_removed_units, n_removed_chars (long), removed and kept
     (arrays of start and end, in code points of the text as it came).
 
-    Null texts stay null. Rows equal in doc_id and text count as one document and come out alike; rows with a null
+    `text` is what `kept` says, and `removed` is all else. Null texts stay null, with no unit, as empty and blank ones do. Lines of
+    fewer than `line_words` words are units only as parts of passages. Rows equal in doc_id and text count as one document and come out alike; rows with a null
     doc_id rank last. Columns of the input with the names of the new ones are replaced; an empty table stays empty."""
     spans = repeated_spans(docs, min_words, line_words).withColumnsRenamed({"_d": "_rd", "_k": "_rk"})
     new = ["removed", "kept", "n_removed_units", "n_removed_chars"]
@@ -149,7 +165,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 8, line_words: int = 5) -
             out = {c: b.column(c) for c in rest} | {"text": [], **{c: [] for c in new}}
             for text, found in zip(b.column("_t").to_pylist(), b.column("spans").to_pylist()):
                 gone = merge([(x["start"], x["end"]) for x in found or ()])
-                left, kept = cut(text or "", gone)
+                left, kept, gone = cut(text or "", gone)
                 out["text"].append(None if text is None else left)
                 out["removed"].append([{"start": s, "end": e} for s, e in gone])
                 out["kept"].append([{"start": s, "end": e} for s, e in kept])
