@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
 Sources weigh by their share of tokens raised to an exponent (one over the temperature). The exponent is bisected until
-the weights have the wanted entropy, or until no source repeats more often than allowed. The weights are then realised as
+the weights have the wanted entropy, or until no source repeats more often than allowed; of both, the limit of repeats wins. The weights are then realised as
 whole and part permutations of each source: epoch after epoch in an order drawn by hash, as far as the source's budget
 goes, cut into blocks that all hold the sources in the target proportions.
 """
@@ -19,6 +19,8 @@ from marktlens.llm.common import SALTS, checkpoint, salted
 TOKEN = r"[^\x09-\x0D\x20]+"
 #: Pieces of a source's permutation that are summed up apart; a running sum spans the pieces, others the rows in each.
 PIECES = 1024
+#: Epochs of a document that one task emits at once; more are dealt out.
+SPAN = 1024
 #: Halvings of the exponent's interval in each job, and jobs.
 LEVELS, PASSES = 5, 10
 HIGHEST = 8.0
@@ -38,9 +40,11 @@ def _repeats(a: float) -> Column:
 def exponent(shares: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None) -> float:
     """The exponent at which weights p^a reach the target: the largest in [0, 8] with at least `target_entropy` times the
     entropy of equal weights, or the smallest in [0, 1] with at most `max_repeats` epochs of a source for each of
-    another. Each job evaluates all midpoints that the next five halvings can meet: one row, whatever the sources."""
-    if (target_entropy is None) == (max_repeats is None):
-        raise ValueError("give either target_entropy or max_repeats")
+    another, or the larger of both. Each job evaluates all midpoints that the next five halvings can meet: one row, whatever the sources."""
+    if target_entropy is None and max_repeats is None:
+        raise ValueError("give target_entropy, max_repeats or both")
+    if target_entropy is not None and max_repeats is not None:
+        return max(exponent(shares, target_entropy=target_entropy), exponent(shares, max_repeats=max_repeats))
     lo, hi = 0.0, HIGHEST if max_repeats is None else 1.0
 
     def midpoints(lo: float, hi: float, levels: int) -> list[float]:
@@ -94,7 +98,14 @@ def draw(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     made = weights(rows, target_entropy, max_repeats, budget).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = salted(rows, "doc_id", "row_key").join(made, ["_s", "_salt"], "left").drop("_salt")
     last = F.when(F.col("tokens") == 0, 0).otherwise(F.coalesce(F.expr("epochs - if(part = 0, 1, 0)"), F.lit(0)))
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    rows = rows.withColumn("_last", last.cast("long"))
+    most = made.agg(F.max("epochs")).first()[0] or 0
+    if most > SPAN:  # a small source may repeat very often: spans of epochs are dealt to many tasks
+        rows = rows.withColumn("_span", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_last div {SPAN}"))))
+        rows = rows.repartition("doc_id", "row_key", "_span").withColumn("epoch", F.explode(F.sequence(F.col("_span") * SPAN, F.least("_last", F.col("_span") * SPAN + SPAN - 1)))).drop("_span")
+    else:
+        rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    rows = rows.drop("_last")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("epoch").cast("string")))
     rows = rows.withColumn("order", key).withColumn("piece", F.conv(F.substring("order", 1, 4), 16, 10).cast("int") % PIECES)
     place = Window.partitionBy("_s", "epoch", "piece").orderBy("order", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,8 +119,21 @@ def draw(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as it is drawn, with the columns of `docs` alone."""
-    drawn = draw(docs, **options).select(F.col("doc_id").alias("_md"), F.col("row_key").alias("_mk"), F.col("source").alias("_ms"), "epoch")
-    # rows equal in id, text and source are drawn alike: each distinct draw is taken once for each of them
-    drawn = drawn.distinct().drop("epoch")
-    return docs.withColumn("_k", F.xxhash64("text")).join(drawn, F.expr("doc_id <=> _md and _k = _mk and source <=> _ms")).select(*docs.columns)
+    """The rows of `docs`, each as often as it is drawn, with the columns of `docs` alone, in the order of the blocks and of the
+    places within them: partition after partition, and so file after file when they are written.
+
+    A null source is one of its own; rows without tokens come once; ids and texts may be null or repeat: of rows that are
+    equal in id, text and source each gets draws of its own. An empty table gives an empty result. Columns of docs may have any
+    name but those that begin with `_mix`."""
+
+    def keyed(rows: DataFrame, key) -> DataFrame:
+        name = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
+        return rows.withColumn("_mix_d", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn("_mix_k", key).withColumn("_mix_s", name)
+
+    keys = ["_mix_d", "_mix_k", "_mix_s"]
+    # the n-th of equal rows takes the n-th draw of each epoch
+    drawn = keyed(draw(docs, **options), F.col("row_key")).withColumn("_mix_m", F.row_number().over(Window.partitionBy(*keys, "epoch").orderBy("start")))
+    drawn = drawn.select(*keys, "_mix_m", F.col("block").alias("_mix_b"), F.col("order").alias("_mix_o"))
+    rows = keyed(docs, F.xxhash64("text")).withColumn("_mix_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    found = rows.join(drawn, keys).filter(F.col("_mix_n").between(F.col("_mix_m"), F.col("_mix_m")))
+    return found.repartitionByRange("_mix_b", "_mix_o", "_mix_k").sortWithinPartitions("_mix_b", "_mix_o", "_mix_k").select(*docs.columns)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import defaultdict
 
@@ -68,3 +69,58 @@ def test_mix_repeats_rows(spark):
     got = mixing.mix(d, max_repeats=3.0)
     assert got.columns == d.columns
     assert got.filter("source = 'small'").count() >= 18 and got.filter("doc_id = 2001").count() % 2 == 0
+
+
+def slow_mix(rows, max_repeats, blocks, seed=1):
+    """Rows in the order of their draws, with loops: exponent by halving, quotas, then epoch after epoch of each source."""
+    tokens = [len((t or "").split()) for _, t, _ in rows]
+    sums = defaultdict(int)
+    for (_, _, s), n in zip(rows, tokens):
+        sums[s] += n
+    live = {s: n for s, n in sums.items() if n}
+    p = {s: n / sum(live.values()) for s, n in live.items()}
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if (max(p.values()) / min(p.values())) ** (1 - mid) <= max_repeats else (mid, hi)
+    z = sum(x**hi for x in p.values())
+    w = {s: x**hi / z for s, x in p.items()}
+    budget = max(live[s] / w[s] for s in live)
+    out = []
+    for s in sums:
+        quota, start = (round(w[s] * budget), 0) if s in live else (0, 0)
+        for epoch in range(quota // live[s] + 1 if s in live else 1):
+            own = [(hashlib.md5(f"{seed}:{'-' if d is None else d}:{epoch}".encode()).hexdigest(), d, t, n) for (d, t, source), n in zip(rows, tokens) if source == s and (n or not epoch)]
+            own.sort(key=lambda x: (int(x[0][:4], 16) % mixing.PIECES, x[0]))
+            for o, d, t, n in own:
+                if n and start + n > quota and epoch == quota // live[s]:
+                    break
+                out.append((min(start * blocks // quota, blocks - 1) if quota else 0, o, d, t, s))
+                start += n
+    return [x[2:] for x in sorted(out, key=lambda x: x[:2])]
+
+
+def test_mix_against_slow_twin(spark):
+    rows = [(i, "w " * (i % 7) + str(i), "big" if i % 3 else "mid") for i in range(200)] + [(900 + i, "a b c", "small") for i in range(9)] + [(950, None, "big"), (951, "", None), (952, "q r", None), (953, "", "void")]
+    d = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id long, text string, source string, epoch string, block string, tokens int")
+    got = mixing.mix(d.repartition(3), max_repeats=2.6, blocks=8)
+    assert got.columns == d.columns
+    assert [(r.doc_id, r.text, r.source) for r in got.collect()] == slow_mix(rows, 2.6, 8)
+
+
+def test_equal_rows_have_draws_of_their_own(spark):
+    d = docs(spark, [(1, "a b", "s", "x")] * 5 + [(2, "c " * 40, "t", "x")])
+    drawn = mixing.draw(d, max_repeats=2.5)
+    assert mixing.mix(d, max_repeats=2.5).filter("source = 's'").count() == drawn.filter("source = 's'").count() > 5
+
+
+def test_tiny_source(spark):
+    """Shares 10^5 apart: many epochs of one short text, spread over spans; a limit of repeats goes before the entropy."""
+    d = docs(spark, [(1, "a " * 400_000, "big", "x"), (2, "b c d e", "tiny", "x")])
+    many = mixing.draw(d, target_entropy=0.95)
+    r = many.filter("source = 'tiny'").selectExpr("count(*) as n", "max(epoch) as last", "count(distinct epoch) as kinds", "max(start) as at").first()
+    assert r.n == r.kinds == r.last + 1 > 10_000 and r.at == 4 * r.last
+    both = mixing.draw(d, target_entropy=0.95, max_repeats=3.0)
+    assert both.filter("source = 'tiny'").count() == 3
+    far = docs(spark, [(1, "a", "s", "x")]).selectExpr("'+big' as _s", "1000000000L as tokens").union(docs(spark, [(1, "a", "s", "x")]).selectExpr("'+tiny' as _s", "1L as tokens"))
+    assert {r._s: r.epochs for r in mixing.weights(far, target_entropy=0.95, max_repeats=50.0).collect()} == {"+big": 1, "+tiny": 50}

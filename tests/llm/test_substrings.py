@@ -6,7 +6,7 @@ ROWS = [
     (5, f"{A}\n{B}"), (2, f"Intro words before it and {A} after"), (9, B), (1, "alpha beta gamma delta epsilon\nunique line that no other has at all"),
     (3, "x\nALPHA  beta gamma delta epsilon\ny"), (4, None), (6, ""), (None, A), (5, f"{A}\n{B}"), (8, "\n\n \n"), (10, (A + " ") * 3000), (11, "no no. " * 50),
     (12, f"aaa\n{B}\nbbb"), (13, f"{B}\n\n{B}\n"), (14, f"\n{A}\n\n{A}\nend"), (15, "\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u6563\u6b65\u5929\u6c14\u5f88\u597d\u5927\u5bb6\u90fd\u9ad8\u5174\u3002\u56de\u5bb6\u3002"), (16, "\u524d\u6587\u3002\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u6563\u6b65\u5929\u6c14\u5f88\u597d\u5927\u5bb6\u90fd\u9ad8\u5174\u3002\u540e\u6587"),
-    (17, 'He said "one two three four five six seven eight." Then (so on and on he went, for ever.) End'), (18, 'We said "one two three four five six seven eight." Never (so on and on he went, for ever.) End'), (19, "x" * 170), (20, "y\n" + "x" * 170),
+    (17, 'He said (no.) One two three four five six seven "eight." Then'), (18, 'We left (no.) One two three four five six seven "eight." Never'), (19, "x" * 170), (20, "y\n" + "x" * 170),
 ]
 
 
