@@ -3,7 +3,8 @@
 A token's score is how much likelier toxic documents hold it than clean ones: the log-odds of its features (the word, and
 its character 4- and 5-grams, in a fixed number of hash buckets) under Dirichlet priors in proportion to the features'
 counts over all documents, less a multiple of the standard error. Scores of ordinary tokens are slightly negative, so the
-linear-time scan of all maximal scoring segments gives the passages where evidence gathers. How high segments rise in
+linear-time scan of all maximal scoring segments gives the passages where evidence gathers. Runs of more than 40 word characters (clauses of scripts without blanks, joined words)
+count as overlapping tokens, which together hold each of their n-grams. How high segments rise in
 clean documents by chance follows an exponential tail (Karlin-Altschul statistics): from it each document's best segment
 gets a p-value for its length, and from that the document's score by a one-variable logistic fit.
 """
@@ -12,10 +13,10 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,19 @@ MEMO = 200_000
 _WORD = re.compile(r"\w+")
 
 
-_POWERS = np.uint64(0x100000001B3) ** np.arange(64, dtype=np.uint64)
+#: Longest token, and length and step of the tokens that longer runs are cut into; neighbours share the longest n-gram but one.
+LONGEST, PIECE, STEP = 40, 24, 20
+_POWERS = np.uint64(0x100000001B3) ** np.arange(LONGEST + 2, dtype=np.uint64)
+
+
+def tokens(text: str) -> list[str]:
+    return split_long(_WORD.findall(text.lower()))
+
+
+def split_long(words: list[str]) -> list[str]:
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= LONGEST else [w[i : i + PIECE] for i in range(0, len(w) - (PIECE - STEP), STEP)])]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -37,8 +50,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of the words, one after the other, and where those of each word begin: the word itself and its 4- and
-    5-grams with marks at both ends. Very long words count by their edges."""
-    marked = [f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    5-grams with marks at both ends."""
+    marked = [f"^{w}$" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     starts = np.cumsum(sizes) - sizes
@@ -90,7 +103,7 @@ class Model:
     offset: float = -100.0
 
     def learn(self, words: set[str], memo: dict[str, float]) -> None:
-        """Puts the scores of words that it lacks into the memo."""
+        """Puts the scores of tokens that it lacks into the memo."""
         new = list(words.difference(memo))
         if len(memo) + len(new) > MEMO:
             memo.clear()
@@ -103,7 +116,11 @@ class Model:
     def scan(self, text: str, memo: dict[str, float]) -> tuple[int, list[tuple[int, int, float]], list[str]]:
         """Number of tokens, segments over them, and the tokens."""
         words = _WORD.findall(text.lower())
-        self.learn(set(words), memo)
+        distinct = set(words)
+        if max(map(len, distinct.difference(memo)), default=0) > LONGEST:  # the memo holds no long ones
+            words = split_long(words)
+            distinct = set(words)
+        self.learn(distinct, memo)
         scores = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
         at = np.flatnonzero(scores > 0)
         return len(words), segments(at.tolist(), scores[at].tolist(), self.drift), words
@@ -139,6 +156,9 @@ def _bags(batches):
         for i, text in enumerate(b.column("_t").to_pylist()):
             words = set(_WORD.findall(text.lower()))
             new = list(words.difference(memo))
+            if max(map(len, new), default=0) > LONGEST:
+                words = set(tokens(text))
+                new = list(words.difference(memo))
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = list(words)
@@ -169,22 +189,19 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
     """Fits the model on the texts of at most `most` labelled rows (those of `share`): three quarters of them give the counts,
     the others the calibration. The prior weighs `prior` times the toxic texts' counts and covers all documents.
 
-    Copies of a text (equal in their four least word hashes) train as one. Without both labels, every score is 0."""
+    Texts that are equal in their tokens train as one for each label. Null ids have no label; null and empty texts have no
+    tokens, and count as one text; an id with several rows labels each of them. Without both labels, every score is 0."""
     small_batches(docs.sparkSession)
     model = Model(drift=drift)
     chosen = F.broadcast(labelled(labels, share, most))  # at most `most` rows of two numbers
     rows = texts(docs).filter("_d is not null").join(chosen, F.col("_d") == F.col("_l")).select("_d", "_t", "toxic")
 
-    def sketches(batches):
+    def digests(batches):
         for b in batches:
-            keys, n = [], []
-            for t in b.column("_t").to_pylist():
-                words = _WORD.findall(t.lower())
-                keys.append("/".join(map(str, sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words})[:4])))
-                n.append(len(words))
+            keys = [xxhash.xxh3_128_hexdigest(" ".join(tokens(t)).encode("utf-8", "surrogatepass")) for t in b.column("_t").to_pylist()]
             yield {"_d": b.column("_d"), "toxic": b.column("toxic"), "key": keys, "_t": b.column("_t")}
 
-    rows = map_rows(rows, sketches, "_d long, toxic int, key string, _t string")
+    rows = map_rows(rows, digests, "_d long, toxic int, key string, _t string")
     rows = rows.groupBy("key", "toxic").agg(F.min(F.struct("_d", "_t")).alias("one"))
     aside = F.crc32(F.concat(F.lit("c"), F.col("one._d").cast("string"))) % 4 == 0
     rows = rows.select("toxic", F.col("one._t").alias("_t"), aside.alias("aside")).persist()
@@ -206,8 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
     counts = seen.filter("toxic > 0").join(base, "bucket").withColumn("a", a)
     t, c = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
     odds = F.log(t / F.lit(n.toxic + prior)) - F.log(c / F.lit(n.clean + prior))
-    found = counts.select("bucket", (odds - F.lit(errors) * F.sqrt(1 / t + 1 / c)).alias("lower")).filter("lower > 0").collect()
-    model.lower[[r.bucket for r in found]] = [r.lower for r in found]
+    found = counts.select("bucket", (odds - F.lit(errors) * F.sqrt(1 / t + 1 / c)).alias("lower")).filter("lower > 0").toArrow()  # BUCKETS rows at most
+    model.lower[found["bucket"].to_numpy()] = found["lower"].to_numpy()
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def risen(batches):

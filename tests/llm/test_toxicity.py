@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -77,3 +78,67 @@ def test_held_out_accuracy(spark):
     right = sum((a > b) + 0.5 * (a == b) for a, x in pairs if x for b, y in pairs if not y)
     n = sum(y for _, y in pairs)
     assert right / (n * (len(pairs) - n)) > 0.75
+
+
+def test_middle_of_long_runs_is_scored(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels)
+    around = "_".join(["balam", "celam", "dinere", "fotosa"] * 6)
+    for glue in ("_", ""):
+        bad, good = around + glue + "vilesome" + glue + around, around + glue + "ruped" + glue + around
+        rows = spark.createDataFrame([(1, bad), (2, good)], "doc_id long, text string")
+        a, b = (r.score for r in toxicity.score(rows, model).orderBy("doc_id").collect())
+        assert a > b and model.scan(bad, {})[1]
+    for n in (1, 40, 41, 44, 45, 64, 100):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        grams = {w[i : i + 5] for i in range(n - 4)}
+        assert grams <= {x[i : i + 5] for x in toxicity.tokens(w) for i in range(len(x) - 4)} and all(len(x) <= 40 for x in toxicity.tokens(w))
+
+
+def slow_features(word):
+    marked = f"^{word}$"
+    mask, out = (1 << 64) - 1, set()
+
+    def mixed(h):
+        h = (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & mask
+        return (h ^ (h >> 29)) % toxicity.BUCKETS
+
+    power = lambda k: pow(0x100000001B3, k, 1 << 64)
+    out.add(mixed(sum(ord(c) * power(i) for i, c in enumerate(marked)) & mask))
+    for n in (4, 5):
+        for i in range(len(marked) - n + 1):
+            out.add(mixed((sum(ord(marked[i + k]) * power(n - k) for k in range(n)) + n) & mask))
+    return out
+
+
+def test_counts_and_log_odds_against_loops(spark):
+    """Features of each document, counts by label, the prior over all documents, and the lower bounds of the log-odds."""
+    docs, labels = corpus(spark, 120)
+    docs = docs.union(spark.createDataFrame([(1, "vilesome again", "x"), (500, None, "x")], docs.schema))
+    model = toxicity.train(docs, labels, errors=0.5)
+    toxic_of = {r.doc_id: r.toxic for r in labels.collect()}
+    bags, one = [], {}
+    for d, t, _ in docs.collect():
+        bag = {f for w in (t or "").lower().split() for f in slow_features(w)}
+        bags.append(bag)
+        if d in toxic_of and zlib.crc32(str(d).encode()) % 4 != 2:
+            key = ((t or "").lower(), toxic_of[d])
+            one[key] = min(one.get(key, (d, bag)), (d, bag), key=lambda x: x[0])
+    trained = [(y, bag) for (_, y), (d, bag) in one.items() if zlib.crc32(f"c{d}".encode()) % 4 != 0]
+    n, clean, toxic = ({} for _ in range(3))
+    for bag in bags:
+        for f in bag:
+            n[f] = n.get(f, 0) + 1
+    for y, bag in trained:
+        for f in bag:
+            (toxic if y else clean)[f] = (toxic if y else clean).get(f, 0) + 1
+    all_clean, all_toxic, all_n = sum(clean.values()), sum(toxic.values()), sum(n.values())
+    want = {}
+    for f, t in toxic.items():
+        a = max(1e-9, all_toxic / all_n * max(n[f], clean.get(f, 0) + t))
+        x, y = t + a, clean.get(f, 0) + a
+        lower = math.log(x / (2 * all_toxic)) - math.log(y / (all_clean + all_toxic)) - 0.5 * math.sqrt(1 / x + 1 / y)
+        if lower > 0:
+            want[f] = lower
+    got = {int(i): float(model.lower[i]) for i in model.lower.nonzero()[0]}
+    assert got.keys() == want.keys() and len(got) > 5 and all(abs(got[f] - want[f]) < 1e-5 for f in got)
