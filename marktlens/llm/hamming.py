@@ -21,9 +21,11 @@ BITS = 64
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
-    """vec_id and code of vectors: one bit for each of the first 64 components, set where it is above zero. Null components
-    and those that are missing leave their bits clear; null vectors have a null code."""
-    bits = F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (c, i) -> if(coalesce(get(embedding, i), 0) > 0, c | shiftleft(1L, i), c))")
+    """vec_id and code of vectors: one bit for each of 64 components, set where it is above zero; in wider vectors, where the sum of
+    the components at that place in each 64 is. Null components and those that are missing count as zero; null vectors have
+    a null code."""
+    value = f"aggregate(sequence(i, greatest(i, size(embedding) - 1), {BITS}), 0D, (s, k) -> s + coalesce(get(embedding, k), 0))"
+    bits = F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (c, i) -> if({value} > 0, c | shiftleft(1L, i), c))")
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("embedding").isNotNull(), bits).alias("code"))
 
 
@@ -54,6 +56,10 @@ def _distance(a, b):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))).cast("int")
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _best(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("distance", "low")
     return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
@@ -85,7 +91,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for radius in range(BITS):
         masks = F.broadcast(_masks(spark, m, radius))
         probes = open_queries.select("q", "bound", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), F.col("q").bitwiseAND(F.lit(_part(s, m))).alias("own")) for s in range(m)])).alias("p"))
-        probes = probes.select("q", "bound", "p.seg", "p.own").join(masks, "seg").withColumn("key", F.col("own").bitwiseXOR(F.col("mask")))
+        # dealt out before the balls are enumerated, however few partitions the queries come in
+        probes = probes.select("q", "bound", "p.seg", "p.own").repartition(_tasks(spark), "q", "seg").join(masks, "seg").withColumn("key", F.col("own").bitwiseXOR(F.col("mask")))
         # met before: an earlier segment at this radius or any segment within a smaller one
         apart = [F.bit_count(F.col("q").bitwiseXOR(F.col("code")).bitwiseAND(F.lit(_part(s, m)))) for s in range(m)]
         new = F.array_position(F.transform(F.array(*apart), lambda d: d <= radius), True) - 1 == F.col("t.seg")

@@ -39,3 +39,18 @@ def test_oracle(spark):
 
 def test_empty(spark):
     assert run(spark, [], [(1, 2)], 3) == [] and run(spark, [(1, 2)], [], 3) == []
+
+
+def test_codes_of_other_widths(spark):
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(n)]) for i, n in enumerate((0, 3, 63, 64, 65, 130, 128))] + [(9, None), (10, [None, 1.0])]
+    got = {x.vec_id: x.code for x in hamming.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, v in rows:
+        want = None if v is None else sum(1 << b for b in range(64) if sum(x or 0 for x in v[b::64]) > 0)
+        assert (got[i] if got[i] is None else got[i] % (1 << 64)) == want
+
+
+def test_ties_across_the_last_place(spark):
+    codes = [(i, 0) for i in range(2)] + [(100 - i, 0b111) for i in range(8)] + [(50 + i, 0b111 << 20) for i in range(4)]
+    asked = [(0, 0), (999, 0b1)]
+    assert run(spark, codes, asked, 5) == brute(codes, asked, 5)
