@@ -94,17 +94,23 @@ class Network:
         net.b[:] = np.log(n / n.sum(1, keepdims=True))
         return net
 
-    def contexts(self, ids: np.ndarray, sizes: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
-        """Classes around each token, or those at places `at`, one row for each side and distance; the end mark beyond a text.
-        The ids are those of one text, or of texts of these sizes one after the other."""
-        w, sizes = self.shape.width, np.array([len(ids)]) if sizes is None else sizes
+    def padded(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes of texts of these sizes with end marks between them, and where their tokens are."""
+        w = self.shape.width
         padded = np.full(len(ids) + w * (len(sizes) + 1), self.shape.size, np.int16)
         place = np.arange(len(ids)) + np.repeat(np.arange(1, len(sizes) + 1) * w, sizes)
         padded[place] = ids
-        if at is not None:
-            place = place[at]
+        return padded, place
+
+    def around(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Classes around the tokens at some places, one row for each side and distance; the end mark beyond a text."""
+        w = self.shape.width
         return np.stack([padded.take(place + o) for o in range(-w, w + 1) if o])
 
+    def contexts(self, ids: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Classes around each token of one text, or of texts of these sizes one after the other."""
+        return self.around(*self.padded(ids, np.array([len(ids)]) if sizes is None else sizes))
+
     def _forward(self, around: np.ndarray, target: np.ndarray):
         """Rows are in the order of their targets' groups: hidden values, exponentials and sums of both levels, places, edges."""
         h = self.e[0].take(around[0], axis=0)
@@ -334,9 +340,10 @@ def fit(rows: DataFrame, network: Network) -> Network:
                 edges = np.cumsum([0, *sizes])
                 at = [s + targets(ids[s:e].tobytes(), e - s, turn, shape.share) for s, e in zip(edges, edges[1:])]
                 at = np.concatenate(at) if at else edges[:0]
+                padded, place = own.padded(ids, sizes)
                 for i in range(0, len(at), 8 * STEP):
                     part = at[i : i + 8 * STEP]
-                    held.append((own.contexts(ids, sizes, part), ids[part]))
+                    held.append((own.around(padded, place[part]), ids[part]))
                     size += len(part)
                     total += len(part)
                     if size >= 8 * STEP:
