@@ -38,9 +38,9 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Bounds the bytes of the Arrow batches that carry whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:

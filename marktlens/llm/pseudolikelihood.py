@@ -269,7 +269,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Two kinds of rows for each batch of documents, a `chunk`. Of each document: doc (its place in the chunk), _d (doc_id) and ids
     (classes of its tokens as little-endian integers of 16 bits). Of each distinct word that has no class of its own: word (its
     hash) and docs (the places of the documents that hold it, as often as they do)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 8)
     shipped = docs.sparkSession.sparkContext.broadcast((list(vocabulary.own), vocabulary.shape))
 
     def work(batches):

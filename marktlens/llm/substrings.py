@@ -25,6 +25,8 @@ from marktlens.llm.common import map_rows, small_batches, texts
 _END = re.compile("[.!?\u2026]+[\"'\u2019\u201d\u00bb)\\]]*(?=\\s|$)|[\u3002\uff01\uff1f\uff61]+[\u300d\u300f\u2019\u201d\uff09)]*")
 #: Letters of scripts that are written without blanks.
 _DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Units of a task that are reduced together.
+TASK_UNITS = 400_000
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -81,7 +83,7 @@ def _first_in_task(min_words: int, line_words: int):
                     keys.append(k[i])
                     spans.append(np.array([x[:2] for x in found], np.int64))
                     digests.append(np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[2].encode("utf-8", "surrogatepass")) for x in found), ">u8").reshape(-1, 2).astype(np.uint64))
-            if sum(where) >= 1_000_000:  # bounds the memory; the rest of the task is reduced for itself
+            if sum(where) >= TASK_UNITS:  # bounds the memory; the rest of the task is reduced for itself
                 yield from reduce(digests, docs, keys, spans, where)
                 digests, docs, keys, spans, where = [], [], [], [], []
         if where:
