@@ -84,3 +84,9 @@ def in_order_best(df: DataFrame, by: list[str], order: list, keep: int = 1) -> D
     """The first rows of each group in an order; the rank is pushed below the shuffle by the optimizer."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
+
+
+def surrogate_ids(staged: DataFrame, dimension: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The staged rows with the dimension's id, as `name`, in place of their natural keys; rows without a match go, as do those
+    with a null in a key."""
+    return staged.join(dimension.select(*keys, F.col("id").alias(name)), keys).drop(*keys)

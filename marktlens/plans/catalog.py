@@ -144,7 +144,7 @@ query("J3_before_first_hole", lambda t: lists.before_first_hole(t.task_pair, t.p
 query("J4_unsent", lambda t: t.sending_list.select("task_id", "contact_id").join(t.sending_log.select("contact_id").distinct(), "contact_id", "left_anti").groupBy("task_id").agg(F.count("*").alias("unsent")), "SELECT task_id, count(*) AS unsent FROM sending_list sl WHERE NOT EXISTS (SELECT 1 FROM sending_log lg WHERE lg.contact_id = sl.contact_id) GROUP BY 1")
 query("J5_delete_missing", lambda t: joins.missing(t.task_pair, t.task_pair.filter("rate < 25"), ["task_id", "cb_id"]).select("task_id", "cb_id"), "SELECT task_id, cb_id FROM task_pair a WHERE NOT EXISTS (SELECT 1 FROM task_pair b WHERE b.rate < 25 AND b.task_id = a.task_id AND b.cb_id = a.cb_id)")
 query("J6_fully_rated_tasks", lambda t: joins.fully_rated(t.task_city_rating), "SELECT DISTINCT task_id FROM task_city_rating a WHERE NOT EXISTS (SELECT 1 FROM task_city_rating b WHERE b.task_id = a.task_id AND b.rate IS NULL)")
-query("J10_surrogate_ids", lambda t: t.task_branch_rating.filter("rate is not null").join(t.pair.select(F.col("id").alias("cb_id"), "branch_id", "plz_id"), "branch_id").filter("plz_id < 5").select("task_id", "cb_id", "rate"), "SELECT r.task_id, p.id AS cb_id, r.rate FROM task_branch_rating r JOIN pair p USING (branch_id) WHERE r.rate IS NOT NULL AND p.plz_id < 5")
+query("J10_surrogate_ids", lambda t: joins.surrogate_ids(t.task_pair.join(t.pair, F.col("cb_id") == t.pair.id).select("task_id", "plz_id", "branch_id", t.task_pair.rate), t.pair, ["plz_id", "branch_id"], "cb_id").select("task_id", "cb_id", "rate"), "SELECT tp.task_id, p.id AS cb_id, tp.rate FROM task_pair tp JOIN pair s ON s.id = tp.cb_id JOIN pair p ON p.plz_id = s.plz_id AND p.branch_id = s.branch_id")
 
 
 def points(t: Tables) -> DataFrame:
@@ -344,7 +344,7 @@ FROM (SELECT m, split_part(m, '@', 1) AS l, lower(split_part(m, '@', 2)) AS d, s
 query("F_extract_emails", lambda t: t.documents.select("doc_id", F.array_join(text.emails_in(F.col("text")), "|").alias("emails"), F.size(text.urls_in(F.col("text"))).cast("long").alias("urls")).filter("emails <> '' or urls > 0"), r"""
 SELECT doc_id, coalesce(array_to_string(list_distinct_in_order, '|'), '') AS emails, len(list_distinct(regexp_extract_all(text, 'https?://[^\s"''<>]+'))) AS urls
 FROM (SELECT doc_id, text, list_filter(e, lambda x, i: list_position(e, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS e FROM documents)) WHERE len(list_distinct_in_order) > 0 OR regexp_matches(text, 'https?://[^\s"''<>]+')""")
-query("F_clean_text", lambda t: t.documents.select("doc_id", F.md5(text.clean(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("h")), r"SELECT doc_id, md5(nullif(trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[\s\x0B\x1C-\x1F\x85]+', ' ', 'g')), '')) AS h FROM documents")
+query("F_clean_text", lambda t: t.documents.select("doc_id", F.md5(text.clean("text")).alias("h")), r"SELECT doc_id, md5(nullif(trim(regexp_replace(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '')) AS h FROM documents")
 query("F_great_circle", lambda t: t.city.alias("a").join(t.city.alias("b"), F.expr("a.id < b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(geo.great_circle_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), 4).alias("km")), "SELECT a.id AS a, b.id AS b, round(6371 * acos(least(1, greatest(-1, cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon) - radians(a.lon)) + sin(radians(a.lat)) * sin(radians(b.lat))))), 4) AS km FROM city a JOIN city b ON a.id < b.id")
 query("F_city_and_plz", lambda t: t.contact.select("id", F.concat(F.lit("Ort "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, ", Stadt").when(F.col("id") % 3 == 1, ", Nord").otherwise("")).alias("c")).select("id", text.city_name(F.col("c")).alias("name"), text.before_comma(F.col("c")).alias("head"), text.padded_plz(F.col("id").cast("string")).alias("plz")), "SELECT id, CASE WHEN id % 3 = 1 THEN concat('Ort ', id, ', Nord') ELSE concat('Ort ', id) END AS name, concat('Ort ', id) AS head, CASE WHEN length(CAST(id AS VARCHAR)) >= 5 THEN CAST(id AS VARCHAR) ELSE lpad(CAST(id AS VARCHAR), 5, '0') END AS plz FROM contact")
 query("F_phone_url", lambda t: t.contact.select("id", F.concat(F.lit("tel:+49 "), F.expr("id * 37 % 100000"), F.lit("?x")).alias("p"), F.when(F.col("id") % 4 == 0, "javascript:void(0)").when(F.col("id") % 4 == 1, F.concat(F.lit(" https://a.de/"), F.col("id"), F.lit("/ "))).when(F.col("id") % 4 == 2, "b.de/x").otherwise("no link").alias("u")).select("id", text.clean_phone(F.col("p")).alias("phone"), text.clean_url(F.col("u")).alias("url"), text.link_label(text.clean_url(F.col("u"))).alias("label")), "SELECT id, CASE WHEN id * 37 % 100000 >= 1000 THEN concat('+49 ', id * 37 % 100000) END AS phone, CASE id % 4 WHEN 1 THEN concat('https://a.de/', id, '/') WHEN 2 THEN 'b.de/x' END AS url, CASE id % 4 WHEN 1 THEN concat('a.de/', id) WHEN 2 THEN 'b.de/x' END AS label FROM contact")
@@ -371,7 +371,7 @@ def raw_cards(t: Tables) -> DataFrame:
     ).dropDuplicates(["id"])
 
 
-query("C3_outcome", lambda t: resolution.outcome(raw_cards(t), t.contact.filter("id < 50").select("email")), None)
+query("C3_outcome", lambda t: resolution.outcome(raw_cards(t), t.contact.select("email")), None)
 query("C3_resolution", lambda t: resolution.resolve(raw_cards(t)), None)
 
 # --- rating, dispatch, snapshots -------------------------------------------------------------------------------------------

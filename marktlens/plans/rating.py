@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marktlens.operators.merge import complete_batches
@@ -35,4 +35,5 @@ def city_batch(city_rating: DataFrame, tasks: int = 200, cities: int = 50) -> Da
 def dispatch(queue: DataFrame, capacity: Column, pool: int = 10) -> DataFrame:
     """Of each task's best pairs, those that the catalogs' capacities let through, the best of all tasks first."""
     heads = first_rows(queue, ["task_id"], [F.col("rate").asc_nulls_last(), F.col("id")], pool).drop("rn")
-    return first_rows(heads, ["catalog"], [F.col("rate").asc_nulls_last(), F.col("id")], 10_000).filter(F.col("rn") <= capacity)
+    place = Window.partitionBy("catalog").orderBy(F.col("rate").asc_nulls_last(), "id")
+    return heads.withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= capacity)

@@ -158,3 +158,23 @@ def test_files(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(out).select("k", "v").collect()} == {(1, "c"), (2, "b")}
     rows, new = files.memo_join(spark.createDataFrame([(1,), (2,)], "k long"), "k", spark.createDataFrame([(1, 10)], "k long, r long"), lambda keys: keys.withColumn("r", F.col("k") * 100))
     assert {tuple(r) for r in rows.collect()} == {(1, 10), (2, 200)} and new.count() == 1
+
+
+def test_sanitize_keeps_entities_and_addresses():
+    assert letters.sanitize("<p>a &amp; b &lt;i&gt; &#8364; 1 < 2</p>") == "<p>a &amp; b &lt;i&gt; &#8364; 1 &lt; 2</p>"
+    assert 'href="https://a.de/?x=1&y=2"' in letters.sanitize('<a href="https://a.de/?x=1&y=2">t</a>')
+
+
+def test_page_text_needs_a_closed_body():
+    line = "A line that says something about pumps"
+    assert letters.page_text(f"<html><body><p>{line}</p><script>var hidden = 1</script></body></html>") == line
+    assert letters.page_text(f"<html><body><p>{line}</p>") == "" == letters.page_text(None)
+    page = f"<body><nav>Start of the long navigation of this page</nav><p>{line}</p><!-- no --><p>{line}</p>Home | Shop | Cart | Help<p>ok</p></body>"
+    assert letters.page_text(page, fix_blocks=True) == line and "navigation" in letters.page_text(page)
+
+
+def test_bounce_status_lines(spark):
+    mails = ["Status: 5.1.1 (bad)", "x\nstatus : 4.2.2\n", "Status: 5.1\nSMTP error 451 later", "status 5.1.1", "Status: 2.0.0"]
+    rows = spark.createDataFrame(list(enumerate(mails)), "i int, mail string")
+    got = [r.k for r in rows.select("i", text.bounce_kind(F.col("mail"), F.lit(False)).alias("k")).orderBy("i").collect()]
+    assert got == ["hard", "soft", "soft", None, None]
