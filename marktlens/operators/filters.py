@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marktlens.functions.geo import in_bands
+
 
 def is_false(c: str | Column) -> Column:
     """A null flag counts as false."""
@@ -53,3 +55,35 @@ def valid_rate(c: str, low: int = 1, high: int = 100) -> Column:
 
 def in_workspace(df: DataFrame, workspace_id: str) -> DataFrame:
     return df.filter(F.col("workspace_id") == workspace_id)
+
+
+def like_any(c: str, patterns: list[str]) -> Column:
+    """Case-insensitive LIKE with any of the patterns; false without patterns, null for a null value."""
+    found = F.lit(False)
+    for p in patterns:
+        found = found | F.col(c).ilike(p)
+    return found
+
+
+def one_of(c: str, values: list, but: bool = False) -> Column:
+    """Membership in a list, or absence from it; a null value is neither, and an empty list holds nothing."""
+    found = F.col(c).isin(values) if values else F.when(F.col(c).isNotNull(), F.lit(False))
+    return ~found if but else found
+
+
+def where(rule: dict) -> Column:
+    """A choice of branches or cities as a Column. A rule has one entry: `all` or `any` with a list of rules, `not` with a rule,
+    `like` with {column: patterns}, `bands` with {population column: names of bands}. An empty `all` holds for every row, an
+    empty `any` for none; another kind of rule is an error."""
+    ((kind, what),) = rule.items()
+    if kind == "not":
+        return ~where(what)
+    if kind in ("all", "any"):
+        found = F.lit(kind == "all")
+        for r in what:
+            found = found & where(r) if kind == "all" else found | where(r)
+        return found
+    if kind in ("like", "bands"):
+        ((c, names),) = what.items()
+        return like_any(c, names) if kind == "like" else in_bands(F.col(c), names)
+    raise ValueError(f"no such rule: {kind}")

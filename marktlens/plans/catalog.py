@@ -171,6 +171,12 @@ query("P11_population_bands", lambda t: t.city.filter(geo.in_bands(F.col("pop_to
 query("P12_radius", lambda t: geo.within_radius(t.city, "nation_1%", 300.0).select("id", F.round("km", 4).alias("km")), """
 WITH c AS (SELECT lat AS a, lon AS b FROM city WHERE name ILIKE 'nation_1%' ORDER BY pop_total DESC, id LIMIT 1)
 SELECT * FROM (SELECT id, round(6371 * acos(least(1, greatest(-1, cos(radians(a)) * cos(radians(lat)) * cos(radians(lon) - radians(b)) + sin(radians(a)) * sin(radians(lat))))), 4) AS km FROM city, c) WHERE km <= 300""")
+query("P8_one_of", lambda t: t.branch.filter(filters.one_of("id", [1, 5, 7, 50])).select("id"), "SELECT id FROM branch WHERE id IN (1, 5, 7, 50)")
+query("P9_none_of", lambda t: t.branch.filter(filters.one_of("id", [1, 5, 7, 50], but=True)).select("id"), "SELECT id FROM branch WHERE id NOT IN (1, 5, 7, 50)")
+query("P10_branch_rule", lambda t: t.branch.filter(filters.where({"any": [{"all": [{"like": {"branch_name": ["%branche 1%", "% 4_"]}}, {"not": {"like": {"branch_name": ["%5"]}}}]}, {"like": {"branch_name": ["BRANCHE 33"]}}]})).select("id"), "SELECT id FROM branch WHERE ((branch_name ILIKE '%branche 1%' OR branch_name ILIKE '% 4_') AND NOT branch_name ILIKE '%5') OR branch_name ILIKE 'BRANCHE 33'")
+query("P11_city_rule", lambda t: geo.within_radius(t.city, "germany", 900).filter(filters.where({"all": [{"like": {"state_name": ["a%", "europe", "middle%"]}}, {"bands": {"pop_total": ["small", "large", "metropolis"]}}]})).select("id", F.round("km", 4).alias("km")), """
+SELECT id, round(km, 4) AS km FROM (SELECT c.*, 6371 * acos(least(1, greatest(-1, cos(radians(m.lat)) * cos(radians(c.lat)) * cos(radians(c.lon) - radians(m.lon)) + sin(radians(m.lat)) * sin(radians(c.lat))))) AS km FROM city c, (SELECT lat, lon FROM city WHERE name ILIKE 'germany') m)
+WHERE km <= 900 AND (state_name ILIKE 'a%' OR state_name ILIKE 'europe' OR state_name ILIKE 'middle%') AND (pop_total BETWEEN 12000 AND 49999 OR pop_total BETWEEN 200000 AND 499999 OR pop_total BETWEEN 500000 AND 4000000)""")
 query("P13_display_name", lambda t: t.contact.select("id", filters.display_name("company_name", "email").alias("name")), "SELECT id, coalesce(nullif(trim(company_name), ''), nullif(trim(email), ''), '—') AS name FROM contact")
 query("P14_valid_rates", lambda t: t.task_city_rating.filter(filters.valid_rate("rate", 10, 60)).groupBy("task_id").agg(F.count("*").alias("n")), "SELECT task_id, count(*) AS n FROM task_city_rating WHERE rate BETWEEN 10 AND 60 GROUP BY 1")
 query("P16_workspace_scope", lambda t: filters.in_workspace(t.campaign, "7").select("id"), "SELECT id FROM campaign WHERE workspace_id = '7'")
@@ -360,19 +366,51 @@ query("X2_index_links", lambda t: cards.index_links(t.pages), None)
 
 
 def raw_cards(t: Tables) -> DataFrame:
-    """Cards made up of parts and their suppliers: several for each address, some of them bad."""
-    return t.li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "cb_id",
+    """Cards made up of parts and their suppliers: several for each address, some of them bad. Of lines with one number, the one
+    with the least part, pair and flag is the card."""
+    one = t.li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min(F.struct("l_partkey", "cb_id", "l_suppkey", "l_returnflag", "l_linenumber")).alias("li")).select("id", "li.*")
+    return one.select(
+        "id", "cb_id",
         F.when(F.col("l_partkey") % 11 == 0, "").when(F.col("l_partkey") % 13 == 0, "broken@@x").otherwise(F.concat(F.lit(" Info"), (F.col("l_partkey") % 97).cast("string"), F.lit("@Example.de"))).alias("email"),
         F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Firma "), F.col("l_suppkey").cast("string"))).alias("company_name"),
         F.concat(F.lit("Ort "), (F.col("l_suppkey") % 9).cast("string")).alias("city"), F.lit(None).cast("string").alias("land"),
         F.array(F.concat(F.lit("0"), (F.col("l_suppkey") % 5).cast("string"))).alias("phones"), F.array().cast("array<string>").alias("websites"),
         F.array(F.col("l_returnflag")).alias("categories"), F.concat(F.lit("Text "), (F.col("l_suppkey") % 3).cast("string")).alias("description"),
-    ).dropDuplicates(["id"])
+    )
 
 
-query("C3_outcome", lambda t: resolution.outcome(raw_cards(t), t.contact.select("email")), None)
-query("C3_resolution", lambda t: resolution.resolve(raw_cards(t)), None)
+LINES = "SELECT DISTINCT ON (l_orderkey * 10 + l_linenumber) l_orderkey, l_linenumber, l_partkey, cb_id, l_suppkey, l_returnflag FROM li ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, cb_id, l_suppkey, l_returnflag"
+# Valid cards; {late} tells those of a second batch, which comes after the first.
+CARDS = f"""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN {{late}} THEN 1 ELSE 0 END * 9007199254740992 + l_orderkey * 10 + l_linenumber AS o, cb_id, concat('info', l_partkey % 97, '@example.de') AS email,
+  CASE WHEN l_linenumber % 3 = 0 THEN concat('Firma ', l_suppkey) END AS company_name, concat('Ort ', l_suppkey % 9) AS city, concat('0', l_suppkey % 5) AS phones, l_returnflag AS categories, concat('Text ', l_suppkey % 3) AS description
+  FROM ({LINES}) WHERE l_partkey % 11 <> 0 AND l_partkey % 13 <> 0"""
+RESOLVED = f"""
+WITH c AS ({CARDS}), {", ".join(f"{x}_of AS (SELECT email, list(v ORDER BY o) AS {x} FROM (SELECT email, {x} AS v, min(o) AS o FROM c GROUP BY 1, 2) GROUP BY 1)" for x in ("phones", "categories", "description"))},
+  pairs_of AS (SELECT email, list(concat(cb_id, ':', id) ORDER BY cb_id) AS pairs FROM (SELECT email, cb_id, max(id) AS id FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT email, company_name, city, phones, categories, array_to_string(description, chr(10) || chr(10)) AS description, n_cards, pairs
+FROM (SELECT email, arg_min(company_name, o) FILTER (WHERE company_name IS NOT NULL) AS company_name, arg_min(city, o) AS city, count(*) AS n_cards FROM c GROUP BY 1)
+JOIN phones_of USING (email) JOIN categories_of USING (email) JOIN description_of USING (email) JOIN pairs_of USING (email)"""
+
+
+def resolved(contacts: DataFrame) -> DataFrame:
+    pairs = F.transform("pairs", lambda p: F.concat_ws(":", p["cb_id"], p["card_id"]))
+    return contacts.select("email", "company_name", "city", "phones", "categories", "description", "n_cards", pairs.alias("pairs"))
+
+
+def in_two_batches(t: Tables) -> DataFrame:
+    """The first two lines of each order are resolved before the later ones come."""
+    late = F.col("id") % 10 > 2
+    held = resolution.resolve(raw_cards(t).filter(~late))
+    changed = resolution.resolve_into(held, raw_cards(t).filter(late))
+    return changed.unionByName(joins.missing(held, changed, ["email"]))
+
+
+query("C3_outcome", lambda t: resolution.outcome(raw_cards(t), t.contact.select("email")), f"""
+WITH c AS (SELECT CASE WHEN l_partkey % 11 = 0 THEN 'EMPTY' WHEN l_partkey % 13 = 0 THEN 'INVALID' ELSE 'OK' END AS verdict, concat('info', l_partkey % 97, '@example.de') AS email FROM ({LINES})),
+  n AS (SELECT email, count(*) AS n, CASE WHEN email IN (SELECT lower(trim(email)) FROM contact) THEN 0 ELSE 1 END AS made FROM c WHERE verdict = 'OK' GROUP BY 1)
+SELECT verdict AS outcome, count(*) AS n FROM c WHERE verdict <> 'OK' GROUP BY 1 UNION ALL SELECT 'CREATED', CAST(sum(made) AS BIGINT) FROM n HAVING sum(made) > 0 UNION ALL SELECT 'UPDATED', CAST(sum(n - made) AS BIGINT) FROM n HAVING sum(n - made) > 0""")
+query("C3_resolution", lambda t: resolved(resolution.resolve(raw_cards(t))), RESOLVED.format(late="false"))
+query("T2_incremental", lambda t: resolved(in_two_batches(t)), RESOLVED.format(late="l_linenumber > 2"))
 
 # --- rating, dispatch, snapshots -------------------------------------------------------------------------------------------
 

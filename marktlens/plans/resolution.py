@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marktlens.functions.text import append_paragraph, bad_email
+from marktlens.functions.text import bad_email
 
 
 def checked(cards: DataFrame) -> DataFrame:
@@ -14,39 +14,64 @@ def checked(cards: DataFrame) -> DataFrame:
     return cards.withColumn("email", mail).withColumn("verdict", F.when(F.coalesce(mail, F.lit("")) == "", "EMPTY").when(bad_email(mail), "INVALID").otherwise("OK"))
 
 
+LISTS = ("phones", "websites", "categories", "description")
+_BEFORE = -(2**63)  # the place of what a contact holds already: before all cards
+
+
+def _fold(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Contacts from rows (id, email, names, lists, n_cards) and pairs (email, cb_id, card_id). Every list is reduced to the first
+    mention of each value before it is gathered, so that an address with a third of all cards costs one row for each value."""
+
+    def first(c: str):
+        return F.min_by(c, F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.col("id"))).alias(c)
+
+    out = rows.groupBy("email").agg(*[first(c) for c in ("company_name", "city", "land")], F.sum("n_cards").alias("n_cards"))
+    for c in LISTS:
+        said = rows.select("email", "id", F.posexplode(c).alias("at", "v")).groupBy("email", "v").agg(F.min(F.struct("id", "at")).alias("at"))
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
+        out = out.join(said.groupBy("email").agg(in_order.alias(c)), "email", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    last = pairs.filter("cb_id is not null").groupBy("email", "cb_id").agg(F.max("card_id").alias("card_id"))
+    last = last.groupBy("email").agg(F.array_sort(F.collect_list(F.struct("cb_id", "card_id"))).alias("pairs"))
+    out = out.withColumn("description", F.array_join("description", "\n\n")).join(last, "email", "left")
+    return out.select("email", "company_name", "city", "land", *LISTS, "n_cards", "pairs")
+
+
+def _paragraphs(df: DataFrame) -> DataFrame:
+    return df.withColumn("description", F.filter(F.split("description", "\n\n"), lambda x: x != ""))
+
+
+def _valid(cards: DataFrame) -> DataFrame:
+    return _paragraphs(checked(cards).filter("verdict = 'OK'")).withColumn("n_cards", F.lit(1).cast("long"))
+
+
 def resolve(cards: DataFrame) -> DataFrame:
     """One contact for each valid address, the cards taken in order of their ids: name, city and land are the first ones
     given; phones, websites and categories the union in order; the description grows by paragraphs that are new; of
     several cards of one pair the last one counts.
 
-    cards: id, cb_id, email, company_name, city, land, phones, websites, categories, description. The order of the cards
-    within an address is restored after the shuffle by sorting structs, without Python."""
-    rows = checked(cards).filter("verdict = 'OK'")
-
-    def first(c: str):
-        return F.min_by(c, F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.col("id")))
+    cards: id, cb_id, email, company_name, city, land, phones, websites, categories, description."""
+    rows = _valid(cards)
+    return _fold(rows, rows.select("email", "cb_id", F.col("id").alias("card_id")))
 
-    def union(c: str):
-        lists = F.array_sort(F.collect_list(F.struct("id", F.coalesce(c, F.array().cast("array<string>")).alias("v"))))
-        return F.array_distinct(F.flatten(F.transform(lists, lambda x: x["v"])))
 
-    told = F.array_sort(F.collect_list(F.when(F.coalesce("description", F.lit("")) != "", F.struct("id", F.col("description").alias("v")))))
-    out = rows.groupBy("email").agg(
-        first("company_name").alias("company_name"), first("city").alias("city"), first("land").alias("land"),
-        *[union(c).alias(c) for c in ("phones", "websites", "categories")],
-        F.aggregate(told, F.lit(""), lambda t, x: append_paragraph(t, x["v"])).alias("description"),
-        F.count("*").alias("n_cards"),
-    )
-    last = Window.partitionBy("email", "cb_id").orderBy(F.col("id").desc())
-    pairs = rows.filter("cb_id is not null").withColumn("_rn", F.row_number().over(last)).filter("_rn = 1")
-    pairs = pairs.groupBy("email").agg(F.array_sort(F.collect_list(F.struct("cb_id", F.col("id").alias("card_id")))).alias("pairs"))
-    return out.join(pairs, "email", "left")
+def resolve_into(contacts: DataFrame, cards: DataFrame) -> DataFrame:
+    """The contacts (as `resolve` gives them) that a batch of cards makes or touches, as they are afterwards: what a contact holds
+    comes before what the cards add. Contacts that no card names are neither folded nor returned; the result replaces rows by
+    e-mail address, also from within foreachBatch."""
+    new = _valid(cards)
+    held = contacts.join(new.select("email").distinct(), "email", "left_semi")
+    columns = ["email", "company_name", "city", "land", *LISTS, "n_cards"]
+    rows = new.select("id", *columns).unionByName(_paragraphs(held).select(F.lit(_BEFORE).cast("long").alias("id"), *columns))
+    pairs = held.select("email", F.inline("pairs")).unionByName(new.select("email", "cb_id", F.col("id").alias("card_id")))
+    return _fold(rows, pairs)
 
 
 def outcome(cards: DataFrame, known: DataFrame) -> DataFrame:
-    """Counts of a batch: addresses EMPTY, INVALID, CREATED and UPDATED (known ones); cards of one new address create it once."""
-    rows = checked(cards).join(known.select(F.lower(F.trim("email")).alias("email"), F.lit(True).alias("_known")).distinct(), "email", "left")
-    w = Window.partitionBy("email").orderBy("id")
-    n = F.row_number().over(w)
-    kind = F.when(F.col("verdict") != "OK", F.col("verdict")).when(F.col("_known") | (n > 1), "UPDATED").otherwise("CREATED")
-    return rows.withColumn("outcome", kind).groupBy("outcome").agg(F.count("*").alias("n"))
+    """Counts of a batch: addresses EMPTY, INVALID, CREATED and UPDATED (known ones); cards of one new address create it once. Cards
+    are counted by address before anything is joined."""
+    n = checked(cards).groupBy("email", "verdict").agg(F.count("*").alias("n"))
+    rows = n.join(known.select(F.lower(F.trim("email")).alias("email"), F.lit(True).alias("_known")).distinct(), "email", "left")
+    ok = F.col("verdict") == "OK"
+    made = F.when(ok & F.col("_known").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    kinds = F.array(F.struct(F.lit("CREATED").alias("outcome"), made.alias("n")), F.struct(F.when(ok, "UPDATED").otherwise(F.col("verdict")).alias("outcome"), (F.col("n") - made).alias("n")))
+    return rows.select(F.inline(kinds)).groupBy("outcome").agg(F.sum("n").alias("n")).filter("n > 0")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from marktlens.functions import hashing, letters, text, websites
 from marktlens.functions import window_time as wt
-from marktlens.operators import ranking
+from marktlens.operators import filters, ranking
 from marktlens.parsing import cards
-from marktlens.plans import resolution
+from marktlens.plans import expansion, resolution
 from marktlens.sources import files
 from marktlens.streaming import clicks, machines
 
@@ -101,6 +101,38 @@ def test_resolution(spark):
     assert got == {"CREATED": 1, "UPDATED": 2, "EMPTY": 1, "INVALID": 1}
 
 
+def test_resolution_in_batches(spark):
+    """Batches in order of their ids give what all cards give at once, long lists of one address and repeated cards included."""
+    schema = "id long, cb_id long, email string, company_name string, city string, land string, phones array<string>, websites array<string>, categories array<string>, description string"
+    rows = [(i, i % 4, f"{'hot' if i % 3 else i % 7}@x.de", None if i % 5 else f"n{i}", "", None, [str(i % 6), None, str(i % 2)], None if i % 2 else [], [], "p\n\nq" if i % 2 else f"r{i % 4}") for i in range(60)]
+    cards = spark.createDataFrame(rows, schema)
+    whole = {r.email: r for r in resolution.resolve(cards).collect()}
+    held = resolution.resolve(cards.filter("id < 25"))
+    changed = resolution.resolve_into(held, cards.filter("id >= 25"))
+    assert {r.email: r for r in changed.unionByName(held.join(changed, "email", "left_anti")).collect()} == whole
+    assert whole["hot@x.de"].description == "p\n\nq\n\nr2\n\nr0" and whole["hot@x.de"].websites == [] and whole["hot@x.de"].n_cards == 40
+    assert resolution.resolve_into(held, cards.filter("false")).count() == 0
+
+
+def test_best_pairs_of_any_rates(spark):
+    """Pruning by ranks keeps the best pairs, with ties and with rates of zero and below."""
+    schema = "task_id long, {} long, rate int"
+    cities = spark.createDataFrame([(t, i, (i * 7 + t) % 5 - (t == 2)) for t in (1, 2, 3) for i in range(12)], schema.format("city_id")).withColumn("rate", F.expr("if(task_id = 3, rate + 1, rate)"))
+    branches = spark.createDataFrame([(t, i, (i * 3 + t) % 4 + (t == 3)) for t in (1, 2, 3) for i in range(9)], schema.format("branch_id"))
+    codes = spark.createDataFrame([(i, f"{i:05d}", i) for i in range(12)], "id long, plz string, city_id long")
+    args = (cities, branches, codes.select("city_id", "plz"), codes.select("id", "plz"))
+    every = [tuple(r) for r in expansion.expand_pairs(*args, None).select("task_id", "score", "plz_id", "branch_id").collect()]
+    for keep in (1, 7, 30, 500):
+        got = expansion.expand_pairs(*args, keep).select("task_id", "score", "plz_id", "branch_id", "rn").collect()
+        want = [x for t in (1, 2, 3) for x in sorted(e for e in every if e[0] == t)[:keep]]
+        assert sorted(tuple(r)[:4] for r in got) == sorted(want)
+
+
+def test_rules():
+    with pytest.raises(ValueError):
+        filters.where({"sql": "1 = 1"})
+
+
 def test_pages(spark):
     df = spark.range(23)
     at = lambda n: [r.id for r in ranking.page(df, [F.col("id")], n, 10).collect()]
