@@ -20,10 +20,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marktlens.llm.common import map_rows, small_batches, texts
+from marktlens.llm.common import map_rows, per_key, salted, small_batches, texts, written
 from marktlens.llm.substrings import merge
 
 NEED, GRAM = 200, 64
+SPANS = "_d long, _k long, start int, end int"
 #: Stretches in a batch, and distinct stretches of an anchor above which its strings are dealt out by digest.
 BATCH, HEAVY = 512, 4096
 #: Starts looked at together in a long text, and anchors that a task reduces together.
@@ -218,19 +219,14 @@ def _repeats(need: int, batch: int):
 
     def settle(rows):
         """All rows of some whole groups; a group larger than a batch comes alone."""
-        digests = [r for r in rows if r[7]]
-        counts: dict[tuple, int] = {}
-        for r in digests:
-            counts[r[0], r[5]] = counts.get((r[0], r[5]), 0) + (2 if r[6] == 2 else 1)
-        yield from ((r[1], r[2], r[3], r[3] + need) for r in digests if r[6] != 2 and counts[r[0], r[5]] > 1)
-        family, plain = Levels(need), [r for r in rows if not r[7]]
-        for i in range(0, len(plain), batch):
-            family.add([r[5] for r in plain[i : i + batch]])
-        at, marks = 0, (np.concatenate(family.repeated()) if plain else np.empty(0, bool))
-        for r in plain:
+        family = Levels(need)
+        for i in range(0, len(rows), batch):
+            family.add([r[5] for r in rows[i : i + batch]])
+        at, marks = 0, np.concatenate(family.repeated())
+        for r in rows:
             own = marks[at : at + r[4]]
             at += r[4]
-            if r[6] == 2 or not own.any():
+            if r[6] or not own.any():
                 continue
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
             yield from ((r[1], r[2], r[3] + int(a), r[3] + int(e) - 1 + need) for a, e in zip(edge[::2], edge[1::2]))
@@ -239,18 +235,16 @@ def _repeats(need: int, batch: int):
         def out(spans):
             return {"_d": [s[0] for s in spans], "_k": [s[1] for s in spans], "start": [s[2] for s in spans], "end": [s[3] for s in spans]}
 
-        held, size, last = [], 0, None
+        held, last = [], None
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("key", "_d", "_k", "lo", "n", "bytes", "times", "digest")]
+            cols = [b.column(c).to_pylist() for c in ("key", "_d", "_k", "lo", "n", "bytes", "twice")]
             spans = []
             for r in zip(*cols):
-                if r[0] != last:
-                    if size >= batch:
-                        spans += settle(held)
-                        held, size = [], 0
-                    last = r[0]
+                if r[0] != last and len(held) >= batch:
+                    spans += settle(held)
+                    held = []
+                last = r[0]
                 held.append(r)
-                size += 1
             if spans:
                 yield out(spans)
         if held and (spans := list(settle(held))):
@@ -259,9 +253,52 @@ def _repeats(need: int, batch: int):
     return work
 
 
+def _asked(whole: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of the rows' documents, with the rows of each."""
+    asked = rows.groupBy("_d", "_k").agg(F.collect_list(F.struct("anchor", "lo", "n", "twice")).alias("asked"))
+    return whole.join(asked.withColumnsRenamed({"_d": "_ad", "_k": "_ak"}), F.expr("_d <=> _ad and _k = _ak")).select("_d", "_k", "_t", "asked")
+
+
+def _by_family(whole: DataFrame, rows: DataFrame, need: int, batch: int) -> DataFrame:
+    """Spans of the rows' strings that repeat, each anchor's stretches in one family of suffix arrays."""
+
+    def cut_out(batches):
+        for b in batches:
+            out = []
+            for d, k, t, asked in zip(*(b.column(c).to_pylist() for c in ("_d", "_k", "_t", "asked"))):
+                raw = t.encode("utf-8", "surrogatepass")
+                out += [(x["anchor"], d, k, x["lo"], x["n"], raw[x["lo"] : x["lo"] + x["n"] - 1 + need], x["twice"]) for x in asked]
+            for i in range(0, len(out), 20_000):
+                yield dict(zip(("key", "_d", "_k", "lo", "n", "bytes", "twice"), zip(*out[i : i + 20_000])))
+
+    pieces = map_rows(_asked(whole, rows), cut_out, "key long, _d long, _k long, lo int, n int, bytes binary, twice boolean")
+    pieces = pieces.repartition("key").sortWithinPartitions("key")
+    return map_rows(pieces, _repeats(need, batch), SPANS)
+
+
+def _by_digest(whole: DataFrame, rows: DataFrame, need: int) -> DataFrame:
+    """Spans of the rows' strings that repeat, by 128-bit digests of the single strings. A stretch marked twice counts as two, and
+    its own strings are settled. Counts combine before they are shuffled, and a digest's rows are dealt out by salts."""
+
+    def cut_out(batches):
+        for b in batches:
+            for d, k, t, asked in zip(*(b.column(c).to_pylist() for c in ("_d", "_k", "_t", "asked"))):
+                raw = t.encode("utf-8", "surrogatepass")
+                for x in asked:
+                    at = np.arange(x["lo"], x["lo"] + x["n"])
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + need]) for i in at.tolist()), np.int64).reshape(-1, 2)
+                    yield {"h": digests[:, 0], "l": digests[:, 1], "_d": pa.array([d] * len(at), pa.int64()), "_k": np.full(len(at), k), "start": at, "twice": np.full(len(at), x["twice"])}
+
+    single = salted(map_rows(_asked(whole, rows), cut_out, "h long, l long, _d long, _k long, start int, twice boolean"), "_d", "_k", "start")
+    single = written(single, "digests")
+    often = per_key(single, ["h", "l"], F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times"), having="times > 1")
+    found = single.filter("not twice").join(often, ["h", "l", "_salt"])
+    return found.select("_d", "_k", "start", F.expr(f"start + {int(need)}").alias("end"))
+
+
 def repeated_spans(docs: DataFrame, need: int = NEED, gram: int = GRAM, batch: int = BATCH, heavy: int = HEAVY) -> DataFrame:
     """_d, _k, start, end: byte spans of each document that strings of `need` bytes which also start elsewhere cover; they
-    may overlap."""
+    may overlap. The stretches that matter are written once to the shared folder."""
     small_batches(docs.sparkSession)
     whole = texts(docs)
     rows = map_rows(whole, _candidates(need, gram), "anchor long, seg long, _d long, _k long, lo int, n int, twice boolean, settled boolean")
@@ -269,34 +306,12 @@ def repeated_spans(docs: DataFrame, need: int = NEED, gram: int = GRAM, batch: i
     same = Window.partitionBy("anchor", "settled", "seg").orderBy("_d", "_k", "lo")
     rows = rows.withColumn("nth", F.row_number().over(same)).withColumn("same", F.count("*").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rows = rows.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("anchor", "settled")))
-    twice = F.col("twice") | (F.col("same") > 1)
-    span = ["_d", "_k", F.col("lo").alias("start"), F.expr(f"lo + n - 1 + {int(need)}").alias("end")]
-    settled = rows.filter(F.col("settled") | twice).select(*span)
-    asked = rows.filter("not settled and nth = 1 and kinds > 1")
-    asked = asked.groupBy("_d", "_k").agg(F.collect_list(F.struct("anchor", "lo", "n", F.when(twice, 2).otherwise(1).alias("times"), (F.col("kinds") > heavy).alias("digest"))).alias("asked"))
-    asked = asked.withColumnsRenamed({"_d": "_ad", "_k": "_ak"})
-    cut = whole.join(asked, F.expr("_d <=> _ad and _k = _ak")).select("_d", "_k", "_t", "asked")
-
-    def cut_out(batches):
-        for b in batches:
-            rows = []
-            for d, k, t, asked in zip(*(b.column(c).to_pylist() for c in ("_d", "_k", "_t", "asked"))):
-                raw = t.encode("utf-8", "surrogatepass")
-                for x in asked:
-                    lo, n = x["lo"], x["n"]
-                    if not x["digest"]:
-                        rows.append((x["anchor"], d, k, lo, n, raw[lo : lo + n - 1 + need], x["times"], False))
-                        continue
-                    for i in range(lo, lo + n):
-                        digest = xxhash.xxh3_128_digest(raw[i : i + need])
-                        rows.append((int.from_bytes(digest[:8], "big", signed=True), d, k, i, 1, digest, x["times"], True))
-            for i in range(0, len(rows), 20_000):
-                yield dict(zip(("key", "_d", "_k", "lo", "n", "bytes", "times", "digest"), zip(*rows[i : i + 20_000])))
-
-    pieces = map_rows(cut, cut_out, "key long, _d long, _k long, lo int, n int, bytes binary, times int, digest boolean")
-    pieces = pieces.repartition("key").sortWithinPartitions("key")
-    found = map_rows(pieces, _repeats(need, batch), "_d long, _k long, start int, end int")
-    return settled.unionByName(found)
+    rows = rows.withColumn("twice", F.col("twice") | (F.col("same") > 1)).filter("settled or twice or kinds > 1")
+    rows = written(rows.select("_d", "_k", "anchor", "lo", "n", "twice", "settled", F.expr("not settled and nth = 1 and kinds > 1").alias("open"), (F.col("kinds") > heavy).alias("heavy")), "stretches")
+    found = rows.filter("settled or twice").select("_d", "_k", F.col("lo").alias("start"), F.expr(f"lo + n - 1 + {int(need)}").alias("end"))
+    found = found.unionByName(_by_family(whole, rows.filter("open and not heavy"), need, batch))
+    dealt = rows.filter("open and heavy")
+    return found if dealt.isEmpty() else found.unionByName(_by_digest(whole, dealt, need))
 
 
 def remove_repeats(docs: DataFrame, need: int = NEED, gram: int = GRAM, batch: int = BATCH, heavy: int = HEAVY) -> DataFrame:

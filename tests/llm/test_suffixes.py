@@ -94,3 +94,12 @@ def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in queries.op5_suffix_array_dedup(spark, sf).collect()), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("heavy", [8, 4096])
+def test_one_passage_in_many_contexts(spark, heavy):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7)))
+    passage = " ".join(word() for _ in range(90))[:300]
+    rows = [(i, " ".join(word() for _ in range(20)) + passage + " ".join(word() for _ in range(30))) for i in range(250)]
+    assert run(spark, rows, heavy=heavy) == brute(rows)
