@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,28 +43,30 @@ def fully_rated(ratings: DataFrame, task: str = "task_id") -> DataFrame:
     return ratings.groupBy(task).agg(F.count("*").alias("n"), F.count("rate").alias("rated")).filter("n = rated").select(task)
 
 
-def nearest(points: DataFrame, places: DataFrame, cell: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, cell: float = 1.0) -> DataFrame:
     """For each point (id, lat, lon) the place (id, lat, lon) with the least squared distance in degrees; ties go to the
-    smallest id. With a cell width, only places in the 3 x 3 cells around the point are compared, which is exact for
-    points that have a place within one cell width; the others are compared with all places. Without it, places are
-    taken to be a small dimension."""
+    smallest id. Points without coordinates have none.
+
+    Grids of cells that double in width, from `cell` degrees to more than the globe's, tell how far a point has to look: if the
+    3 x 3 cells around it hold a place, the nearest one is less than three widths away, and so among the 3 x 3 cells of the
+    grid four times as wide. Both joins are on cells; places are repeated, points aren't."""
+    last = max(0, math.ceil(math.log2(720 / cell)))
     a = points.select(F.col("id").alias("point_id"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     b = places.select(F.col("id").alias("place_id"), "lat", "lon")
-    d2 = F.pow(F.col("lat") - F.col("_plat"), 2) + F.pow(F.col("lon") - F.col("_plon"), 2)
 
-    def best(joined: DataFrame) -> DataFrame:
-        return joined.groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), "place_id")).alias("m")).select("point_id", "m.place_id", "m.d2")
+    def at(c: str) -> Column:
+        return F.floor(F.col(c) / (F.lit(cell) * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
 
-    if cell is None:
-        return best(a.join(b, F.lit(True)))
+    def around(c: str) -> Column:
+        return F.explode(F.sequence(at(c) - 1, at(c) + 1))
 
-    def grid(c: str):
-        return F.floor(F.col(c) / cell)
-
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cells = a.withColumn("_x", F.explode(F.transform(around, lambda i: grid("_plat") + i))).withColumn("_y", F.explode(F.transform(around, lambda i: grid("_plon") + i)))
-    near = best(cells.join(b.withColumn("_x", grid("lat")).withColumn("_y", grid("lon")), ["_x", "_y"])).filter(F.col("d2") <= cell * cell)
-    return near.unionByName(best(a.join(near, "point_id", "left_anti").join(b, F.lit(True))))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(last + 2))).alias("_level")
+    near = b.select("*", levels).withColumn("_x", around("lat")).withColumn("_y", around("lon"))
+    found = a.select("*", levels).withColumn("_x", at("_plat")).withColumn("_y", at("_plon")).join(near.select("_level", "_x", "_y").distinct(), ["_level", "_x", "_y"], "left_semi")
+    first = found.groupBy("point_id", "_plat", "_plon").agg(F.least(F.min("_level") + 2, F.lit(last + 2)).alias("_level"))
+    d2 = F.pow(F.col("lat") - F.col("_plat"), 2) + F.pow(F.col("lon") - F.col("_plon"), 2)
+    pairs = first.withColumn("_x", at("_plat")).withColumn("_y", at("_plon")).join(near, ["_level", "_x", "_y"])
+    return pairs.groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), "place_id")).alias("m")).select("point_id", "m.place_id", "m.d2")
 
 
 def recent_mailboxes(log: DataFrame, campaign: DataFrame, as_of: str, days: int) -> DataFrame:

@@ -105,3 +105,10 @@ def prefix_pairs(task_pair: DataFrame, pair: DataFrame, keep: int = 500, null_is
     rows = before_first_hole(task_pair, pair, null_is_pending, null_rate)
     order = F.coalesce("rate", F.lit(null_rate))
     return first_rows(rows, ["task_id"], [order.desc(), F.col("id").desc()], keep)
+
+
+def drawn(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows drawn by a hash of seed and key, in that order, with their `place`: the same ones at each run."""
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
+    few = rows.orderBy(*order).limit(n)
+    return few.withColumn("place", F.row_number().over(Window.orderBy(*order)))

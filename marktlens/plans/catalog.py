@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from marktlens.functions import geo, hashing, letters, text, websites
 from marktlens.operators import aggregates as ag
 from marktlens.operators import filters, joins, merge, ranking
-from marktlens.parsing import cards
-from marktlens.plans import dashboards, expansion, gate, lists, pacing, rating, resolution
+from marktlens.parsing import cards, mails
+from marktlens.plans import dashboards, expansion, gate, lists, pacing, rating, replies, resolution
 from marktlens.sources.tables import Tables, shared_folder, with_ctes
 from marktlens.streaming import clicks, machines
 
@@ -412,6 +412,58 @@ SELECT verdict AS outcome, count(*) AS n FROM c WHERE verdict <> 'OK' GROUP BY 1
 query("C3_resolution", lambda t: resolved(resolution.resolve(raw_cards(t))), RESOLVED.format(late="false"))
 query("T2_incremental", lambda t: resolved(in_two_batches(t)), RESOLVED.format(late="l_linenumber > 2"))
 
+# --- replies and returned mail ---------------------------------------------------------------------------------------------
+
+FAR = 10**12  # beyond all letters
+
+
+def letters_of(t: Tables) -> DataFrame:
+    return t.sending_log.groupBy("id").agg(F.min("contact_id").alias("contact_id"), F.min("campaign_id").alias("campaign_id"))
+
+
+def raw_mails(t: Tables) -> DataFrame:
+    """A mail for each letter, of seven kinds: foreign, about an unknown letter, returned for good or for now, an angry answer in HTML,
+    an automatic one in Latin-1, a plain one."""
+    k = F.col("id") % 7
+    mark = F.concat(F.lit("X-Mailer-App: Marktlens 1\r\nX-Mailer-Id: "), F.when(k == 1, F.col("id") + FAR).otherwise(F.col("id")).cast("string"), F.lit("\r\n"))
+    html = "Content-Type: multipart/alternative; boundary=cut\r\n\r\n--cut\r\nContent-Type: text/plain\r\n\r\nkurz\r\n--cut\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<style>p {}</style><p>St=C3=B6rt <b>nie</b> wieder</p>\r\n--cut--\r\n"
+    away = "Content-Type: text/plain; charset=iso-8859-1\r\nContent-Transfer-Encoding: base64\r\n\r\nQvxybyBpbSBVcmxhdWI=\r\n"
+    body = F.when(k == 0, F.lit("\r\nHallo\r\n")).when(k == 2, F.lit("\r\nStatus: 5.1.1\r\n")).when(k == 3, F.lit("\r\nDiagnostic-Code: smtp; 451 later\r\n")).when(k == 4, html).when(k == 5, away).otherwise(F.concat(F.lit("\r\nGern, Nummer "), F.col("id").cast("string"), F.lit("\r\n")))
+    mail = F.concat(F.lit("From: a@x.de\r\nDate: Thu, 17 Apr 2025 10:30:00 +0200\r\n"), F.when(k == 0, "").otherwise(mark), body)
+    return letters_of(t).select((F.col("campaign_id") % 50).alias("mailbox_id"), F.lit("INBOX").alias("folder"), F.col("id").cast("string").alias("uid"), F.encode(mail, "UTF-8").alias("raw"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """A stand-in for the two questions to a model."""
+    return rows.withColumn("angry", F.when(F.contains("asked", F.lit("nie wieder")), "Yes.").otherwise("no")).withColumn("automatic", F.when(F.contains("asked", F.lit("Urlaub")), "yes, it is").otherwise("No"))
+
+
+def sorted_out(t: Tables) -> DataFrame:
+    return replies.sort_out(mails.read_mails(raw_mails(t)), letters_of(t), "marktlens", judged, NOW)
+
+
+def returned(t: Tables) -> DataFrame:
+    log, contact, listed = replies.effects(sorted_out(t), t.sending_log, t.contact, t.sending_list)
+    figures = [log.agg(F.count_if(F.col("status") == "BAD_ADDRESS").alias("bad_letters")), contact.agg(F.count_if(F.col("wrong_email")).alias("wrong")), listed.agg(F.count_if(F.col("removed")).alias("removed"))]
+    return figures[0].join(figures[1]).join(figures[2])  # a row each
+
+
+LETTERS = "SELECT id, min(contact_id) AS contact_id, min(campaign_id) % 50 AS mailbox_id, id % 7 AS k FROM sending_log GROUP BY id"
+query("C17_replies", lambda t: sorted_out(t).select("mailbox_id", "uid", "letter_id", "kind", "asked", F.date_format("sent_at", "yyyy-MM-dd HH:mm").alias("at")), f"""
+SELECT mailbox_id, CAST(id AS VARCHAR) AS uid, CASE k WHEN 0 THEN NULL WHEN 1 THEN id + {FAR} ELSE id END AS letter_id,
+  CASE k WHEN 0 THEN 'FOREIGN' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'HARD' WHEN 3 THEN 'SOFT' WHEN 4 THEN 'ANGRY_CONTACT' WHEN 5 THEN 'AUTO_RESPONSE' ELSE 'ANSWER' END AS kind,
+  CASE k WHEN 4 THEN 'Stört nie wieder' WHEN 5 THEN 'Büro im Urlaub' WHEN 6 THEN concat('Gern, Nummer ', id) END AS asked, '2025-04-17 08:30' AS at FROM ({LETTERS})""")
+query("C17_effects", returned, f"""
+WITH hit AS (SELECT DISTINCT contact_id FROM sending_log WHERE id % 7 = 2)
+SELECT (SELECT count(*) FROM sending_log WHERE status = 'BAD_ADDRESS' OR id % 7 = 2) AS bad_letters, (SELECT count(*) FROM contact WHERE wrong_email OR id IN (SELECT contact_id FROM hit)) AS wrong,
+  (SELECT count(*) FROM sending_list WHERE removed OR contact_id IN (SELECT contact_id FROM hit)) AS removed""")
+query("A27_mailbox_counters", lambda t: replies.counters(sorted_out(t)), f"SELECT mailbox_id, count(*) AS seen, count(*) FILTER (WHERE k > 1) AS ours, count(*) FILTER (WHERE k IN (2, 3)) AS returned, count(*) FILTER (WHERE k = 2) AS blocked FROM ({LETTERS}) GROUP BY 1")
+query("T8_unseen_mails", lambda t: replies.fresh(raw_mails(t), raw_mails(t).filter("cast(uid as long) % 5 = 0").select("mailbox_id", F.lower("folder").alias("folder"), "uid", (F.lit(NOW).cast("timestamp") - F.make_dt_interval((F.col("uid").cast("long") % 14).cast("int"))).alias("at")), NOW).select("mailbox_id", "uid"), f"SELECT mailbox_id, CAST(id AS VARCHAR) AS uid FROM ({LETTERS}) WHERE NOT (id % 5 = 0 AND id % 14 < 7)")
+query("F_answer_json", lambda t: t.orders.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 3 == 0, "```json\n").when(F.col("o_orderkey") % 3 == 1, "Here: ").otherwise(""), F.lit('{"items": [{"id": '), F.col("o_custkey"), F.lit(', "rate": 5}]'), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("}"), F.when(F.col("o_orderkey") % 3 == 0, "\n```").otherwise(""))
+    .alias("a")).select("o_orderkey", F.get_json_object(text.answer_json(F.col("a")), "$.items[0].id").cast("long").alias("id"), text.json_object(F.col("a")).alias("safe")), """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 2 THEN concat('{"items": [{"id": ', o_custkey, ', "rate": 5}]}') ELSE '{}' END AS safe FROM orders""")
+query("L11_drawn_contacts", lambda t: ranking.drawn(t.contact.filter("not blocked"), "id", 25, 7).select("id", "place"), "SELECT id, CAST(row_number() OVER (ORDER BY md5(concat('7:', id)), id) AS INT) AS place FROM contact WHERE NOT blocked ORDER BY md5(concat('7:', id)), id LIMIT 25")
+
 # --- rating, dispatch, snapshots -------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +38,23 @@ def email_allowlist(spark: SparkSession, path: str) -> DataFrame:
     return item.select(F.lower(F.trim(domain)).alias("domain")).filter("domain <> ''").distinct()
 
 
-def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
-    """Writes rows under their key's folder and replaces those keys' earlier rows; other keys keep theirs."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Writes rows and replaces the earlier rows of their keys; other keys keep theirs. Keys are dealt by hash to as many folders
+    (the column `bucket`) as the table was made with, and only the folders of these keys are written anew, so that the number of files
+    doesn't grow with that of the keys. A null key is one of its own."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    new = rows.withColumn("bucket", bucket)
+    try:
+        held = rows.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        gone = new.select(F.col(key).alias("_gone")).distinct()
+        kept = held.join(new.select("bucket").distinct(), "bucket", "left_semi").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+        new = new.unionByName(kept.select(*new.columns))
+    spread = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]) % 8  # a hot key's rows go to some tasks
+    new.repartition("bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def memo_join(rows: DataFrame, key: str, known: DataFrame, compute) -> tuple[DataFrame, DataFrame]:

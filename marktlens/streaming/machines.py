@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,34 +14,29 @@ DONE = ("OK", "NO DETAIL ITEMS", "SPELL SUGGESTION")
 NOT_FOUND, HTTP, PARSE = "SEARCH HTTP 404", "HTTP ERROR", "FAILED TO PARSE"
 
 
-def next_state(error: Column, result: Column) -> Column:
-    """The pair's error text after a result, and whether it is collected: struct(error, collected).
-
-    Final results collect at once (without error text if all is well), as does a search page that isn't there; an HTTP or
-    parse error collects at the third in a row. The count is in the error text, so that errors of the other kind start
-    it anew; other results leave the pair waiting as it was."""
-    starts = lambda t: F.startswith(result, F.lit(t))
-    final = result.isin(*DONE, NOT_FOUND) | starts("SKIPPED")
-    kind = F.when(starts("SEARCH HTTP") | starts("DETAIL HTTP") | F.contains(result, F.lit("AJAX HTTP")), HTTP).when(starts(PARSE), PARSE)
-    n = F.when(error == F.concat(kind, F.lit(" 1")), 2).when(error == F.concat(kind, F.lit(" 2")), 3).otherwise(1)
-    last = F.when(kind == PARSE, F.lit(PARSE)).otherwise(result)
-    return (
-        F.when(final, F.struct(F.nullif(result, F.lit("OK")).alias("error"), F.lit(True).alias("collected")))
-        .when(kind.isNull(), F.struct(error.alias("error"), F.lit(False).alias("collected")))
-        .otherwise(F.struct(F.when(n >= 3, last).otherwise(F.concat(kind, F.lit(" "), n.cast("string"))).alias("error"), (n >= 3).alias("collected")))
-    )
-
-
 def retry_fold(events: DataFrame) -> DataFrame:
-    """events (cb_id, seq, result) folded in order of seq: cb_id, error, collected, seen (results until it was collected)."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "result")))
-    start = F.struct(F.lit(None).cast("string").alias("error"), F.lit(False).alias("collected"), F.lit(0).alias("seen"))
-
-    def step(s, e):
-        new = next_state(s["error"], e["result"])
-        return F.when(s["collected"], s).otherwise(F.struct(new["error"].alias("error"), new["collected"].alias("collected"), (s["seen"] + 1).alias("seen")))
+    """events (cb_id, seq, result) folded in order of seq: cb_id, error, collected, seen (results until it was collected).
 
-    return events.groupBy("cb_id").agg(F.aggregate(ordered, start, step).alias("s")).select("cb_id", "s.error", "s.collected", "s.seen")
+    Final results collect at once (without error text if all is well), as does a search page that isn't there; an HTTP or
+    parse error collects at the third in a row. The count is in the error text, and errors of the other kind start it anew; other
+    results leave the pair waiting as it was. No list of a pair's results is gathered: each looks back at two, and the first that
+    collects is a minimum."""
+    starts = lambda t: F.startswith("result", F.lit(t))
+    final = F.col("result").isin(*DONE, NOT_FOUND) | starts("SKIPPED")
+    kind = F.when(starts("SEARCH HTTP") | starts("DETAIL HTTP") | F.contains("result", F.lit("AJAX HTTP")), HTTP).when(starts(PARSE), PARSE)
+    w = Window.partitionBy("cb_id").orderBy("seq", "result")
+    told = events.select("cb_id", "seq", "result", final.alias("_final"), F.when(~final, kind).alias("_kind")).filter("_final or _kind is not null")
+    told = told.withColumn("_again", F.col("_kind").eqNullSafe(F.lag("_kind").over(w)) & F.col("_kind").isNotNull())
+    third = F.col("_again") & F.col("_kind").eqNullSafe(F.lag("_kind", 2).over(w))
+    told = told.withColumn("_settles", F.col("_final") | third)
+    row = F.struct("seq", "result", "_final", "_kind", "_again")
+    ends = told.groupBy("cb_id").agg(F.min(F.when(F.col("_settles"), row)).alias("end"), F.max(row).alias("last"))
+    rows = events.join(ends, "cb_id", "left")
+    before = F.col("end").isNull() | (F.struct("seq", "result") <= F.struct("end.seq", "end.result"))
+    found = rows.groupBy("cb_id").agg(F.count_if(before).cast("int").alias("seen"), F.first("end").alias("end"), F.first("last").alias("last"))
+    last = F.when(F.col("end._final"), F.nullif("end.result", F.lit("OK"))).when(F.col("end._kind") == PARSE, PARSE).otherwise(F.col("end.result"))
+    waiting = F.concat("last._kind", F.when(F.col("last._again"), " 2").otherwise(" 1"))
+    return found.select("cb_id", F.when(F.col("end").isNotNull(), last).otherwise(waiting).alias("error"), F.col("end").isNotNull().alias("collected"), "seen")
 
 
 def soft_bounces(events: DataFrame, most: int = 3, days: int = 7) -> DataFrame:

@@ -1,13 +1,14 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marktlens.functions import hashing, letters, text, websites
 from marktlens.functions import window_time as wt
-from marktlens.operators import filters, ranking
-from marktlens.parsing import cards
+from marktlens.operators import filters, joins, ranking
+from marktlens.parsing import cards, mails
 from marktlens.plans import expansion, resolution
 from marktlens.sources import files
 from marktlens.streaming import clicks, machines
@@ -188,6 +189,9 @@ def test_files(spark, tmp_path):
     files.replace_by_key(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), out, "k")
     files.replace_by_key(spark.createDataFrame([(1, "c")], "k long, v string"), out, "k")
     assert {tuple(r) for r in spark.read.parquet(out).select("k", "v").collect()} == {(1, "c"), (2, "b")}
+    files.replace_by_key(spark.createDataFrame([(None, "d"), (2, "e"), (2, "f")], "k long, v string"), out, "k")
+    files.replace_by_key(spark.createDataFrame([(None, "g")], "k long, v string"), out, "k")
+    assert {tuple(r) for r in spark.read.parquet(out).select("k", "v").collect()} == {(1, "c"), (2, "e"), (2, "f"), (None, "g")}
     rows, new = files.memo_join(spark.createDataFrame([(1,), (2,)], "k long"), "k", spark.createDataFrame([(1, 10)], "k long, r long"), lambda keys: keys.withColumn("r", F.col("k") * 100))
     assert {tuple(r) for r in rows.collect()} == {(1, 10), (2, 200)} and new.count() == 1
 
@@ -210,3 +214,32 @@ def test_bounce_status_lines(spark):
     rows = spark.createDataFrame(list(enumerate(mails)), "i int, mail string")
     got = [r.k for r in rows.select("i", text.bounce_kind(F.col("mail"), F.lit(False)).alias("k")).orderBy("i").collect()]
     assert got == ["hard", "soft", "soft", None, None]
+
+
+def test_nearest_far_and_near(spark):
+    r = random.Random(3)
+    places = [(i, r.uniform(47, 55), r.uniform(5, 15)) for i in range(40)] + [(100, -80.0, 170.0), (101, 50.0, 7.0), (102, 50.0, 7.0)]
+    points = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(60)] + [(60 + i, r.uniform(47, 55), r.uniform(5, 15)) for i in range(60)] + [(200, 50.0, 7.0)]
+    got = {x.point_id: x.place_id for x in joins.nearest(spark.createDataFrame([*points, (300, None, 1.0)], "id long, lat double, lon double"), spark.createDataFrame(places, "id long, lat double, lon double"), 0.25).collect()}
+    assert got == {p: min(((b - y) ** 2 + (c - x) ** 2, i) for i, b, c in places)[1] for p, y, x in points}
+
+
+def test_mails_of_all_sorts():
+    assert mails.read(None)[:3] == ("", False, {}) and mails.read(b"\xff\xfe no head")[5] is None
+    report = b"Date: nonsense\r\nContent-Type: multipart/report; boundary=b\r\n\r\n--b\r\nContent-Type: message/delivery-status\r\n\r\nStatus: 4.0.0\r\n\r\n--b--\r\n"
+    assert mails.read(report)[1] is True and mails.read(report)[5] is None
+    odd = b"Date: Mon, 1 Jan 2024 00:00:00\r\nContent-Type: text/plain; charset=no-such\r\n\r\ncaf\xc3\xa9"
+    assert mails.read(odd)[4] == "caf\u00e9" and mails.read(odd)[5] == dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def test_letter_ids(spark):
+    for mail, want in {"X-Mailer-App: App 2\nX-Mailer-Id: 17": 17, "> x-mailer-id: 5\r\n> X-MAILER-APP: app": 5, "X-Mailer-Id: 5": None, "X-Mailer-App: app\nX-Mailer-Id: 0": None, "X-Mailer-App: other\nX-Mailer-Id: 5": None, "": None}.items():
+        assert one(spark, mail, text.letter_id(F.col("v"), "app")) == (want,), mail
+
+
+def test_answers(spark):
+    for answer, want in {'{"a": 1}': '{"a": 1}', '```json\n{"a": 1}\n```': '{"a": 1}', 'Sure: {"a": {"b": 2}} done': '{"a": {"b": 2}}', "none": None, "": None, "{broken": None}.items():
+        assert one(spark, answer, text.answer_json(F.col("v"))) == (want,), answer
+    assert [one(spark, v, text.json_object(F.col("v")))[0] for v in (None, " ", "[1]", '{"a": 1}', "{")] == ["{}", "{}", "{}", '{"a": 1}', "{}"]
+    with pytest.raises(Exception, match="no JSON object"):
+        one(spark, "[1]", text.json_object(F.col("v"), strict=True))
