@@ -30,7 +30,7 @@ def sort_out(mails: DataFrame, log: DataFrame, app: str, judge: Callable[[DataFr
     known = log.select(F.col("id").alias("letter_id"), "contact_id", F.lit(True).alias("_known"))
     rows = mails.withColumn("letter_id", text.letter_id(F.col("mail"), app)).join(known, "letter_id", "left")
     rows = rows.withColumn("_known", F.coalesce("_known", F.lit(False))).withColumn("bounce", F.when(F.col("_known"), text.bounce_kind(F.col("mail"), F.col("has_report"))))
-    said = F.coalesce(F.nullif(text.html_text(F.col("html")), F.lit("")), F.nullif(F.trim("plain"), F.lit("")))
+    said = F.coalesce(F.nullif(text.html_text(F.col("html")), F.lit("")), F.nullif(F.regexp_replace("plain", r"(?U)^\s+|\s+$", ""), F.lit("")))
     rows = judge(rows.withColumn("asked", F.when(F.col("_known") & F.col("bounce").isNull(), said)))
     angry, automatic = (F.coalesce(text.yes_no(F.col(c)), F.lit(False)) for c in ("angry", "automatic"))
     kind = text.reply_kind(F.col("letter_id").isNotNull(), F.col("_known"), F.col("bounce"), angry, automatic)
