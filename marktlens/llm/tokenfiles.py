@@ -11,8 +11,13 @@ moved, and a task that runs again writes the same bytes, so that lost executors
 from __future__ import annotations
 
 import bisect
+import functools
+import json
+import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,52 +32,104 @@ from tokenizers import Tokenizer
 from marktlens.llm.common import map_rows, small_batches
 
 #: Words whose ids a worker remembers, characters of those, words laid out at once, and documents that one task reads.
-WORDS, CHARS, SLICE, BLOCK = 1 << 18, 1 << 24, 1 << 20, 1 << 13
+WORDS, CHARS, SLICE, BLOCK = 1 << 19, 1 << 23, 1 << 18, 1 << 13
 SHARD = "shard int, n_docs long, n_null long, n_ids long, width int, first long, last long"
 
+# What a tokenizer has to do for words apart to have the ids that they have together.
+NORMALIZERS = {"NFC", "Lowercase", "Replace"}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that end words: a run of symbols after a letter or a digit is a piece of its own.
+MARKS = ".,;:!?)"
+#: Words of these letters alone are one piece, which the normalizers only lower; the model gets it with its bytes written as characters:
+#: printable ones of Latin-1 as themselves, the others in order from U+0100 on.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
+def parts_words(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer cuts texts at white space, and letters, digits and symbols from each other, whatever stands around them."""
+    made = json.loads(tokenizer.to_str())
+    steps = [n for x in [made["normalizer"] or {"type": "Sequence", "normalizers": []}] for n in x.get("normalizers", [x])]
+    first, *then = [p for x in [made["pre_tokenizer"] or {}] for p in x.get("pretokenizers", [x])]
+    plain = [p["type"] for p in then] == ["ByteLevel"] and not then[0]["add_prefix_space"] and not then[0]["use_regex"] and made["model"]["type"] == "BPE" and any(n["type"] == "Lowercase" for n in steps)
+    plain &= all(n["type"] in NORMALIZERS and (n["type"] != "Replace" or (n["pattern"], n["content"]) == ({"Regex": "\\s+"}, " ")) for n in steps)
+    return plain and first.get("type") == "Split" and (first["pattern"], first["behavior"], first["invert"]) == ({"Regex": PATTERN}, "Removed", True) and all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not any(c.isspace() for c in t["content"]) and t["content"][-1] not in MARKS for t in made["added_tokens"])
+
 
 class Encoder:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins what ASCII white space parts: texts are cut there, and each word is
-    encoded once. `safe` says whether a tokenizer is of that kind; others encode whole texts."""
+    """Ids of texts. Where a tokenizer parts words (parts_words), texts are cut at ASCII white space and each new word is encoded once, without
+    the marks that end it, which are encoded apart; words of letters alone go straight to the tokenizer's model. Other tokenizers get
+    whole texts. What wasn't met again by the time that so many new words came is forgotten."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        self.chars = 0
-        probe = ["a b", " Ab\tc'd  1", "é ́x\n", "<|endoftext|> q <|endoftext|>", "(a) 'll b's\r\n12 34"]
-        self.safe = all(self._ids(t) == [i for w in _words(pa.array([t])).flatten().to_pylist() for i in self._ids(w)] for t in probe)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS or self.chars > CHARS:
-            self.known, self.chars, new = {}, 0, words
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32)
-        self.chars += sum(map(len, new))
+        self.apart = parts_words(self.tokenizer)
+        self.young, self.old, self.chars = {}, {}, 0
+
+    def learn(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        if len(self.young) > WORDS or self.chars > CHARS:
+            self.old, self.young, self.chars = self.young, {}, 0
+        odd = {}
+        for t in texts:
+            if t not in self.young:
+                self.chars += len(t)
+                held = self.old.get(t)
+                if held is None:
+                    held = self._word(t) if self.apart else None
+                if held is None:
+                    odd[t] = None
+                else:
+                    self.young[t] = held
+        odd = list(odd)
+        for at in range(0, len(odd), 1024):
+            some = odd[at : at + 1024]
+            for t, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.young[t] = array("I", e.ids).tobytes()
+        return [self.young[t] for t in texts]
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a word, but for odd ones."""
+        stem = word.rstrip(MARKS)
+        if not PLAIN.fullmatch(stem):
+            return b"" if not word else None
+        low, marks = stem.lower(), word[len(stem) :]
+        ids = self.young.get(low) or self.old.get(low)
+        if ids is None:
+            ids = array("I", [x.id for x in self.tokenizer.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTES))]).tobytes()
+        self.young[low] = ids
+        if marks:
+            if marks not in self.young:
+                self.young[marks] = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+            ids += self.young[marks]
+        return ids
 
     def ids(self, texts: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Slices of the ids of all texts, each text closed by `end`, with how many of them each text begun here or before still has:
-        (ids, lengths by text of this slice)."""
-        parts = _words(texts) if self.safe else pa.array([[t] for t in texts.to_pylist()], pa.list_(pa.string()))
+        """The ids of all texts, each closed by `end`, in slices: (ids, how many of them each text has)."""
+        parts = _words(texts) if self.apart else pa.array([[t] for t in texts.to_pylist()], pa.list_(pa.string()))
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        made = [*(self.known[w] for w in words), np.array([end], np.uint32)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        flat, starts = np.concatenate(made), np.cumsum(sizes) - sizes
-        order = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(words))
-        of = np.repeat(np.arange(len(texts)), np.diff(bounds) + 1)
+        made = [*self.learn(coded.dictionary.to_pylist()), array("I", [end]).tobytes()]
+        flat = np.frombuffer(b"".join(made), np.uint32)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts = np.cumsum(sizes) - sizes
+        order = np.insert(coded.indices.to_numpy().astype(np.int32), bounds[1:], len(made) - 1)
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds) + 1)
         for at in range(0, len(order), SLICE):
             o = order[at : at + SLICE]
-            n = sizes[o]
-            ids = flat[np.repeat(starts[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            yield ids, np.bincount(of[at : at + SLICE], weights=n, minlength=len(texts)).astype(np.int64)
+            yield _gather(flat, starts[o], sizes[o]), np.bincount(of[at : at + SLICE], weights=sizes[o], minlength=len(texts)).astype(np.int64)
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+    return Encoder(path)
 
 
 def _words(texts: pa.Array) -> pa.Array:
@@ -140,7 +197,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, parts: int
             if not b.num_rows:
                 continue
             if files is None:
-                encoder = Encoder(tokenizer)
+                encoder = _encoder(tokenizer)
                 kind = "<u2" if max(end, encoder.tokenizer.get_vocab_size() - 1) < 1 << 16 else "<u4"
                 files = [_File(folder, _name(x, shard)) for x in ("ids", "sizes", "docs")]
             sizes = np.zeros(b.num_rows, np.int64)

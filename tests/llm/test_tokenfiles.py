@@ -26,13 +26,13 @@ def brute(rows):
 
 def texts():
     r = random.Random(5)
-    parts = ["Haus", "don't", "ÄÖ", "é", "́", " ", " ", "\x1c", "\x85", "<|endoftext|>", "12a", "世界", "!?", " ", "\n\t", "İ", "Σς", "\r\n", "　"]
+    parts = ["Haus", "don't", "ÄÖ", "é", "́", " ", " ", "\x1c", "\x85", "<|endoftext|>", "12a", "世界", "!?", " ", "\n\t", "İ", "Σς", "\r\n", "　", "Haus.", "x\u0301.", "\u0130.", "a)", "'S!", "é?!", "1;", "\u0958.", "ÄrGER", "ÿß,", "×÷", "ªº"]
     return ["".join(r.choice(parts) + r.choice([" ", "", "  ", "\n"]) for _ in range(r.randrange(40))) for _ in range(60)] + ["", "   ", "x" * 5000, "wort " * 30_000]
 
 
 def test_words_apart_give_the_ids_of_the_whole():
     encoder = tokenfiles.Encoder(PATH)
-    assert encoder.safe
+    assert encoder.apart
     made = texts()
     got, sizes = [], np.zeros(len(made), np.int64)
     for ids, n in encoder.ids(pa.array(made), 1):
@@ -56,12 +56,16 @@ def test_little_memory_gives_the_same(monkeypatch):
     monkeypatch.setattr(tokenfiles, "WORDS", 3)
     monkeypatch.setattr(tokenfiles, "SLICE", 5)
     test_words_apart_give_the_ids_of_the_whole()
+    encoder = tokenfiles.Encoder(PATH)
+    for t in texts() * 2:  # forgets and meets words again
+        got = np.concatenate([ids for ids, _ in encoder.ids(pa.array([t]), 1)])
+        assert got.tolist() == [*PLAIN.encode(t, add_special_tokens=False).ids, 1]
 
 
 def test_a_tokenizer_that_joins_words_takes_whole_texts():
     path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
     encoder = tokenfiles.Encoder(path)
-    assert not encoder.safe
+    assert not encoder.apart
     got = np.concatenate([ids for ids, _ in encoder.ids(pa.array(["a  b c", ""]), 7)])
     assert got.tolist() == [*Tokenizer.from_file(path).encode("a  b c", add_special_tokens=False).ids, 7, 7]
 
