@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm import embeddings, hamming, mixing, pieces, pseudolikelihood, simhash, substrings, suffixes, tokenfiles, toxicity, wordpiece
+from marktlens.llm import embeddings, hamming, mixing, negatives, pieces, pseudolikelihood, simhash, substrings, suffixes, tokenfiles, toxicity, wordpiece
 from marktlens.llm.common import folder
 
 
@@ -121,11 +121,35 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudolikelihood.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    q = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), q.alias("q")), F.col("vec_id") % 50 == 0)
+
+
+#: Every anchor with every row, ranked.
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), p AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score FROM v a JOIN v ON len(a.q) = len(v.q) AND a <> v WHERE a.vec_id % 50 = 0
+), f AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS rn FROM p WHERE alike) WHERE rn <= 5
+), r AS (
+  SELECT f.*, p.vec_id AS negative_id, p.score AS negative_score, row_number() OVER (PARTITION BY f.anchor_id, f.positive_id ORDER BY p.score DESC, p.vec_id) AS rank
+  FROM f JOIN p ON p.anchor_id = f.anchor_id AND NOT p.alike AND 50 * positive_score <= 100 * p.score AND 100 * p.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     tokenfiles.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", path, end=1)
     return tokenfiles.read(spark, path)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op9_lm_scoring": op9_lm_scoring, "op10_simhash_near_dedup": op10_simhash_near_dedup, "op13_token_files": op13_token_files}
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_topk_search": OP6_SQL}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op9_lm_scoring": op9_lm_scoring, "op10_simhash_near_dedup": op10_simhash_near_dedup, "op12_hard_negatives": op12_hard_negatives, "op13_token_files": op13_token_files}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_topk_search": OP6_SQL, "op12_hard_negatives": OP12_SQL}
