@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm import embeddings, hamming, mixing, negatives, pieces, pseudolikelihood, simhash, substrings, suffixes, tokenfiles, toxicity, wordpiece
+from marktlens.llm import embeddings, hamming, mixing, negatives, pieces, pseudolikelihood, simhash, substrings, suffixes, tokenfiles, toxicity, variants, wordpiece
 from marktlens.llm.common import folder
 
 
@@ -121,6 +121,35 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudolikelihood.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table, made from the rule; deletions as texts; words of one length are near if one place differs, others by what they share.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY b) AS crc FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT)) AS c FROM (SELECT unnest(range(256)) AS b))
+), r AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL
+), x AS (SELECT run, n, hex(encode(concat(doc_id, ':', run))) AS h FROM r
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_transform(range(len(h) // 2), lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS BIGINT)), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) % 256 AS INT) + 1]), CAST(4294967295 AS BIGINT))) AS h FROM x, t
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5
+), k AS (
+  SELECT word, n, word AS key FROM w UNION SELECT word, n, concat(substr(word, 1, i - 1), substr(word, i + 1)) FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word
+  WHERE length(a.word) <> length(b.word) AND (a.key = a.word OR b.key = b.word) OR length(a.word) = length(b.word) AND len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1
+), f AS (
+  SELECT w.word, w.n, count(near) AS n_near, max(near_n) AS best_n, arg_min(near, (-near_n, encode(near))) AS best FROM w LEFT JOIN p ON p.word = w.word GROUP BY ALL
+), g AS (SELECT word, n, n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM f),
+c(word, root, steps) AS (SELECT word, word, 0 FROM g UNION ALL SELECT c.word, g.form, steps + 1 FROM c JOIN g ON g.word = c.root WHERE g.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, steps) AS root FROM c GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM g JOIN e USING (word)
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -151,5 +180,5 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, path)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op9_lm_scoring": op9_lm_scoring, "op10_simhash_near_dedup": op10_simhash_near_dedup, "op12_hard_negatives": op12_hard_negatives, "op13_token_files": op13_token_files}
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_topk_search": OP6_SQL, "op12_hard_negatives": OP12_SQL}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_source_mixing": op3_source_mixing, "op4_toxicity": op4_toxicity, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_topk_search": op6_topk_search, "op7_sentencepiece": op7_sentencepiece, "op8_token_counts": op8_token_counts, "op9_lm_scoring": op9_lm_scoring, "op10_simhash_near_dedup": op10_simhash_near_dedup, "op11_spelling_variants": op11_spelling_variants, "op12_hard_negatives": op12_hard_negatives, "op13_token_files": op13_token_files}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_topk_search": OP6_SQL, "op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL}
