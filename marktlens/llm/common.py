@@ -50,6 +50,11 @@ def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows over as many tasks as a shuffle has partitions, however small they are: for rows that stand for much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function that yields a dict of columns (lists or numpy arrays) for each batch it makes."""
     fields = to_arrow_schema(StructType.fromDDL(schema))

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marktlens.llm.common import map_rows, small_batches, written
+from marktlens.llm.common import dealt, map_rows, small_batches, written
 
 #: Rows of a block, anchors of a block, anchors worked on at once, cells of a dimension, classes of labels that blocks are dealt by.
-ROWS, ANCHORS, STRIP, CELLS, CLASSES = 16_384, 1_024, 64, 64, 64
+ROWS, ANCHORS, STRIP, CELLS, CLASSES = 8_192, 1_024, 64, 64, 64
 LEAST, GREATEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -205,13 +205,14 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     anchors = anchors.join(classes.select("dim", "g", F.col("first").alias("rows_first"), F.col("k").alias("rows_k"), F.col("total").alias("rows_total")), ["dim", "g"])
     a = _as(_packed(anchors, _classes(anchors, ANCHORS), ["dim", "block", "rows_first", "rows_k", "rows_total"], False), "a_")
     steps = lambda lo, n: F.explode(F.sequence(lo, lo + n - 1)).alias("r_block")
-    tiles = a.select("*", steps(F.col("a_rows_first"), F.col("a_rows_k"))).join(v, ["dim", "r_block"])
+    v = dealt(v, "dim", "r_block")  # few rows that stand for much work
+    tiles = dealt(a.select("*", steps(F.col("a_rows_first"), F.col("a_rows_k"))), "dim", "r_block").join(v, ["dim", "r_block"])
     found = map_rows(tiles, _positives(positives), "dim int, a long, pos int, anchor_id long, id long, score long")
     near = Window.partitionBy("dim", "a", "pos").orderBy(F.desc("score"), "id")
     best = found.withColumn("place", F.row_number().over(near)).filter(F.col("place") <= positives)
     wanted = best.groupBy("dim", F.col("a").alias("a_block")).agg(F.collect_list(F.struct("pos", "place", "id", "score")).alias("wanted"))
     asked = written(a.join(wanted, ["dim", "a_block"]), "anchors")
-    tiles = asked.select("*", steps(F.lit(0).cast("long"), F.col("a_rows_total"))).join(v, ["dim", "r_block"])
+    tiles = dealt(asked.select("*", steps(F.lit(0).cast("long"), F.col("a_rows_total"))), "dim", "r_block").join(v, ["dim", "r_block"])
     schema = "dim int, a long, pos int, place int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
     far = Window.partitionBy("dim", "a", "pos", "place").orderBy(F.desc("negative_score"), "negative_id")
     out = map_rows(tiles, _negatives(negatives, share), schema).withColumn("rank", F.row_number().over(far)).filter(F.col("rank") <= negatives)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marktlens.llm.common import map_rows, small_batches
+from marktlens.llm.common import dealt, map_rows, small_batches
 
 #: Words whose ids a worker remembers, characters of those, words laid out at once, and documents that one task reads.
 WORDS, CHARS, SLICE, BLOCK = 1 << 19, 1 << 23, 1 << 18, 1 << 13
@@ -231,7 +231,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, parts: int
             yield {c: b[c] for c in b.schema.names}
 
     schema = SHARD + ", base_docs long, base_ids long"
-    placed = map_rows(bases.drop("_before").repartition("shard"), place, schema)
+    placed = map_rows(dealt(bases.drop("_before"), "shard"), place, schema)
     placed.write.parquet(f"{folder}/shards")
     return shards(spark, folder)
 
@@ -258,7 +258,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 null = np.arange(at, at + n) >= r["n_docs"] - r["n_null"]
                 yield {"doc_id": pa.array(docs, mask=null), "start": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": sums} | ({"ids": cut} if with_ids else {})
 
-    return map_rows(pieces.repartition("shard", "_from"), work, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return map_rows(dealt(pieces, "shard", "_from"), work, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 class Reader:
