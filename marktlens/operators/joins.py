@@ -43,13 +43,26 @@ def fully_rated(ratings: DataFrame, task: str = "task_id") -> DataFrame:
     return ratings.groupBy(task).agg(F.count("*").alias("n"), F.count("rate").alias("rated")).filter("n = rated").select(task)
 
 
-def nearest(points: DataFrame, places: DataFrame, cell: float = 1.0) -> DataFrame:
+def cell_width(places: DataFrame, widest: float = 720.0, halvings: int = 24) -> float:
+    """The widest grid, halved again and again, whose cells hold two of the places at most, as a place meets it on average (the sum of
+    squares of what cells hold over the sum): one job, of which the driver gets a number for each grid."""
+    grid = places.select("lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(halvings))).alias("level"))
+    cell = [F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("level")) / widest).alias(c) for c in ("lat", "lon")]
+    held = grid.select("level", *cell).groupBy("level", "lat", "lon").agg(F.count("*").cast("double").alias("n"))
+    met = held.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("met")).filter("met <= 2")
+    level = met.agg(F.min("level")).first()[0]
+    return widest / 2 ** (halvings if level is None else level)
+
+
+def nearest(points: DataFrame, places: DataFrame, cell: float | None = None) -> DataFrame:
     """For each point (id, lat, lon) the place (id, lat, lon) with the least squared distance in degrees; ties go to the
-    smallest id. Points without coordinates have none.
+    smallest id. Points without coordinates have none, and places without aren't found.
 
-    Grids of cells that double in width, from `cell` degrees to more than the globe's, tell how far a point has to look: if the
-    3 x 3 cells around it hold a place, the nearest one is less than three widths away, and so among the 3 x 3 cells of the
-    grid four times as wide. Both joins are on cells; places are repeated, points aren't."""
+    Grids of cells that double in width, from `cell` degrees (by default so wide that a place has its cell about to itself) to more
+    than the globe's, tell how far a point has to look: if the 3 x 3 cells around it hold a place, the nearest one is less than three
+    widths away, and so among the 3 x 3 cells of the grid four times as wide. Both joins are on cells; places are repeated, points aren't."""
+    places = places.filter("lat is not null and lon is not null")
+    cell = cell or cell_width(places)
     last = max(0, math.ceil(math.log2(720 / cell)))
     a = points.select(F.col("id").alias("point_id"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     b = places.select(F.col("id").alias("place_id"), "lat", "lon")

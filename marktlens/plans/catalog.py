@@ -151,7 +151,7 @@ def points(t: Tables) -> DataFrame:
     return t.plz.select("id", (47.3 + (F.col("id") * 37 % 97) / 14).alias("lat"), (5.9 + (F.col("id") * 53 % 89) / 10).alias("lon"))
 
 
-query("J12_nearest_city", lambda t: joins.nearest(points(t), t.city, cell=1.5).select("point_id", "place_id", F.round("d2", 6).alias("d2")), """
+query("J12_nearest_city", lambda t: joins.nearest(points(t), t.city).select("point_id", "place_id", F.round("d2", 6).alias("d2")), """
 SELECT p.id AS point_id, arg_min(c.id, (d2, c.id)) AS place_id, round(min(d2), 6) AS d2 FROM (SELECT id, 47.3 + (id * 37 % 97) / 14 AS lat, 5.9 + (id * 53 % 89) / 10 AS lon FROM plz) p, city c, LATERAL (SELECT pow(c.lat - p.lat, 2) + pow(c.lon - p.lon, 2) AS d2) GROUP BY p.id""")
 query("J13_geo_labels", lambda t: t.nation.join(t.region.filter("r_regionkey <> 2"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.coalesce("r_name", F.concat(F.lit("Kreis "), F.col("n_regionkey").cast("string"))).alias("label")), "SELECT n_nationkey, coalesce(r_name, concat('Kreis ', n_regionkey)) AS label FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) r ON r_regionkey = n_regionkey")
 query("J18_recent_mailboxes", lambda t: joins.recent_mailboxes(t.sending_log, t.campaign, "2000-06-01 00:00:00", 20), "SELECT DISTINCT c.mailbox_id FROM campaign c WHERE c.id IN (SELECT campaign_id FROM sending_log WHERE created_at >= TIMESTAMP '2000-06-01 00:00:00' - INTERVAL 20 DAY)")

@@ -1,6 +1,6 @@
 import pytest
 
-from marktlens.plans import catalog
+from marktlens.plans import catalog, entries  # noqa: F401
 from tests.compare import SF, same
 
 
