@@ -35,7 +35,6 @@ def words(docs: DataFrame, least_length: int = 5, least_count: int = 3, misspell
     A run is lower-cased in A to Z alone. Where the crc32 of `doc_id:run` is a multiple of `misspell`, the code point at the crc32 modulo the
     run's length goes. Null texts have no words; a null doc_id counts as an empty one."""
     runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("_r"))
-    # counted by document first: a document repeats its words, and their hashes
     runs = runs.select("_d", F.translate("_r", UPPER, LOWER).alias("_r")).withColumn("_h", F.crc32(F.concat("_d", F.lit(":"), "_r")))
     at = F.pmod(F.col("_h"), F.length("_r")).cast("int")
     cut = F.concat(F.substring("_r", F.lit(1), at), F.substring("_r", at + 2, F.length("_r")))
