@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marktlens.functions.text import bad_email
@@ -14,26 +14,33 @@ def checked(cards: DataFrame) -> DataFrame:
     return cards.withColumn("email", mail).withColumn("verdict", F.when(F.coalesce(mail, F.lit("")) == "", "EMPTY").when(bad_email(mail), "INVALID").otherwise("OK"))
 
 
+NAMES = ("company_name", "city", "land")
 LISTS = ("phones", "websites", "categories", "description")
 _BEFORE = -(2**63)  # the place of what a contact holds already: before all cards
 
 
-def _fold(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Contacts from rows (id, email, names, lists, n_cards) and pairs (email, cb_id, card_id). Every list is reduced to the first
-    mention of each value before it is gathered, so that an address with a third of all cards costs one row for each value."""
+def _fold(rows: DataFrame) -> DataFrame:
+    """Contacts from rows (email, id, names, lists, n_cards, pairs). All that a row says is exploded once, by kind; each value of an address and
+    kind is reduced to its first mention (pairs to their last card) before the address gathers them, so that an address with a third of all
+    cards costs one row for each value."""
 
-    def first(c: str):
-        return F.min_by(c, F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.col("id"))).alias(c)
+    def said(kind: str, v: Column, at: Column, card: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("v"), at.cast("int").alias("at"), card.cast("long").alias("card"), n.cast("long").alias("n"))
 
-    out = rows.groupBy("email").agg(*[first(c) for c in ("company_name", "city", "land")], F.sum("n_cards").alias("n_cards"))
-    for c in LISTS:
-        said = rows.select("email", "id", F.posexplode(c).alias("at", "v")).groupBy("email", "v").agg(F.min(F.struct("id", "at")).alias("at"))
-        in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
-        out = out.join(said.groupBy("email").agg(in_order.alias(c)), "email", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    last = pairs.filter("cb_id is not null").groupBy("email", "cb_id").agg(F.max("card_id").alias("card_id"))
-    last = last.groupBy("email").agg(F.array_sort(F.collect_list(F.struct("cb_id", "card_id"))).alias("pairs"))
-    out = out.withColumn("description", F.array_join("description", "\n\n")).join(last, "email", "left")
-    return out.select("email", "company_name", "city", "land", *LISTS, "n_cards", "pairs")
+    def listed(c: str) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, i: said(c, v, i, F.lit(None), F.lit(0)))
+
+    none = F.lit(0)
+    names = F.filter(F.array(*[said(c, F.col(c), none, F.lit(None), none) for c in NAMES]), lambda x: F.coalesce(F.trim(x["v"]), F.lit("")) != "")
+    pairs = F.transform(F.filter("pairs", lambda p: p["cb_id"].isNotNull()), lambda p: said("pairs", p["cb_id"], none, p["card_id"], none))
+    count = F.array(said("", F.lit(None), none, F.lit(None), F.col("n_cards")))
+    each = rows.select("email", "id", F.inline(F.concat(names, *map(listed, LISTS), pairs, count)))
+    each = each.groupBy("email", "kind", "v").agg(F.min(F.struct("id", "at")).alias("first"), F.max("card").alias("card"), F.sum("n").alias("n"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    gathered = lambda kind: F.transform(F.array_sort(F.collect_list(of(kind, F.struct("first", "v")))), lambda x: x["v"])
+    held = F.array_sort(F.collect_list(of("pairs", F.struct(F.col("v").cast("long").alias("cb_id"), F.col("card").alias("card_id")))))
+    out = each.groupBy("email").agg(*[F.min_by("v", of(c, F.col("first"))).alias(c) for c in NAMES], *[gathered(c).alias(c) for c in LISTS], F.sum("n").alias("n_cards"), held.alias("pairs"))
+    return out.withColumn("description", F.array_join("description", "\n\n")).withColumn("pairs", F.when(F.size("pairs") > 0, F.col("pairs")))
 
 
 def _paragraphs(df: DataFrame) -> DataFrame:
@@ -41,7 +48,8 @@ def _paragraphs(df: DataFrame) -> DataFrame:
 
 
 def _valid(cards: DataFrame) -> DataFrame:
-    return _paragraphs(checked(cards).filter("verdict = 'OK'")).withColumn("n_cards", F.lit(1).cast("long"))
+    pair = F.array(F.struct(F.col("cb_id").cast("long").alias("cb_id"), F.col("id").cast("long").alias("card_id")))
+    return _paragraphs(checked(cards).filter("verdict = 'OK'")).withColumn("n_cards", F.lit(1).cast("long")).withColumn("pairs", pair)
 
 
 def resolve(cards: DataFrame) -> DataFrame:
@@ -50,8 +58,7 @@ def resolve(cards: DataFrame) -> DataFrame:
     several cards of one pair the last one counts.
 
     cards: id, cb_id, email, company_name, city, land, phones, websites, categories, description."""
-    rows = _valid(cards)
-    return _fold(rows, rows.select("email", "cb_id", F.col("id").alias("card_id")))
+    return _fold(_valid(cards))
 
 
 def resolve_into(contacts: DataFrame, cards: DataFrame) -> DataFrame:
@@ -60,10 +67,8 @@ def resolve_into(contacts: DataFrame, cards: DataFrame) -> DataFrame:
     e-mail address, also from within foreachBatch."""
     new = _valid(cards)
     held = contacts.join(new.select("email").distinct(), "email", "left_semi")
-    columns = ["email", "company_name", "city", "land", *LISTS, "n_cards"]
-    rows = new.select("id", *columns).unionByName(_paragraphs(held).select(F.lit(_BEFORE).cast("long").alias("id"), *columns))
-    pairs = held.select("email", F.inline("pairs")).unionByName(new.select("email", "cb_id", F.col("id").alias("card_id")))
-    return _fold(rows, pairs)
+    columns = ["email", *NAMES, *LISTS, "n_cards", "pairs"]
+    return _fold(new.select("id", *columns).unionByName(_paragraphs(held).select(F.lit(_BEFORE).cast("long").alias("id"), *columns)))
 
 
 def outcome(cards: DataFrame, known: DataFrame) -> DataFrame:
