@@ -33,10 +33,11 @@ def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, step: int = 512)
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     (qa, sa, ea), (qb, sb, eb) = quantise(a / na[:, None]), quantise(b / nb[:, None])
     # |u.v - u'.v'| <= |e_u| |v'| + |u'| |e_v| + |e_u| |e_v|, where |u'| <= 1 + |e_u|
-    fb = qb.astype(np.float32).T
+    kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # which holds the sums exactly
+    fb = qb.astype(kind).T
     for lo in range(0, len(a), step):
         hi = min(lo + step, len(a))
-        product = (qa[lo:hi].astype(np.float32) @ fb).astype(np.float64) * sa[lo:hi, None] * sb[None, :]
+        product = (qa[lo:hi].astype(kind) @ fb).astype(np.float64) * sa[lo:hi, None] * sb[None, :]
         e, f = ea[lo:hi, None], eb[None, :]
         i, j = np.nonzero(product + (e * (1 + f) + (1 + e) * f + e * f + 1e-9) >= threshold)
         for at in range(0, len(i), 1 << 16):
@@ -96,17 +97,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     rows = salted(rows, "vec_id")
     usable = rows.filter("_ok")
     classes = usable.groupBy("_label", F.size("_v").alias("dim"), "_key").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("_v").alias("v"))
-    classes = checkpoint(classes.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(60)).cast("int")))
+    # a class has a number of its own, as one id may stand in several
+    classes = checkpoint(classes.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(60)).cast("int")).withColumn("c", F.monotonically_increasing_id()))
     # blocks: as many for a label as its classes fill
     counts = per_key(classes, ["_label", "dim"], F.count("*").alias("n"))
     dealt = classes.join(counts, ["_label", "dim", "_salt"]).withColumn("k", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("_key", F.lit(7)), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("_label", "dim", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "id", "size", "v")
+    dealt = dealt.select("_label", "dim", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", F.col("c").alias("id"), "size", "v")
     found = checkpoint(dealt.groupBy("_label", "dim", "i", "j").applyInPandas(_tile(threshold), "id long, n long, a long, b long"))
-    linked = found.filter("id is not null").groupBy("id").agg(F.sum("n").alias("_n"))
-    roots = components(found.filter("a is not null").select("a", "b")).withColumnRenamed("node", "id")
-    known = classes.select("_label", "_key", "id", "size").join(linked, "id", "left").join(roots, "id", "left")
-    known = known.select("_label", "_key", F.coalesce("root", "id").alias("_root"), (F.coalesce("_n", F.lit(0)) + F.col("size") - 1).alias("_links"))
+    linked = found.filter("id is not null").groupBy(F.col("id").alias("c")).agg(F.sum("n").alias("_n"))
+    roots = components(found.filter("a is not null").select("a", "b")).distinct().withColumnRenamed("node", "c")
+    known = classes.select("_label", "_key", "c", "id", "size", "_salt").join(linked, "c", "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    known = known.join(per_key(known, ["root"], F.min("id").alias("_root")), ["root", "_salt"])
+    known = known.select("_label", "_key", "_root", (F.coalesce(F.col("_n"), F.lit(0)) + F.col("size") - 1).alias("_links"))
     spread = per_key(usable, ["_label", "_key"]).join(known, ["_label", "_key"])
     out = rows.join(spread, ["_label", "_key", "_salt"], "left")
     component = F.coalesce("_root", "vec_id")

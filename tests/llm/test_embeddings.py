@@ -40,6 +40,8 @@ def data():
     rows = [(i, [float(x) for x in np.float32(base[i % 12] + r.normal(size=8) * 0.25)], i % 3) for i in range(150)]
     rows += [(200 + i, rows[i % 5][1], rows[i % 5][2]) for i in range(20)]
     rows += [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] + [1.0] * 7, 1), (303, [None] + [1.0] * 7, 1), (304, [float("inf")] + [1.0] * 7, 1), (305, [1.0] * 8, None), (306, [1.0] * 8, None), (307, [], 1), (308, [1.0] * 4, 1), (309, [2.0] * 4, 1), (310, [-0.0, 1.0], 2), (311, [0.0, 3.0], 2)]
+    near = [1.0, 0.1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    rows += [(405, near, 7), (406, near[::-1], 7), (407, [1.0, 0.2] + near[2:], 7), (405, near[::-1], 8), (408, [0.0] * 7 + [1.0], 8), (405, near, 8), (405, near[::-1], 7)]  # one id in two labels
     return rows
 
 
@@ -60,6 +62,14 @@ def test_bound_holds():
     assert got == set(zip(*map(lambda z: z.tolist(), np.nonzero(x >= 0.9))))
 
 
+def test_bound_holds_in_many_dimensions():
+    a = np.sign(np.random.default_rng(2).normal(size=(6, 3000)))  # the greatest sums of products
+    a[1] = a[0]
+    a[1, :90] *= -1
+    got = {(int(i), int(j)) for p, q in embeddings.close_pairs(a, a, 0.93) for i, j in zip(p, q)}
+    assert got == {(0, 1), (1, 0), *((i, i) for i in range(6))}
+
+
 def test_oracle(spark):
     assert same(queries.op2_embedding_near_dedup(spark, "/root/testdata/sf0.001"), queries.OP2_SQL) == 500
 
