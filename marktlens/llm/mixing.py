@@ -88,7 +88,8 @@ def draw(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     source before it), order (key of its place in the block).
 
     A null source is a source of its own; documents without tokens are drawn once, at their place in the first epoch.
-    Repeated rows are drawn each for itself; ties go by row key. The last epoch of a source ends before the first
+    Repeated rows are drawn each for itself; ties go by row key. Without a limit of repeats, a source with the share p of the tokens comes up to
+    (largest share / p) ^ (1 - exponent) times as often as the largest, so a very small one makes many rows; max_repeats bounds that. The last epoch of a source ends before the first
     document that would pass its quota. An empty table gives an empty result. Only doc_id, source and text are read."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
     name = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
@@ -132,8 +133,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     keys = ["_mix_d", "_mix_k", "_mix_s"]
     # the n-th of equal rows takes the n-th draw of each epoch
-    drawn = keyed(draw(docs, **options), F.col("row_key")).withColumn("_mix_m", F.row_number().over(Window.partitionBy(*keys, "epoch").orderBy("start")))
-    drawn = drawn.select(*keys, "_mix_m", F.col("block").alias("_mix_b"), F.col("order").alias("_mix_o"))
-    rows = keyed(docs, F.xxhash64("text")).withColumn("_mix_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    found = rows.join(drawn, keys).filter(F.col("_mix_n").between(F.col("_mix_m"), F.col("_mix_m")))
+    drawn = keyed(draw(docs, **options), F.col("row_key")).withColumn("_mix_n", F.row_number().over(Window.partitionBy(*keys, "epoch").orderBy("start")))
+    drawn = drawn.select(*keys, "_mix_n", F.col("block").alias("_mix_b"), F.col("order").alias("_mix_o"))
+    # rows and draws meet in one shuffle by their key, and within it by number: a join would pair all of many equal rows with each other
+    rows = keyed(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_mix_r")), F.xxhash64("text")).select(*keys, "_mix_r")
+    both = rows.unionByName(drawn, allowMissingColumns=True)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_mix_n").isNotNull()))
+    both = both.withColumn("_mix_draw", F.col("_mix_n").isNotNull()).withColumn("_mix_n", F.coalesce("_mix_n", number))
+    own = Window.partitionBy(*keys, "_mix_n").orderBy("_mix_draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_mix_r", F.first("_mix_r", ignorenulls=True).over(own)).filter("_mix_draw").select("_mix_b", "_mix_o", "_mix_k", "_mix_r.*")
     return found.repartitionByRange("_mix_b", "_mix_o", "_mix_k").sortWithinPartitions("_mix_b", "_mix_o", "_mix_k").select(*docs.columns)

@@ -124,3 +124,11 @@ def test_tiny_source(spark):
     assert both.filter("source = 'tiny'").count() == 3
     far = docs(spark, [(1, "a", "s", "x")]).selectExpr("'+big' as _s", "1000000000L as tokens").union(docs(spark, [(1, "a", "s", "x")]).selectExpr("'+tiny' as _s", "1L as tokens"))
     assert {r._s: r.epochs for r in mixing.weights(far, target_entropy=0.95, max_repeats=50.0).collect()} == {"+big": 1, "+tiny": 50}
+
+
+def test_many_equal_rows_take_linear_time(spark):
+    rows = [(1, "a b c", "x", i) for i in range(20_000)] + [(2, "d e", "y", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    got = mixing.mix(df, max_repeats=2.0).collect()
+    assert sorted(r.n for r in got if r.doc_id == 1) == list(range(20_000))  # each of the equal rows has a draw of its own
+    assert len(got) > 20_001
