@@ -6,8 +6,8 @@ bits, and `tables` segments as wide as the number of documents asks. The multi-i
 the ball of radius zero, as many narrow segments find more per lookup than balls in few wide ones. Matches are verified on
 256 bits, or all where buckets are large, and what is left on the whole sets. Two documents whose sets are
 at an angle of t (cos t = 2s / (1 + s) at similarity s and equal sizes) differ in each bit with probability t / pi, and meet with
-1 - (1 - (1 - t / pi)^width)^tables: 0.98 at s = 0.8 and 0.998 at 0.85 for 64 tables of 17 bits, more above. For more documents
-than 2^17, raise `tables` by a quarter with each bit of width to stay there.
+1 - (1 - (1 - t / pi)^width)^tables. There are as many tables as that takes for a stated recall at the similarity itself (0.98, and
+more for pairs that are more similar): 53 of 16 bits for 10^5 documents, 539 of 30 for 10^9. A recall that would take over 2^15 tables is an error.
 
 Equal sets are one class from the start. In a bucket of up to eight classes all pairs are compared. In a larger one each
 class is compared with the leaders, those that came before and were near no other leader; once the links found so are verified,
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from marktlens.llm.common import checkpoint, components, map_rows, per_key, salted, small_batches, texts
 
-TABLES, SMALL = 64, 8
+RECALL, SMALL = 0.98, 8
+#: Where a bucket's key has the number of its table, above the bits of the segment.
+SHIFT = 48
 #: Bits of the complete distance, which a bucket's rows carry.
 CODE = 256
 PARTS = tuple(f"c{i}" for i in range(CODE // 64))
@@ -59,14 +61,30 @@ def fingerprint(found: np.ndarray, bits: int) -> bytes:
 
 def width(n: int) -> int:
     """Bits of a segment, such that a bucket holds about one of n classes by chance."""
-    return min(31, max(12, math.ceil(math.log2(max(2, n))) - 1))
+    return min(SHIFT - 1, max(12, math.ceil(math.log2(max(2, n))) - 1))
+
+
+def angle(percent: int) -> float:
+    """The share of bits in which fingerprints of sets of this similarity, and of equal sizes, differ."""
+    s = percent / 100
+    return math.acos(min(1.0, 2 * s / (1 + s))) / math.pi
+
+
+def tables_for(wide: int, percent: int, recall: float = RECALL) -> int:
+    """Tables of so wide segments in which a pair of this similarity meets at least once with the given probability."""
+    if not 0 < recall < 1:
+        raise ValueError("recall must be between 0 and 1")
+    meets = (1 - angle(percent)) ** wide
+    n = 1 if meets == 1 else math.ceil(math.log(1 - recall) / math.log1p(-meets))
+    if n >= 1 << (63 - SHIFT):
+        raise ValueError(f"a recall of {recall} at {percent} % takes {n} tables of {wide} bits")
+    return n
 
 
 def most_bits(bits: int, percent: int, errors: float = 3.0) -> int:
     """Bits in which fingerprints of sets of this similarity differ at most, but for one pair in seven hundred (and fewer of those
     that are more similar)."""
-    s = percent / 100
-    p = math.acos(min(1.0, 2 * s / (1 + s))) / math.pi
+    p = angle(percent)
     return math.ceil(p * bits + errors * math.sqrt(p * (1 - p) * bits))
 
 
@@ -97,7 +115,7 @@ def _buckets(classes: DataFrame, tables: int, wide: int) -> DataFrame:
                 b = batch.slice(lo, 1024)
                 raw = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 bits = np.unpackbits(raw[:, CODE // 8 :], axis=1)[:, : tables * wide].reshape(b.num_rows, tables, wide)
-                keys = bits @ (1 << np.arange(wide, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << 32)
+                keys = bits @ (1 << np.arange(wide, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << SHIFT)
                 code = np.ascontiguousarray(raw[:, : CODE // 8]).view(np.int64)
                 yield {"key": keys.ravel(), **{c: np.repeat(code[:, i], tables) for i, c in enumerate(PARTS)}, "cls": np.repeat(b.column("cls").to_numpy(), tables)}
 
@@ -168,7 +186,7 @@ def _apart(batches, most: int, tables: int, wide: int):
                 i, differ = i[near], differ[near]
                 if len(i):
                     segments = np.unpackbits(differ.view(np.uint8), axis=1)[:, CODE : CODE + tables * wide].reshape(len(i), tables, wide)
-                    i = i[segments.any(2).argmin(1) == k["key"][s] >> 32]
+                    i = i[segments.any(2).argmin(1) == k["key"][s] >> SHIFT]
                 parts.append(np.stack((cls[i], np.full(len(i), cls[s + j]))))
         yield _pairs(parts)
 
@@ -221,15 +239,16 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, tables:
     return first if more.isEmpty() else first.union(_verified(more, docs, classes, words, percent))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tables: int = TABLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """Per input row: doc_id, row_key, component_id (the smallest doc_id whose document is reachable by links, itself
     included).
 
-    Null and blank texts have no shingles and are copies of each other. Rows with a null doc_id take part, but a component's id
+    recall: the least probability with which a pair at `percent` is met. Null and blank texts have no shingles and are copies of each other. Rows with a null doc_id take part, but a component's id
     is the smallest doc_id that is not null (null if it has none). Repeated rows come back as often as they came. An empty
     table gives an empty result; only doc_id and text are read."""
     small_batches(docs.sparkSession)
     wide = width(docs.count())
+    tables = tables_for(wide, percent, recall)
     bits = CODE + 64 * math.ceil(tables * wide / 64)
     rows = checkpoint(salted(_signatures(docs, words, bits), "_d", "_k"))
     classes = checkpoint(rows.groupBy("cls").agg(F.min("_d").alias("low"), F.min(F.struct("_k", "_d")).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("cls", "n", "fp", "low", F.col("rep._d").alias("rd"), F.col("rep._k").alias("rk")))
@@ -241,9 +260,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tables:
     return rows.select("_d", "_k", "cls", "_salt").join(spread, ["cls", "_salt"]).select(F.col("_d").alias("doc_id"), F.col("_k").alias("row_key"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, tables: int = TABLES) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of their component; rows with a null doc_id stay only if their
     component has no other. Rows equal in doc_id and text stay or go together."""
-    found = near_duplicates(docs, words, percent, tables)
+    found = near_duplicates(docs, words, percent, recall)
     dropped = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), "row_key").distinct()
     return docs.withColumn("_k", F.xxhash64("text")).join(dropped, F.expr("doc_id <=> _gone and _k = row_key"), "left_anti").drop("_k")

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as cp
 from marktlens.llm import shingles
@@ -67,6 +68,36 @@ def test_ties_nulls_and_repeated_rows(spark):
     assert kept == sorted([(3, long + " end"), (None, "alone with no id at all"), (7, ""), (7, None), (9, "x " * 200_000)], key=str)
 
 
+def test_tables_keep_the_recall_at_any_size():
+    for n in (200, 10**5, 10**6, 10**7, 10**9, 10**12):
+        for percent in (70, 80, 90):
+            wide = shingles.width(n)
+            tables = shingles.tables_for(wide, percent)
+            meets = (1 - shingles.angle(percent)) ** wide
+            assert 1 - (1 - meets) ** tables >= shingles.RECALL > 1 - (1 - meets) ** (tables - 1)
+    assert shingles.tables_for(16, 80) == 53 and shingles.tables_for(30, 80) == 539 and shingles.tables_for(12, 100) == 1
+    with pytest.raises(ValueError, match="tables"):
+        shingles.tables_for(47, 40)
+
+
+def test_recall_measured_at_any_width():
+    """Pairs of sets just at 0.8, by the segments that a corpus of a thousand, a hundred thousand and ten million documents has."""
+    r = np.random.default_rng(3)
+    pairs = []
+    for _ in range(120):
+        x = r.integers(0, 1 << 63, 400).astype(np.uint64)
+        pairs.append((np.unique(x), np.unique(np.concatenate((x[:356], r.integers(0, 1 << 63, 44).astype(np.uint64))))))  # 356 / 444
+    for n in (10**3, 10**5, 10**7):
+        wide = shingles.width(n)
+        tables = shingles.tables_for(wide, 80)
+        bits = shingles.CODE + 64 * math.ceil(tables * wide / 64)
+        met = 0
+        for a, b in pairs:
+            x, y = (np.unpackbits(np.frombuffer(shingles.fingerprint(v, bits), np.uint8))[shingles.CODE :][: tables * wide].reshape(tables, wide) for v in (a, b))
+            met += bool((x == y).all(1).any())
+        assert met >= 0.94 * len(pairs)
+
+
 def test_fingerprints_are_as_far_apart_as_the_angle_says():
     r = np.random.default_rng(1)
     apart = []
