@@ -48,7 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, parity and round_trip of every row, as often as it comes. Null and empty texts have no ids."""
+    """doc_id, source, n_tokens, ids, parity and round_trip of every row, as often as it comes. A null text has null ids, n_tokens, parity and
+    round_trip, an empty one no ids."""
     return pieces.encode(docs.select("doc_id", "text", "source"), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "parity", "round_trip")
 
 
