@@ -341,12 +341,21 @@ ORACLES["T1_click_stream"] = with_ctes("SELECT strftime(date_trunc('hour', time)
 
 # --- functions over texts and literals -------------------------------------------------------------------------------------
 
-MAILS = ["a@x.de", "a..b@x.de", ".a@x.de", "a.@x.de", "a@-x.de", "a@x", "a@@x.de", "a b@x.de", "A.B@X-y.De", "a@x..de", "a@x_y.de", "l" * 64 + "@x.de", "l" * 65 + "@x.de", "a@" + "d" * 63 + ".de", "a@" + "d" * 64 + ".de", "mailto:q@w.org?subject=x", "x@y.z", "q@w"]
-VALUES = ", ".join(f"('{m}')" for m in MAILS)
-query("F_mail_syntax", lambda t: values(t._spark, [(m,) for m in MAILS], "m string").select("m", text.bad_email(F.col("m")).alias("bad"), text.clean_email(F.col("m")).alias("cleaned")), f"""
+#: Addresses of contacts, many of them spoilt, and those that documents hold.
+ADDRESSES = """
+SELECT CONCAT(CASE id % 7 WHEN 1 THEN '.' WHEN 2 THEN 'mailto:' WHEN 3 THEN REPEAT('l', CAST(50 + id % 20 AS INT)) WHEN 4 THEN 'a..b' ELSE '' END, CASE id % 3 WHEN 0 THEN email ELSE TRIM(email) END,
+  CASE id % 13 WHEN 1 THEN '@x' WHEN 2 THEN '..de' WHEN 3 THEN ' ' WHEN 4 THEN '?subject=x' WHEN 5 THEN '-' WHEN 6 THEN '_' WHEN 7 THEN CONCAT('.', REPEAT('d', CAST(50 + id % 20 AS INT))) WHEN 8 THEN '.' WHEN 9 THEN '.-x.de' ELSE '' END) AS m FROM contact"""
+
+
+def addresses(t: Tables) -> DataFrame:
+    return t.sql(ADDRESSES).union(t.documents.select(F.explode(text.emails_in(F.col("text"))))).distinct()
+
+
+query("F_mail_syntax", lambda t: addresses(t).select("m", text.bad_email(F.col("m")).alias("bad"), text.clean_email(F.col("m")).alias("cleaned")), f"""
 SELECT m, length(m) > 254 OR len(regexp_extract_all(m, '@')) <> 1 OR l = '' OR length(l) > 64 OR regexp_matches(m, '\\s') OR l LIKE '.%' OR l LIKE '%.' OR l LIKE '%..%' OR d NOT LIKE '%.%' OR NOT regexp_full_match(d, '[a-z0-9.-]+')
   OR len(list_filter(string_split(d, '.'), lambda x: x = '' OR length(x) > 63 OR x LIKE '-%' OR x LIKE '%-')) > 0 AS bad, CASE WHEN length(c) >= 5 AND c LIKE '%@%' AND string_split(c, '@')[-1] LIKE '%.%' THEN c END AS cleaned
-FROM (SELECT m, split_part(m, '@', 1) AS l, lower(split_part(m, '@', 2)) AS d, split_part(regexp_replace(m, '^mailto:', ''), '?', 1) AS c FROM (VALUES {VALUES}) v(m))""")
+FROM (SELECT m, split_part(m, '@', 1) AS l, lower(split_part(m, '@', 2)) AS d, trim(split_part(regexp_replace(trim(m), '^mailto:', ''), '?', 1)) AS c
+  FROM ({ADDRESSES} UNION SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}')) FROM documents) v(m))""")
 query("F_extract_emails", lambda t: t.documents.select("doc_id", F.array_join(text.emails_in(F.col("text")), "|").alias("emails"), F.size(text.urls_in(F.col("text"))).cast("long").alias("urls")).filter("emails <> '' or urls > 0"), r"""
 SELECT doc_id, coalesce(array_to_string(list_distinct_in_order, '|'), '') AS emails, len(list_distinct(regexp_extract_all(text, 'https?://[^\s"''<>]+'))) AS urls
 FROM (SELECT doc_id, text, list_filter(e, lambda x, i: list_position(e, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS e FROM documents)) WHERE len(list_distinct_in_order) > 0 OR regexp_matches(text, 'https?://[^\s"''<>]+')""")
@@ -425,7 +434,7 @@ def raw_mails(t: Tables) -> DataFrame:
     """A mail for each letter, of seven kinds: foreign, about an unknown letter, returned for good or for now, an angry answer in HTML,
     an automatic one in Latin-1, a plain one."""
     k = F.col("id") % 7
-    mark = F.concat(F.lit("X-Mailer-App: Marktlens 1\r\nX-Mailer-Id: "), F.when(k == 1, F.col("id") + FAR).otherwise(F.col("id")).cast("string"), F.lit("\r\n"))
+    mark = F.concat(F.lit(f"{text.MARKS[0]}: Marktlens 1\r\n{text.MARKS[1]}: "), F.when(k == 1, F.col("id") + FAR).otherwise(F.col("id")).cast("string"), F.lit("\r\n"))
     html = "Content-Type: multipart/alternative; boundary=cut\r\n\r\n--cut\r\nContent-Type: text/plain\r\n\r\nkurz\r\n--cut\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<style>p {}</style><p>St=C3=B6rt <b>nie</b> wieder</p>\r\n--cut--\r\n"
     away = "Content-Type: text/plain; charset=iso-8859-1\r\nContent-Transfer-Encoding: base64\r\n\r\nQvxybyBpbSBVcmxhdWI=\r\n"
     body = F.when(k == 0, F.lit("\r\nHallo\r\n")).when(k == 2, F.lit("\r\nStatus: 5.1.1\r\n")).when(k == 3, F.lit("\r\nDiagnostic-Code: smtp; 451 later\r\n")).when(k == 4, html).when(k == 5, away).otherwise(F.concat(F.lit("\r\nGern, Nummer "), F.col("id").cast("string"), F.lit("\r\n")))

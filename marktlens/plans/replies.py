@@ -27,11 +27,14 @@ def sort_out(mails: DataFrame, log: DataFrame, app: str, judge: Callable[[DataFr
     A mail is ours if it names the application and a letter, and known if `log` (id, contact_id) has that letter. `judge`
     adds two answers, `angry` and `automatic`, to rows with `asked`: the text of a plain reply, null where there is nothing to
     judge."""
-    known = log.select(F.col("id").alias("letter_id"), "contact_id", F.lit(True).alias("_known"))
-    rows = mails.withColumn("letter_id", text.letter_id(F.col("mail"), app)).join(known, "letter_id", "left")
-    rows = rows.withColumn("_known", F.coalesce("_known", F.lit(False))).withColumn("bounce", F.when(F.col("_known"), text.bounce_kind(F.col("mail"), F.col("has_report"))))
+    mail = F.col("mail")
     said = F.coalesce(F.nullif(text.html_text(F.col("html")), F.lit("")), F.nullif(F.regexp_replace("plain", r"(?U)^\s+|\s+$", ""), F.lit("")))
-    rows = judge(rows.withColumn("asked", F.when(F.col("_known") & F.col("bounce").isNull(), said)))
+    # what a mail says is taken from it before the join, which needs no mail; foreign mails have keys that no letter has, each its own
+    rows = mails.select("mailbox_id", "folder", "uid", text.letter_id(mail, app).alias("letter_id"), text.bounce_kind(mail, F.col("has_report")).alias("bounce"), said.alias("said"), "headers", "html", "plain", "sent_at")
+    rows = rows.withColumn("_key", F.coalesce("letter_id", -1 - F.pmod(F.xxhash64("mailbox_id", "folder", "uid"), F.lit(1 << 40))))
+    known = log.select(F.col("id").alias("_key"), "contact_id", F.lit(True).alias("_known"))
+    rows = rows.join(known, "_key", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    rows = judge(rows.withColumn("bounce", F.when(F.col("_known"), F.col("bounce"))).withColumn("asked", F.when(F.col("_known") & F.col("bounce").isNull(), F.col("said"))))
     angry, automatic = (F.coalesce(text.yes_no(F.col(c)), F.lit(False)) for c in ("angry", "automatic"))
     kind = text.reply_kind(F.col("letter_id").isNotNull(), F.col("_known"), F.col("bounce"), angry, automatic)
     at = F.coalesce("sent_at", F.lit(as_of).cast("timestamp"))

@@ -233,8 +233,8 @@ def test_mails_of_all_sorts():
 
 
 def test_letter_ids(spark):
-    for mail, want in {"X-Mailer-App: App 2\nX-Mailer-Id: 17": 17, "> x-mailer-id: 5\r\n> X-MAILER-APP: app": 5, "X-Mailer-Id: 5": None, "X-Mailer-App: app\nX-Mailer-Id: 0": None, "X-Mailer-App: other\nX-Mailer-Id: 5": None, "": None}.items():
-        assert one(spark, mail, text.letter_id(F.col("v"), "app")) == (want,), mail
+    for mail, want in {"Sent-By: App 2\nLetter: 17": 17, "> letter: 5\r\n> SENT-BY: app": 5, "Letter: 5": None, "Sent-By: app\nLetter: 0": None, "Sent-By: other\nLetter: 5": None, "": None}.items():
+        assert one(spark, mail, text.letter_id(F.col("v"), "app", ("Sent-By", "Letter"))) == (want,), mail
 
 
 def test_answers(spark):
