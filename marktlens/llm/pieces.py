@@ -23,7 +23,7 @@ from marktlens.llm.common import map_rows, small_batches
 
 MARK = "▁"
 #: Words that a worker remembers between texts; when full they are forgotten and encoded anew.
-MEMO = 700_000
+MEMO = 400_000
 #: Characters of texts that are encoded together.
 TOGETHER = 1 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -185,8 +185,9 @@ class Encoder:
                 for known in (self.memo, self.differ, self.lossy):
                     known.clear()
                 new = set().union(*lists)
-            if new:
-                self._learn(sorted(new))
+            new = sorted(new)
+            for lo in range(0, len(new), 4096):  # what the libraries make of words takes far more memory than what is kept
+                self._learn(new[lo : lo + 4096])
             for text, words in zip(texts[at - len(lists) : at], lists):
                 same = self.differ.isdisjoint(words)
                 trip = MARK not in text and self.plain and self.lossy.isdisjoint(words)
