@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,51 @@ def lenient_batch(answer: DataFrame, asked: DataFrame, low: int = 1, high: int =
     rows = answer.filter(F.coalesce(F.col("rate").between(low, high), F.lit(False))).join(asked.select("id", F.col("name").alias("_name")), "id").filter("name = _name").drop("_name")
     w = Window.partitionBy("id").orderBy("pos")
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def insert_unique(current: DataFrame, source: DataFrame, keys: list[list[str]], order: list[str], write: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """The rows of `source` that get in, if they are inserted one after another and one that shares any of the keys with a row held or just
+    inserted is passed over. order: columns that tell all rows apart. A null in a key conflicts with nothing.
+
+    With one key that is the first row of each; with several it takes rounds: a row gets in that comes first by all of its keys among
+    those left, and takes what it conflicts with out. `write` stores a round's rows (by its number) and returns them as read again; it
+    is needed with several keys, where rounds end when no row is left."""
+    left = source
+    for key in keys:
+        left = left.join(current.select(*key), key, "left_anti")
+    if len(keys) == 1:
+        return _first_of(left, keys[0], order)
+    if write is None:
+        raise ValueError("several keys need a place for the rounds' rows")
+    made, left, n = None, write(left, 0), 0
+    while not left.isEmpty():
+        first = left
+        for key in keys:
+            first = first.join(_first_of(left, key, order).select(*order, F.lit(True).alias("_lead")), order, "left_semi")
+        n += 2
+        first = write(first, n - 1)
+        made = first if made is None else made.unionByName(first)
+        rest = left.join(first.select(*order), order, "left_anti")
+        for key in keys:
+            rest = rest.join(first.select(*key), key, "left_anti")
+        left = write(rest, n)
+    return left if made is None else made
+
+
+def _first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key; rows with a null in it are each their own."""
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    w = Window.partitionBy(*key).orderBy(*order)
+    return rows.filter(whole).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").unionByName(rows.filter(~whole))
+
+
+def insert_counted(log: DataFrame, campaign: DataFrame, letters: DataFrame, write: Callable[[DataFrame, int], DataFrame] | None = None, keys: list[list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The letters (id, campaign_id, processed, ...) that get into the log, and the campaigns (id, sent_num) whose counters they
+    raise, with their new numbers: each processed letter that gets in counts once. A letter that conflicts changes neither, so the same
+    letters applied twice are inserted and counted once. Letters come in order of id; of several with one id any one counts."""
+    new = insert_unique(log, letters.dropDuplicates(["id"]), keys or [["id"]], ["id"], write)
+    raised = new.filter("processed").groupBy(F.col("campaign_id").alias("id")).agg(F.count("*").alias("_more"))
+    counters = campaign.join(raised, "id").select("id", (F.coalesce("sent_num", F.lit(0)) + F.col("_more")).alias("sent_num"))
+    return new, counters

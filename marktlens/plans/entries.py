@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.plans import geography
-from marktlens.plans.catalog import ORACLES, QUERIES, query
+from marktlens.operators import merge, ranking
+from marktlens.plans import catalog, geography, pacing, resolution
+from marktlens.plans.catalog import NOW, ORACLES, QUERIES, query
 from marktlens.sources import versions
 from marktlens.sources.tables import Tables, shared_folder, with_ctes
+from marktlens.streaming import claims, expiring
 
 # --- geography -------------------------------------------------------------------------------------------------------------
 
@@ -73,3 +75,144 @@ ORACLES["S12_reload"] = with_ctes(f"""{GEO}, f AS (
 )
 SELECT CAST(1 AS BIGINT) AS version, table_name, n, CAST(population AS BIGINT) AS population FROM f
 UNION ALL SELECT 2, table_name, CASE WHEN table_name = 'cities' THEN (SELECT count(*) FROM c WHERE land = 1) ELSE n END, CAST(CASE WHEN table_name = 'cities' THEN (SELECT sum(pop_total) FROM c WHERE land = 1) ELSE population END AS BIGINT) FROM f""")
+
+
+# --- claims and counters ---------------------------------------------------------------------------------------------------
+
+CUTS = 4
+
+
+def queued(t: Tables) -> DataFrame:
+    """Raw cards, some of them without a pair."""
+    return catalog.raw_cards(t).withColumn("cb_id", F.when(F.col("id") % 29 > 0, F.col("cb_id")))
+
+
+def worked_off(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str]:
+    """The queue in four files of ascending ids, each one claim, worked off into the shared folder."""
+    root = shared_folder(spark)
+    cards = queued(Tables(spark, sf_dir))
+    most = cards.agg(F.max("id")).first()[0] or 0
+    for k in range(CUTS):  # one after another, so that their times tell their order
+        cards.filter(F.expr(f"id * {CUTS} div {most + 1} = {k}")).coalesce(1).write.mode("append").parquet(f"{root}/queue")
+    rows = spark.readStream.schema(cards.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/queue")
+    verdict = resolution.verdict(F.col("email"))
+    reason = F.when(verdict == "EMPTY", "no address").when(verdict == "INVALID", "bad address").when(F.col("cb_id").isNull(), "no pair")
+    fold = lambda held, good: resolution.resolve(good) if held is None else resolution.resolve_into(held, good)
+    claims.work_off(rows, f"{root}/work", "email", reason, fold, f"{root}/state").awaitTermination()
+    return spark, f"{root}/work"
+
+
+QUERIES["M12_claims"] = lambda spark, sf_dir: catalog.resolved(claims.state(*worked_off(spark, sf_dir), "email"))
+ORACLES["M12_claims"] = with_ctes(catalog.RESOLVED.format(late="false").replace("WHERE l_partkey % 11 <> 0", "WHERE (l_orderkey * 10 + l_linenumber) % 29 > 0 AND l_partkey % 11 <> 0"))
+QUERIES["M12_dead_letters"] = lambda spark, sf_dir: claims.dead_letters(*worked_off(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
+ORACLES["M12_dead_letters"] = with_ctes(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_partkey % 11 = 0 THEN 'no address' WHEN l_partkey % 13 = 0 THEN 'bad address' WHEN (l_orderkey * 10 + l_linenumber) % 29 = 0 THEN 'no pair' END AS reason FROM ({catalog.LINES})) WHERE reason IS NOT NULL GROUP BY 1")
+
+
+def counted_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of two batches, the first applied twice, each appended to the stored log: what the counters of the campaigns say in the end."""
+    t, root = Tables(spark, sf_dir), shared_folder(spark)
+    letters = catalog.letters_of(t).join(t.sending_log.groupBy("id").agg(F.bool_or("processed").alias("processed")), "id")
+    letters.filter("id % 3 = 0").write.parquet(f"{root}/log")
+    campaign = t.campaign.select("id", (F.col("id") % 4).alias("sent_num"))
+    for n, rows in enumerate(("id % 3 < 2", "id % 3 < 2", "id % 6 > 1")):
+        batch = letters.filter(rows)
+        new, counters = merge.insert_counted(spark.read.parquet(f"{root}/log"), campaign, batch.unionByName(batch.filter("id % 7 = 0")))
+        counters.unionByName(campaign.join(counters, "id", "left_anti")).write.parquet(f"{root}/campaign{n}")
+        new.write.mode("append").parquet(f"{root}/log")
+        campaign = spark.read.parquet(f"{root}/campaign{n}")
+    return campaign.select(F.col("id").alias("campaign_id"), "sent_num")
+
+
+QUERIES["M10_counted_letters"] = counted_letters
+ORACLES["M10_counted_letters"] = with_ctes("""
+SELECT c.id AS campaign_id, c.id % 4 + coalesce(n, 0) AS sent_num FROM campaign c
+LEFT JOIN (SELECT campaign_id, count(*) AS n FROM (SELECT id, min(campaign_id) AS campaign_id, bool_or(processed) AS processed FROM sending_log GROUP BY id) WHERE processed AND (id % 3 = 1 OR id % 3 = 2 AND id % 6 > 1) GROUP BY 1) s ON s.campaign_id = c.id""")
+
+# --- states that expire ----------------------------------------------------------------------------------------------------
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOURS = 3600 * 1000
+
+
+def streamed(spark: SparkSession, events: DataFrame, machine, cuts: int = 3) -> DataFrame:
+    """A machine's output over events that arrive in files of ascending numbers, one file a micro-batch."""
+    root, key = shared_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    most, before = events.agg(F.max("seq")).first()[0] or 0, spark.conf.get(key, None)
+    for k in range(cuts):
+        events.filter(F.expr(f"seq * {cuts} div {most + 1} = {k}")).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    spark.conf.set(key, ROCKS)
+    try:
+        rows = machine(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events"))
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.parquet(f"{root}/out")
+
+
+def in_time(t: Tables, *columns: str) -> DataFrame:
+    """Events numbered in order of time for each task."""
+    return t.sql("SELECT user_id AS task_id, CAST(ts AS TIMESTAMP) AS time, event_type, value, event_id FROM events").withColumn("seq", F.unix_micros("time") - F.lit(1_704_067_200_000_000)).selectExpr("task_id", "time", "seq", *columns)
+
+
+VISIT = "CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'a' WHEN event_type = 'error' THEN 'b' END AS hash"
+QUERIES["T3_rebuild_stream"] = lambda spark, sf_dir: streamed(spark, in_time(Tables(spark, sf_dir), VISIT), lambda rows: expiring.rebuilds(rows, (12 * HOURS, 12 * HOURS)))
+ORACLES["T3_rebuild_stream"] = """
+WITH e AS (SELECT user_id AS task_id, CAST(epoch_us(ts) - 1704067200000000 AS BIGINT) AS seq, epoch_ms(ts) AS ms, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'a' WHEN event_type = 'error' THEN 'b' END AS h FROM events)
+SELECT task_id, seq, CASE WHEN h = lag(h) OVER w AND ms < lag(ms) OVER w + 12 * 3600000 THEN 'increment' ELSE 'rebuild' END AS action FROM e WINDOW w AS (PARTITION BY task_id ORDER BY seq)"""
+
+GATED = ["CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'added' ELSE 'check' END AS kind", "CAST(floor(value) AS BIGINT) AS n", "event_id % 5 > 0 AS wanted", "event_type = 'error' AS fresh", "20 AS sample", "event_id % 8 AS good", "event_id % 41 AS total"]
+QUERIES["T10_gate_stream"] = lambda spark, sf_dir: streamed(spark, in_time(Tables(spark, sf_dir), *GATED), lambda rows: expiring.gates(rows, 100, 0.25, 30 * HOURS, (9 * HOURS, 9 * HOURS)))
+ORACLES["T10_gate_stream"] = """
+WITH RECURSIVE e AS (
+  SELECT user_id AS task_id, CAST(epoch_us(ts) - 1704067200000000 AS BIGINT) AS seq, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'added' ELSE 'check' END AS kind, CAST(floor(value) AS BIGINT) AS n,
+    event_id % 5 > 0 AS wanted, event_type = 'error' AS fresh, event_id % 41 < 20 OR event_id % 8 >= 0.25 * (event_id % 41) AS fine FROM events
+), f AS ( -- state after event i: mode and until when, contacts of the window, answer and until when; what event i was told
+  SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS mode, CAST(0 AS BIGINT) AS mode_until, CAST(0 AS BIGINT) AS got, CAST(NULL AS BOOLEAN) AS answer, CAST(0 AS BIGINT) AS answer_until FROM e
+  UNION ALL
+  SELECT task_id, i,
+    CASE WHEN kind = 'start' THEN 'window' WHEN kind = 'added' THEN CASE WHEN full_now THEN NULL ELSE mode END WHEN held THEN mode WHEN NOT wanted THEN NULL WHEN mode = 'window' THEN mode WHEN fine THEN NULL ELSE 'blocked' END,
+    CASE WHEN kind = 'start' OR adds OR kind = 'check' AND NOT held AND wanted AND coalesce(mode, '') <> 'window' AND NOT fine THEN ms + 30 * 3600000 ELSE mode_until END,
+    CASE WHEN kind = 'start' THEN 0 WHEN adds THEN got + n ELSE got END,
+    CASE WHEN kind = 'start' THEN NULL WHEN kind = 'added' OR held THEN answer ELSE wanted AND (coalesce(mode, '') = 'window' OR fine) END,
+    CASE WHEN kind = 'check' AND NOT held THEN ms + 9 * 3600000 ELSE answer_until END
+  FROM (SELECT *, kind = 'check' AND answer IS NOT NULL AND NOT fresh AS held, kind = 'added' AND coalesce(mode, '') = 'window' AND n > 0 AS adds, kind = 'added' AND coalesce(mode, '') = 'window' AND n > 0 AND got + n >= 100 AS full_now FROM (
+    SELECT e.*, CASE WHEN ms < f.mode_until THEN f.mode END AS mode, f.mode_until, CASE WHEN ms < f.mode_until THEN f.got ELSE 0 END AS got, CASE WHEN ms < f.answer_until THEN f.answer END AS answer, f.answer_until FROM f JOIN e ON e.task_id = f.task_id AND e.i = f.i + 1))
+)
+SELECT f.task_id, e.seq, f.answer AS needed, f.mode FROM f JOIN e USING (task_id, i) WHERE e.kind = 'check'"""
+
+QUERIES["T11_exhausted_stream"] = lambda spark, sf_dir: streamed(spark, in_time(Tables(spark, sf_dir), "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS found"), lambda rows: expiring.exhausted(rows, 24 * HOURS))
+ORACLES["T11_exhausted_stream"] = """
+WITH RECURSIVE e AS (SELECT user_id AS task_id, CAST(epoch_us(ts) - 1704067200000000 AS BIGINT) AS seq, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, event_type = 'error' AS none FROM events),
+f AS (
+  SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS until, false AS skipped FROM e
+  UNION ALL
+  SELECT e.task_id, e.i, CASE WHEN ms < until THEN until WHEN none THEN ms + 24 * 3600000 ELSE 0 END, ms < until FROM f JOIN e ON e.task_id = f.task_id AND e.i = f.i + 1
+)
+SELECT task_id, seq, skipped FROM f JOIN e USING (task_id, i)"""
+
+# --- sending ---------------------------------------------------------------------------------------------------------------
+
+
+def windowed(t: Tables) -> DataFrame:
+    """Campaigns with a window, two in three of them with its Mondays and Thursdays alone, and an interval of some minutes."""
+    own = F.create_map(*[x for d, slots in catalog.DAY_SLOTS for x in (F.lit(d), F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in slots]).cast("array<struct<`from`:string,`to`:string>>"))])
+    window = F.when(F.col("id") % 3 == 0, own).otherwise(F.map_filter(own, lambda k, v: k.isin("mon", "thu")))
+    return t.campaign.select(F.col("id").alias("campaign_id"), window.alias("window"), F.when(F.col("id") % 19 > 0, (F.col("id") % 23 + 1) * 61_000).cast("long").alias("interval_ms"))
+
+
+def letters_ahead(t: Tables) -> DataFrame:
+    planned = ranking.first_rows(catalog.found(t), ["campaign_id"], ranking.send_order(), 200)
+    return pacing.send_times(planned, windowed(t), NOW).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+query("T13_send_times", letters_ahead, f"""
+WITH cal AS (SELECT * FROM (VALUES (0, 'thu'), (1, 'hol'), (2, 'sat'), (3, 'sun'), (4, 'hol'), (5, 'tue'), (6, 'wed'), (7, 'thu'), (8, 'fri'), (9, 'sat'), (10, 'sun'), (11, 'mon'), (12, 'tue'), (13, 'wed'), (14, 'hol')) v(ahead, k)),
+slot AS (SELECT * FROM (VALUES ('mon', 540, 720), ('mon', 780, 1050), ('tue', 480, 660), ('thu', 600, 645), ('fri', 435, 480), ('hol', 600, 620)) v(k, a, b)),
+s AS (SELECT whole, ahead, greatest(a, CASE WHEN ahead = 0 THEN 630 ELSE 0 END) AS a, b FROM cal JOIN slot USING (k), (VALUES (true), (false)) w(whole) WHERE whole OR k IN ('mon', 'thu')),
+r AS (SELECT *, sum((b - a) * 60000) OVER (PARTITION BY whole ORDER BY ahead, a) - (b - a) * 60000 AS from_ms, (b - a) * 60000 AS ms FROM s),
+p AS (SELECT campaign_id, contact_id, rn, (rn - 1) * (campaign_id % 23 + 1) * 61000 AS at_ms, campaign_id % 3 = 0 AS whole FROM (SELECT *, {catalog.RN.format('campaign_id', catalog.SEND)} FROM ({catalog.CANDIDATES})) WHERE rn <= 200 AND campaign_id % 19 > 0)
+SELECT campaign_id, contact_id, CAST(rn AS INT) AS rn, strftime(TIMESTAMP '2025-04-17 00:00:00' + ahead * INTERVAL 1 DAY + a * INTERVAL 1 MINUTE + (at_ms - from_ms) * INTERVAL 1 MILLISECOND, '%Y-%m-%d %H:%M:%S') AS at
+FROM p JOIN r ON r.whole = p.whole AND at_ms >= from_ms AND at_ms < from_ms + ms""")
+query("T13_picks", lambda t: pacing.picks(catalog.found(t).groupBy("campaign_id").agg(F.count("*").alias("pending")).join(t.campaign.select(F.col("id").alias("campaign_id"), "mailbox_id"), "campaign_id"), 11).select("mailbox_id", "campaign_id", "pending", "place"), f"""
+SELECT mailbox_id, campaign_id, pending, CAST(row_number() OVER (PARTITION BY mailbox_id ORDER BY -ln((CAST(concat('0x', substr(md5(concat('11:', campaign_id)), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496.0e0) / pending, campaign_id) AS INT) AS place
+FROM (SELECT campaign_id, count(*) AS pending FROM ({catalog.CANDIDATES}) GROUP BY 1) n JOIN campaign c ON c.id = n.campaign_id""")

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from marktlens.functions.text import bad_email
 
 
+def verdict(email: Column) -> Column:
+    """EMPTY, INVALID or OK."""
+    mail = F.lower(F.trim(email))
+    return F.when(F.coalesce(mail, F.lit("")) == "", "EMPTY").when(bad_email(mail), "INVALID").otherwise("OK")
+
+
 def checked(cards: DataFrame) -> DataFrame:
     """Cards (id, cb_id, email, ...) with their address in normal form and a verdict: EMPTY, INVALID or OK."""
-    mail = F.lower(F.trim("email"))
-    return cards.withColumn("email", mail).withColumn("verdict", F.when(F.coalesce(mail, F.lit("")) == "", "EMPTY").when(bad_email(mail), "INVALID").otherwise("OK"))
+    return cards.withColumn("verdict", verdict(F.col("email"))).withColumn("email", F.lower(F.trim("email")))
 
 
 NAMES = ("company_name", "city", "land")
