@@ -81,7 +81,8 @@ def fold(events: DataFrame, step: Step, state: str, out: str, late: str = "1 hou
                 if row.task_id != task:
                     task, held, until = row.task_id, None, 0
                 held, until, one = step(task, row.at_ms, row, held if row.at_ms < until else None)
-                said += [one.asDict()] * (one is not None)
+                if one is not None:
+                    said.append(one.asDict())
             yield pa.RecordBatch.from_pylist(said, fields)
 
     return events.repartition("task_id").sortWithinPartitions("task_id", "at_ms", "seq").mapInArrow(run, out)
