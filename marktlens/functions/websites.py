@@ -1,48 +1,49 @@
-"""Website lists: canonical hosts, best schemes, one entry for each page, home pages first."""
+"""Lists of websites: one entry for each page, under one name of its host, with the best scheme, home pages first."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_URL = re.compile(r"^(?:(https?)://)?([^/?#\s]+)([/?#].*)?$", re.IGNORECASE)
-_SCHEMES = {"https": 2, "http": 1, "": 0}
-
-
-def parse(raw: str) -> tuple[str, str, str, str, bool] | None:
-    """scheme, host, host without www, tail (path, query and fragment without a closing slash), and whether it is a home page."""
-    m = _URL.match((raw or "").strip())
-    if not m or "." not in m[2]:
-        return None
-    host = m[2].lower().rstrip(".")
-    tail = (m[3] or "").rstrip("/") if not re.search(r"[?#]", m[3] or "") else m[3]
-    return (m[1] or "").lower(), host, host.removeprefix("www."), tail, tail == ""
-
-
-def merge(urls: list[str]) -> list[str]:
-    """One entry for each page in order of first mention: under www if the site is named both ways, with the best scheme named
-    for it, and the home page before the other pages of its host."""
-    found = [p for u in urls or () if (p := parse(u))]
-    hosts: dict[str, set[str]] = {}
-    for _, host, bare, _, _ in found:
-        hosts.setdefault(bare, set()).add(host)
-    pages: dict[tuple[str, str], list] = {}
-    for at, (scheme, host, bare, tail, root) in enumerate(found):
-        host = f"www.{bare}" if len(hosts[bare]) > 1 else host
-        page = pages.setdefault((host, tail), [scheme, at, root])
-        if _SCHEMES[scheme] > _SCHEMES[page[0]]:
-            page[0] = scheme
-    first: dict[str, int] = {}
-    for (host, _), (_, at, _) in pages.items():
-        first[host] = min(first.get(host, at), at)
-    # a home page takes the place of its host's first page
-    order = sorted(pages.items(), key=lambda x: (first[x[0][0]], 0) if x[1][2] else (x[1][1], 1))
-    return list(dict.fromkeys(f"{scheme}://{host}{tail}" if scheme else f"{host}{tail}" for (host, tail), (scheme, _, _) in order))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def merge_websites(urls: pd.Series) -> pd.Series:
-    return urls.map(lambda u: merge(list(u) if u is not None else []))
+
+from marktlens.functions.nested import stripped
+
+
+def parsed(rows: DataFrame, url: str) -> DataFrame:
+    """Adds the parts of a website, lower-cased: literal (the text, where it has no host), scheme (http, https or empty), host (without
+    user and port), base_host (without www.), tail (path, query and fragment; / for a home page) and is_root. Blank and null ones go."""
+    rows = rows.withColumn("_u", F.lower(stripped(F.col(url)))).filter("_u <> ''")
+    scheme = F.regexp_extract("_u", "^(https?)://", 1)
+    rows = rows.withColumn("scheme", scheme).withColumn("_u2", F.regexp_replace("_u", "^https?://", ""))
+    rows = rows.withColumn("_who", F.regexp_extract("_u2", "^[^/?#]*", 0))
+    rows = rows.withColumn("host", F.when(F.col("_who").rlike(r"[\[\]\s]"), "").otherwise(F.regexp_extract("_who", "^(?:.*@)?([^:]*)", 1)))
+    rest = F.substring("_u2", F.length("_who") + 1, F.length("_u2"))
+    rows = rows.withColumn("_rest", rest)
+    path, query, fragment = F.regexp_extract("_rest", "^[^?#]*", 0), F.regexp_extract("_rest", r"^[^?#]*\?([^#]*)", 1), F.regexp_extract("_rest", "#(.*)$", 1)
+    mark = lambda m, part: F.when(part != "", F.concat(F.lit(m), part)).otherwise("")
+    tail = F.concat(path, mark("?", query), mark("#", fragment))
+    rows = rows.withColumn("tail", F.when(tail.isin("", "/"), "/").otherwise(tail)).withColumn("is_root", F.col("tail") == "/")
+    rows = rows.withColumn("literal", F.when(F.col("host") == "", F.col("_u"))).withColumn("base_host", F.regexp_replace("host", r"^www\.", ""))
+    return rows.drop("_u", "_u2", "_who", "_rest")
+
+
+def merge_websites(rows: DataFrame, key: str, url: str, order: str) -> DataFrame:
+    """rows (key, url, order): key, place (from 1) and url of what is left.
+
+    A site that is named with and without www. goes by its name with it. Entries of one host and tail are one, with the best scheme that any of
+    them has (https, then http, then none), at the place of the first; a home page comes before the other pages of its host. Texts
+    without a host stay as they are, once. Orders tell the rows of a key apart. Every entry is reduced before it is ordered, and none is
+    gathered into a list."""
+    made = parsed(rows.select(key, url, order), url)
+    hosts = made.filter("literal is null").groupBy(key, "base_host").agg((F.bool_or(F.startswith("host", F.lit("www."))) & F.bool_or(~F.startswith("host", F.lit("www.")))).alias("_both"))
+    hosts = hosts.withColumnsRenamed({key: "_key", "base_host": "_base"})
+    made = made.join(hosts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("base_host") == F.col("_base")), "left").drop("_key", "_base")
+    host = F.when(F.coalesce("_both", F.lit(False)), F.concat(F.lit("www."), "base_host")).otherwise(F.col("host"))
+    made = made.withColumn("host", F.when(F.col("literal").isNull(), host).otherwise(F.concat(F.lit(" "), "literal")))  # no host has a blank
+    entry = made.groupBy(key, "host", "tail", "is_root", "literal").agg(F.min(order).alias("_at"), F.max(F.length("scheme")).alias("_scheme"))
+    first = F.min("_at").over(Window.partitionBy(key, "host"))
+    entry = entry.withColumn("_first", F.when(F.col("is_root") & F.col("literal").isNull(), F.struct(first.alias("at"), F.lit(0).alias("root"))).otherwise(F.struct(F.col("_at").alias("at"), F.lit(1).alias("root"))))
+    prefix = F.when(F.col("_scheme") == 5, "https://").when(F.col("_scheme") == 4, "http://").otherwise("")
+    apart = F.when(F.left("tail", F.lit(1)).isin("/", "?", "#"), "").otherwise("/")
+    text = F.coalesce("literal", F.concat(prefix, "host", apart, "tail"))
+    lines = entry.select(key, text.alias("url"), "_first").groupBy(key, "url").agg(F.min("_first").alias("_first"))
+    return lines.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_first")).alias("place"), "url")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.functions import geo, hashing, letters, text, websites
+from marktlens.functions import geo, hashing, letters, text
 from marktlens.operators import aggregates as ag
 from marktlens.operators import filters, joins, merge, ranking
 from marktlens.parsing import cards, mails
@@ -369,7 +369,6 @@ query("F_phone_url", lambda t: t.contact.select("id", F.concat(F.lit("tel:+49 ")
 query("F_h64", lambda t: t.contact.select("id", hashing.h64(F.col("company_name")).alias("h")), None)
 query("F_html_text", lambda t: t.pages.select("page_id", letters.page_text_udf("html").alias("text")), None)
 query("F_sanitize", lambda t: t.pages.select("page_id", letters.sanitize_udf("html").alias("html"), letters.plain_udf("html").alias("text")), None)
-query("F_web_merge", lambda t: t.pages.groupBy(F.regexp_extract("url", r"//([^/]+)/", 1).alias("host")).agg(websites.merge_websites(F.array_sort(F.collect_list("url"))).alias("urls")), None)
 query("X1_cards", lambda t: cards.cards(t.pages), None)
 query("X2_index_links", lambda t: cards.index_links(t.pages), None)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.operators import merge, ranking
+from marktlens.functions import letters, nested, websites
+from marktlens.operators import merge, ranking, titles
 from marktlens.plans import catalog, geography, pacing, resolution
 from marktlens.plans.catalog import NOW, ORACLES, QUERIES, query
 from marktlens.sources import versions
@@ -216,3 +217,96 @@ FROM p JOIN r ON r.whole = p.whole AND at_ms >= from_ms AND at_ms < from_ms + ms
 query("T13_picks", lambda t: pacing.picks(catalog.found(t).groupBy("campaign_id").agg(F.count("*").alias("pending")).join(t.campaign.select(F.col("id").alias("campaign_id"), "mailbox_id"), "campaign_id"), 11).select("mailbox_id", "campaign_id", "pending", "place"), f"""
 SELECT mailbox_id, campaign_id, pending, CAST(row_number() OVER (PARTITION BY mailbox_id ORDER BY -ln((CAST(concat('0x', substr(md5(concat('11:', campaign_id)), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496.0e0) / pending, campaign_id) AS INT) AS place
 FROM (SELECT campaign_id, count(*) AS pending FROM ({catalog.CANDIDATES}) GROUP BY 1) n JOIN campaign c ON c.id = n.campaign_id""")
+
+# --- texts and nested values -----------------------------------------------------------------------------------------------
+
+#: Websites as contacts name them: with and without www, schemes, slashes and capitals, some of them no websites.
+SITES = """
+SELECT p_partkey % 50 AS contact_id, p_partkey AS pos, CONCAT(CASE p_partkey % 5 WHEN 1 THEN 'http://' WHEN 2 THEN 'HTTPS://' WHEN 3 THEN ' ' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN 'www.' ELSE '' END,
+  CASE p_partkey % 7 WHEN 0 THEN 'localhost' WHEN 1 THEN 'a.de' WHEN 2 THEN 'B.de' WHEN 3 THEN 'a.de:8080' WHEN 4 THEN 'x@c.org' ELSE 'a.de' END,
+  CASE p_partkey % 11 WHEN 1 THEN '/' WHEN 2 THEN '/x' WHEN 3 THEN '/x/' WHEN 4 THEN '?q=1' WHEN 5 THEN '/?' WHEN 6 THEN '#top' WHEN 7 THEN '/x?b=2#z' ELSE '' END) AS url FROM part
+UNION ALL SELECT p_partkey % 50, p_partkey + 1000000000, CASE p_partkey % 4 WHEN 0 THEN '/Only/Path' WHEN 1 THEN '   ' WHEN 2 THEN '?x' END FROM part"""
+query("F_web_merge", lambda t: websites.merge_websites(t.sql(SITES), "contact_id", "url", "pos"), f"""
+WITH u AS (SELECT contact_id, pos, lower(trim(url)) AS u FROM ({SITES}) WHERE trim(url) <> ''),
+a AS (SELECT *, regexp_extract(u, '^(https?)://', 1) AS scheme, regexp_replace(u, '^https?://', '') AS r FROM u),
+b AS (SELECT *, regexp_extract(r, '^[^/?#]*') AS who, substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1) AS rest FROM a),
+c AS (SELECT *, string_split(string_split(who, '@')[-1], ':')[1] AS host, string_split(string_split(rest, '#')[1], '?')[1] AS path, CASE WHEN split_part(string_split(rest, '#')[1], '?', 2) <> '' THEN concat('?', split_part(string_split(rest, '#')[1], '?', 2)) ELSE '' END AS query, CASE WHEN split_part(rest, '#', 2) <> '' THEN concat('#', split_part(rest, '#', 2)) ELSE '' END AS mark FROM b),
+d AS (SELECT *, regexp_replace(host, '^www\\.', '') AS base, CASE WHEN concat(path, query, mark) IN ('', '/') THEN '/' ELSE concat(path, query, mark) END AS tail FROM c),
+e AS (SELECT d.*, CASE WHEN both_ways THEN concat('www.', base) ELSE host END AS name FROM d LEFT JOIN (SELECT contact_id, base, count(DISTINCT host LIKE 'www.%') = 2 AS both_ways FROM d WHERE host <> '' GROUP BY ALL) f USING (contact_id, base)),
+g AS (SELECT contact_id, name, tail, min(pos) AS seen, max(CASE scheme WHEN 'https' THEN 2 WHEN 'http' THEN 1 ELSE 0 END) AS best FROM e WHERE host <> '' GROUP BY ALL),
+h AS (SELECT contact_id, concat(CASE best WHEN 2 THEN 'https://' WHEN 1 THEN 'http://' ELSE '' END, name, tail) AS url, CASE WHEN tail = '/' THEN min(seen) OVER (PARTITION BY contact_id, name) ELSE seen END AS o, CASE WHEN tail = '/' THEN 0 ELSE 1 END AS later FROM g
+  UNION ALL SELECT contact_id, u, min(pos), 1 FROM e WHERE host = '' GROUP BY ALL)
+SELECT contact_id, CAST(row_number() OVER (PARTITION BY contact_id ORDER BY o, later) AS INT) AS place, url FROM (SELECT contact_id, url, min(o) AS o, arg_min(later, (o, later)) AS later FROM h GROUP BY ALL)""")
+
+#: Campaigns that ask for titles which others have, with and without numbers.
+TITLES = "SELECT workspace_id, id, CONCAT(CASE WHEN id % 5 = 0 THEN ' ' ELSE '' END, 'Aktion ', CAST(id % 4 AS VARCHAR), CASE id % 6 WHEN 1 THEN ' - #2' WHEN 2 THEN CONCAT(' - #', CAST(id % 17 AS VARCHAR)) WHEN 3 THEN '-#3' WHEN 4 THEN ' - #2 - #4' ELSE '' END) AS title FROM campaign"
+query("F_title", lambda t: titles.unique_titles(t.sql(TITLES).filter("id % 3 > 0"), t.sql(TITLES).filter("id % 3 = 0").select("workspace_id", "title")), f"""
+WITH t AS (SELECT workspace_id AS w, id, trim(title) AS t, coalesce(nullif(trim(regexp_replace(trim(title), '\\s*-\\s*#\\d+\\s*$', '')), ''), trim(title)) AS base FROM ({TITLES})),
+held AS (SELECT DISTINCT w, t FROM t WHERE id % 3 = 0), new AS (SELECT * FROM t WHERE id % 3 > 0),
+a AS (SELECT w, t, min(id) AS id FROM new WHERE (w, t) NOT IN (SELECT (w, t) FROM held) GROUP BY ALL),
+h2 AS (SELECT * FROM held UNION SELECT w, t FROM a), n2 AS (SELECT * FROM new WHERE id NOT IN (SELECT id FROM a)),
+b AS (SELECT w, base, min(id) AS id FROM n2 WHERE (w, base) NOT IN (SELECT (w, t) FROM h2) GROUP BY ALL),
+h3 AS (SELECT * FROM h2 UNION SELECT w, base FROM b), n3 AS (SELECT *, row_number() OVER (PARTITION BY w, base ORDER BY id) AS i FROM n2 WHERE id NOT IN (SELECT id FROM b)),
+free AS (SELECT w, base, c, row_number() OVER (PARTITION BY w, base ORDER BY k) AS i FROM (SELECT w, base, k, concat(base, ' - #', k) AS c FROM (SELECT w, base, unnest(range(2, (SELECT max(i) FROM n3) + 100)) AS k FROM n3 GROUP BY w, base)) WHERE (w, c) NOT IN (SELECT (w, t) FROM h3))
+SELECT w AS workspace_id, id, t AS unique_title FROM a UNION ALL SELECT w, id, base FROM b UNION ALL SELECT w, id, c FROM n3 JOIN free USING (w, base, i)""")
+
+TEMPLATE = "Guten Tag {{company}}, {{ name }} aus {{ city }}: {{ unknown }} {{ company_long }} {{ rate }}"
+
+
+def lettered(t: Tables) -> DataFrame:
+    """Letters filled for each contact, and the variables put back."""
+    name = F.concat(F.lit("Firma "), F.col("id").cast("string"))
+    values = F.create_map(F.lit("name"), F.concat(F.lit("Herr "), F.col("id").cast("string"), F.lit(" {x}")), F.lit("company"), name, F.lit("company_long"), F.concat(name, F.lit(" GmbH & Co. (name)")), F.lit("city"), F.concat(F.lit("Ort$1 "), (F.col("id") % 9).cast("string")), F.lit("rate"), F.when(F.col("id") % 2 == 0, "name"), F.lit("none"), F.lit(""))
+    text = letters.filled(F.lit(TEMPLATE), values)
+    return t.contact.select("id", text.alias("letter"), letters.unfilled(text, values).alias("template"))
+
+
+query("F_letters", lettered, """
+SELECT id, concat('Guten Tag Firma ', id, ', Herr ', id, ' {x} aus Ort$1 ', id % 9, ': {{ unknown }} Firma ', id, ' GmbH & Co. (name) ', CASE WHEN id % 2 = 0 THEN 'name' ELSE '' END) AS letter,
+  concat('Guten Tag {{ company }}, {{ name }} aus {{ city }}: {{ unknown }} {{ company_long }} ', CASE WHEN id % 2 = 0 THEN '{{ rate }}' ELSE '' END) AS template FROM contact""")
+
+CSS = "CONCAT('p {{ margin: ', CAST(id % 5 AS VARCHAR), 'px; color : red }}\n.c', CAST(id % 3 AS VARCHAR), '{{ top:1px; top: 2px;; junk }} h1 {{ }}', CASE WHEN id % 2 = 0 THEN 'p{{color:blue}}' ELSE '' END)"
+HTML = "CONCAT('<P class=\"c', CAST(id % 4 AS VARCHAR), '\" align=\"left\">Hi <A href=\"x\" style=\"q\">y</A></p>', CASE WHEN id % 7 = 0 THEN '<p>open' ELSE '</p>' END)"
+CELL = letters.PARAGRAPH[0]
+query("F_css", lambda t: t.sql(f"SELECT id, {CSS} AS css, {HTML} AS html FROM contact").select("id", letters.css_udf("css").alias("css"), letters.inline_udf("html", "css").alias("html")), f"""
+SELECT id, concat('.c', id % 3, '{{top:2px;}}', chr(10), 'p{{color:', CASE WHEN id % 2 = 0 THEN 'blue' ELSE 'red' END, ';margin:', id % 5, 'px;}}') AS css,
+  concat('{CELL.split("{}")[0]} style="', s, CASE WHEN id % 4 = id % 3 THEN 'top:2px;' ELSE '' END, '"{CELL.split("{}")[1]}Hi <a href="x">y</A>{letters.PARAGRAPH[1]}', CASE WHEN id % 7 = 0 THEN concat('{CELL.split("{}")[0]} style="', s, '"{CELL.split("{}")[1]}open{letters.PARAGRAPH[1]}') ELSE '</p>' END) AS html
+FROM (SELECT id, concat('margin:', id % 5, 'px;color:', CASE WHEN id % 2 = 0 THEN 'blue' ELSE 'red' END, ';') AS s FROM contact)""")
+
+#: What an order says as JSON, wrong in one of nine ways (braces are doubled, as Tables.sql wants them).
+ORDER_JSON = """SELECT o_orderkey, CASE o_orderkey % 11 WHEN 9 THEN 'no json' WHEN 10 THEN NULL ELSE CONCAT('{{"id": ', CASE o_orderkey % 11 WHEN 1 THEN '"1"' WHEN 2 THEN '1.0' ELSE CAST(o_orderkey AS VARCHAR) END, ', "status": "', CASE o_orderkey % 11 WHEN 3 THEN 'X' ELSE 'O' END,
+  '", "customer": {{"id": ', CAST(o_custkey AS VARCHAR), CASE o_orderkey % 11 WHEN 4 THEN '' WHEN 5 THEN ', "vip": 1' ELSE ', "vip": true' END, '}}, "tags": ["a"', CASE o_orderkey % 11 WHEN 6 THEN ', 5' ELSE '' END, '], "note": ', CASE o_orderkey % 2 WHEN 0 THEN 'null' ELSE '"x"' END, CASE o_orderkey % 11 WHEN 7 THEN ', "more.x": 1, "a": 2' ELSE '' END, '}}') END AS json FROM orders"""
+ORDER_SPEC = {"id": int, "status": ("O", "F", "P"), "customer": {"id": int, "vip": bool}, "tags": [str], "note": nested.Maybe(str)}
+query("F_typed", lambda t: t.sql(ORDER_JSON).select("o_orderkey", F.array_join(nested.json_errors(F.col("json"), ORDER_SPEC), "; ").alias("errors")), """
+SELECT o_orderkey, CASE o_orderkey % 11 WHEN 1 THEN '$.id: must be int' WHEN 2 THEN '$.id: must be int' WHEN 3 THEN '$.status: must be one of F, O, P' WHEN 4 THEN '$.customer.vip: missing' WHEN 5 THEN '$.customer.vip: must be bool' WHEN 6 THEN '$.tags[1]: must be str'
+  WHEN 7 THEN '$.a: extra; $.more.x: extra' WHEN 9 THEN '$: not JSON' WHEN 10 THEN '$: not JSON' ELSE '' END AS errors FROM orders""")
+query("F_typed_events", lambda t: t.events.groupBy(F.array_join(nested.json_errors(F.col("props"), {"k": int}), "; ").alias("errors"), F.array_join(nested.json_errors(F.col("props"), {"k": str, "v": bool}), "; ").alias("others")).agg(F.count("*").alias("n")), "SELECT '' AS errors, '$.v: missing; $.k: must be str' AS others, count(*) AS n FROM events")
+
+
+def known(t: Tables) -> DataFrame:
+    """Contacts as resolved, with other names and addresses that repeat, and blanks."""
+    c = resolution.resolve(catalog.raw_cards(t))
+    norm = F.struct(
+        F.col("company_name"), F.array(F.upper("company_name"), F.col("company_name"), F.lit(" "), F.upper("company_name")).alias("company_names"), F.concat(F.lit(" "), F.col("city")).alias("address"),
+        F.when(F.length("email") % 2 == 0, "Land").otherwise("Ort").alias("land"), F.array(F.col("city"), F.concat("city", F.lit(", Land")), F.lit(None)).alias("addresses"), F.col("categories"), F.array().cast("array<string>").alias("keywords"),
+        F.array(F.lit("  ")).alias("statuses"), F.col("phones"), F.array(F.lit("x.com/1")).alias("socials"), F.lit("\n\t").alias("description_web"), F.col("description"),
+    )
+    return c.select("email", norm.alias("norm"))
+
+
+TEXT_CARD = f"""
+SELECT email, concat_ws(chr(10) || chr(10), company_name, address, concat('Geschaeftskategorien:', chr(10), array_to_string(categories, chr(10))), array_to_string(phones, chr(10)), description, concat('Soziale Netzwerke:', chr(10), 'x.com/1'),
+  CASE WHEN company_name IS NOT NULL THEN concat('Weitere Unternehmensnamen:', chr(10), upper(company_name)) END, concat('Weitere Adressen:', chr(10), CASE WHEN address = city THEN concat(city, ', Land') ELSE city END)) AS text
+FROM (SELECT *, CASE WHEN length(email) % 2 = 0 THEN concat(city, ', Land') ELSE city END AS address FROM ({catalog.RESOLVED.format(late="false")}))"""
+query("F_text_card", lambda t: known(t).select("email", nested.contact_text(F.col("norm")).alias("text")), TEXT_CARD)
+
+
+def emptied(t: Tables) -> DataFrame:
+    rows = known(t)
+    clean = nested.drop_empty(F.col("norm"), rows.schema["norm"].dataType)
+    return rows.select("email", F.to_json(clean).alias("json"))
+
+
+query("F_drop_empty", emptied, f"""
+SELECT email, concat('{{', CASE WHEN company_name IS NOT NULL THEN concat('"company_name":"', company_name, '","company_names":["', upper(company_name), '","', company_name, '","', upper(company_name), '"],') ELSE '' END, '"address":"', city, '","land":"', CASE WHEN length(email) % 2 = 0 THEN 'Land' ELSE 'Ort' END,
+  '","addresses":["', city, '","', city, ', Land"],"categories":["', array_to_string(categories, '","'), '"],"phones":["', array_to_string(phones, '","'), '"],"socials":["x.com/1"],"description":"', replace(description, chr(10), '\\n'), '"}}') AS json FROM ({catalog.RESOLVED.format(late="false")})""")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marktlens.functions import hashing, letters, text, websites
+from marktlens.functions import hashing, letters, text
 from marktlens.functions import window_time as wt
 from marktlens.operators import filters, joins, ranking
 from marktlens.parsing import cards, mails
@@ -70,17 +70,10 @@ def test_bounces(spark):
     assert got == ("FOREIGN", "UNKNOWN", "HARD", "ANGRY_CONTACT", "AUTO_RESPONSE", "ANSWER")
 
 
-def test_websites():
-    assert websites.merge(["http://a.de/x/", "www.a.de", "https://a.de/x", "b.org?q=1", "junk"]) == ["www.a.de", "https://www.a.de/x", "b.org?q=1"]
-    assert websites.merge(["http://a.de/x", "https://b.de", "a.de"]) == ["a.de", "http://a.de/x", "https://b.de"]
-    assert websites.merge([]) == []
-
-
 def test_letters():
     assert letters.fill("Hi {{ name }}, {{other}}", {"name": "A"}) == "Hi A, {{other}}"
     assert letters.mark_links('<a href="https://a.de/?x=1#f">', 7) == '<a href="https://a.de/?x=1&smrel=7#f">'
     assert letters.sanitize('<p class="x" onclick="y()">a<script>bad()</script><i>b</i> &lt;c&gt;</p>') == '<p class="x">ab &lt;c&gt;</p>'
-    assert letters.inline_styles('<p class="big">x</p>', {"p": "margin:0;", ".big": "font-size:20px"}) == '<p style="margin:0;font-size:20px">x</p>'
     assert letters.plain('<p>Go <a href="http://a.de">here</a><br>now</p>') == "Go here (http://a.de)\nnow"
     page = "<html><body><nav>Home | Shop | About | More</nav><p>A real line of words here</p><p>A real line of words here</p><p>short</p><p>Unser Impressum finden Sie hier</p></body></html>"
     assert letters.page_text(page) == "A real line of words here" and letters.page_text("no body") == ""
