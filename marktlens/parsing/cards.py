@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,12 +17,12 @@ BANNED = {"review", "mediaGallery", "aggregateRating", "potentialAction", "openi
 _LD = re.compile(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>")
 
 
-def embedded(html: str) -> list:
+def embedded(html: str, banned: Collection[str] = BANNED) -> list:
     """All JSON-LD values of a page that parse, without the banned keys at any depth."""
 
     def strip(x):
         if isinstance(x, dict):
-            return {k: strip(v) for k, v in x.items() if k not in BANNED}
+            return {k: strip(v) for k, v in x.items() if k not in banned}
         return [strip(v) for v in x] if isinstance(x, list) else x
 
     out = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marktlens.functions import letters, nested, websites
 from marktlens.operators import merge, ranking, titles
+from marktlens.parsing import catalogs
 from marktlens.plans import catalog, geography, pacing, resolution
 from marktlens.plans.catalog import NOW, ORACLES, QUERIES, query
 from marktlens.sources import versions
@@ -310,3 +311,49 @@ def emptied(t: Tables) -> DataFrame:
 query("F_drop_empty", emptied, f"""
 SELECT email, concat('{{', CASE WHEN company_name IS NOT NULL THEN concat('"company_name":"', company_name, '","company_names":["', upper(company_name), '","', company_name, '","', upper(company_name), '"],') ELSE '' END, '"address":"', city, '","land":"', CASE WHEN length(email) % 2 = 0 THEN 'Land' ELSE 'Ort' END,
   '","addresses":["', city, '","', city, ', Land"],"categories":["', array_to_string(categories, '","'), '"],"phones":["', array_to_string(phones, '","'), '"],"socials":["x.com/1"],"description":"', replace(description, chr(10), '\\n'), '"}}') AS json FROM ({catalog.RESOLVED.format(late="false")})""")
+
+# --- pages of the two catalogs -----------------------------------------------------------------------------------------------
+
+#: Detail pages made of suppliers; braces are doubled, as Tables.sql wants them.
+GS_PAGES = """
+SELECT s_suppkey AS page_id, CONCAT('<html><h1 class="big mod-TeilnehmerKopf__name"> ', CASE WHEN s_suppkey % 5 > 0 THEN s_name ELSE '' END, ' <b>x</b></h1><div class="mod-TeilnehmerKopf__branchen"><span data-selenium="teilnehmerkopf__branche">Branche ', CAST(s_suppkey % 7 AS VARCHAR), '</span><span>no</span></div>',
+  '<address class="mod-TeilnehmerKopf__adresse"><span class="mod-TeilnehmerKopf__adresse-daten">Weg ', CAST(s_suppkey AS VARCHAR), ', </span><span class="mod-TeilnehmerKopf__adresse-daten">', CASE WHEN s_suppkey % 3 > 0 THEN LPAD(CAST(s_suppkey % 90 AS VARCHAR), 5, '0') ELSE '' END, '</span><p><span class="mod-TeilnehmerKopf__adresse-daten--noborder">Ort &amp; ', CAST(s_suppkey % 9 AS VARCHAR), '</span></address>',
+  '<div class="aktionsleiste"><a href="mailto:info', CAST(s_suppkey AS VARCHAR), '@x.de?subject=a">mail</a><a title="w" href="javascript:void(0)">www.s', CAST(s_suppkey AS VARCHAR), '.de</a></div><div class="mod mod-Kontaktdaten"><span class="gc-text--h2">', UPPER(s_name), CASE WHEN s_suppkey % 2 = 0 THEN '  ' ELSE '' END, '</span>',
+  '<ul><li class="mod-Kontaktdaten__list-item contains-icon-big-tel"><a href="#">call</a><span data-role="telefonnummer" data-suffix="0123 ', CAST(s_suppkey + 100 AS VARCHAR), '">+</span></li><li class="mod-Kontaktdaten__list-item contains-icon-big-tel"><a href="tel:0999', CAST(s_suppkey + 100 AS VARCHAR), '?x">t</a><br></li></ul><div class="contains-icon-big-homepage"><a href="http://s', CAST(s_suppkey AS VARCHAR), '.de">h</a></div></div>',
+  '<section id="beschreibung"><div class="mod-Beschreibung">We <i>sell</i><script>var a</script> things.</div></section></html>') AS html FROM supplier"""
+query("X1_gs_cards", lambda t: catalogs.details(t.sql(GS_PAGES), "gs").select("page_id", "company_name", "street", "plz", "city", "email", "website", "description", *[F.array_join(c, "|").alias(c) for c in ("categories", "phones", "websites", "emails")]), """
+SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 5 > 0 THEN s_name ELSE upper(s_name) END AS company_name, concat('Weg ', s_suppkey) AS street, CASE WHEN s_suppkey % 3 > 0 THEN lpad(CAST(s_suppkey % 90 AS VARCHAR), 5, '0') END AS plz, concat('Ort & ', s_suppkey % 9) AS city, concat('info', s_suppkey, '@x.de') AS email,
+  concat('www.s', s_suppkey, '.de') AS website, 'We sell things.' AS description, concat('Branche ', s_suppkey % 7) AS categories, concat('0123 ', s_suppkey + 100, '|0999', s_suppkey + 100) AS phones, concat('www.s', s_suppkey, '.de|http://s', s_suppkey, '.de') AS websites, concat('info', s_suppkey, '@x.de') AS emails FROM supplier""")
+
+#: An index page for each nation, with a card for each of its suppliers; some are listed twice, some have another postal code.
+GS_INDEX_PAGES = """
+SELECT s_nationkey AS page_id, 'http://gs/x' AS url, LPAD(CAST(s_nationkey AS VARCHAR), 5, '0') AS plz, CONCAT('<div>', {array_join}, '</div>') AS html FROM (
+  SELECT s_suppkey, s_nationkey, CONCAT('<article class="mod mod-Treffer"><a href="https://g.de/gsbiz/', CAST(s_suppkey - s_suppkey % 2 AS VARCHAR), '"><h2 class="mod-Treffer__name">', s_name, '</h2></a><p class="mod-Treffer--besteBranche"> B </p><div class="mod-AdresseKompakt__adress-text">Weg 1, <span class="mod-AdresseKompakt__adress__ort">', CASE WHEN s_suppkey % 6 > 0 THEN LPAD(CAST(s_nationkey AS VARCHAR), 5, '0') ELSE '99999' END,
+    ' Ort</span> (Mitte)</div><p class="mod-TelefonnummerKompakt__phoneNumber">0123 ', CAST(s_suppkey + 100 AS VARCHAR), '</p></article>') AS card FROM supplier) c GROUP BY s_nationkey"""
+
+
+def gs_index_pages(t: Tables) -> DataFrame:
+    return t.sql(GS_INDEX_PAGES.replace("{array_join}", "array_join(transform(array_sort(collect_list(struct(s_suppkey, card))), x -> x.card), '')"))
+
+
+query("X2_gs_index", lambda t: catalogs.index_cards(gs_index_pages(t), "gs", F.col("plz")).select("page_id", "place", "url", "company_name", "category", "street", "plz", "city", "district", "address", "phone"), """
+SELECT s_nationkey AS page_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS place, concat('https://g.de/gsbiz/', s_suppkey - s_suppkey % 2) AS url, s_name AS company_name, 'B' AS category, 'Weg 1' AS street, plz, 'Ort' AS city, 'Mitte' AS district, concat('Weg 1, ', plz, ' Ort') AS address, concat('0123 ', s_suppkey + 100) AS phone
+FROM (SELECT *, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS plz, row_number() OVER (PARTITION BY s_nationkey, s_suppkey - s_suppkey % 2 ORDER BY s_suppkey) AS again FROM supplier WHERE s_suppkey % 6 > 0) WHERE again = 1""")
+
+B_PAGES = """
+SELECT s_suppkey AS page_id, CONCAT('<h1>', s_name, ' <small>GmbH</small></h1><script type="application/ld+json">{{"name": "', s_name, '", "geo": 1}}</script><script type="application/ld+json">{{"@type": ["', CASE WHEN s_suppkey % 2 = 0 THEN 'FAQPage' ELSE 'Thing' END, '"], "geo": 2}}</script><div id="kontakt">',
+  '<div class="entry-detail-list__item"><i class="entry-detail-list__icon entry-detail-list__icon--location"></i><div class="entry-detail-list__label"><div><div>Weg ', CAST(s_suppkey AS VARCHAR), '</div><div><span class="js-postal-code">', LPAD(CAST(s_suppkey % 90 AS VARCHAR), 5, '0'), '</span> <span class="js-address-locality">Bonn</span> (Mitte)</div></div></div></div>',
+  '<div class="entry-detail-list__item"><i class="entry-detail-list__icon entry-detail-list__icon--', CASE WHEN s_suppkey % 3 = 0 THEN 'cellphone' ELSE 'phone' END, '"></i><span class="entry-detail-list__label">Tel.: 0123 ', CAST(s_suppkey + 100 AS VARCHAR), '</span></div>',
+  '<div class="entry-detail-list__item"><i class="entry-detail-list__icon entry-detail-list__icon--email"></i><a class="entry-detail-list__label" href="/x"><span class="__cf_email__" data-cfemail="01606341792f6564">[email protected]</span></a></div>',
+  '<div class="entry-detail-list__item"><i class="entry-detail-list__icon entry-detail-list__icon--website"></i><span class="entry-detail-list__label">see www.s', CAST(s_suppkey AS VARCHAR), '.de, or call</span></div></div><p class="top-media-keywords">Maler (+5 km), Putz & Farben in Bonn</p><meta itemprop="email" content="b', CAST(s_suppkey AS VARCHAR), '@y.de">',
+  '<ul class="features"><li>A</li><li>B<b>c</b></li></ul><div id="additional-features"><span class="additional-feature-label">open</span></div><section id="trade-service-features"><p>Das Unternehmen wird unter folgenden Suchworten gefunden:</p><div class="term-box__panel-content"><span class="term-box__panel-col">Putz</span><span class="term-box__panel-col">Kalk</span></div></section>') AS html FROM supplier"""
+query("X3_11880_cards", lambda t: catalogs.details(t.sql(B_PAGES), "11880").select("page_id", "company_name", "street", "plz", "city", "district", "address", "email", "website", "data", "data2", *[F.array_join(c, "|").alias(c) for c in ("categories", "phones", "emails", "keywords", "statuses")]), """
+SELECT s_suppkey AS page_id, concat(s_name, ' GmbH') AS company_name, concat('Weg ', s_suppkey) AS street, lpad(CAST(s_suppkey % 90 AS VARCHAR), 5, '0') AS plz, 'Bonn' AS city, 'Mitte' AS district, concat('Weg ', s_suppkey, ' ', lpad(CAST(s_suppkey % 90 AS VARCHAR), 5, '0'), ' Bonn (Mitte)') AS address, 'ab@x.de' AS email,
+  concat('www.s', s_suppkey, '.de') AS website, concat('{"name": "', s_name, '"}') AS data, CASE WHEN s_suppkey % 2 = 1 THEN '{"@type": ["Thing"], "geo": 2}' END AS data2, 'A|B' AS categories, concat('0123 ', s_suppkey + 100) AS phones, concat('ab@x.de|b', s_suppkey, '@y.de') AS emails, 'Maler|Putz|Farben|Kalk' AS keywords, 'open' AS statuses FROM supplier""")
+
+B_INDEX_PAGES = """
+SELECT s_suppkey AS page_id, 'https://b.de/suche/?page=2' AS url, LPAD(CAST(s_suppkey % 90 AS VARCHAR), 5, '0') AS plz, CONCAT('<script type="application/ld+json">{{"a": [{{"itemListElement": [{{"item": {{"url": "https://b.de/', CAST(s_suppkey AS VARCHAR), '", "name": " ', s_name, ' ", "address": {{"streetAddress": "Weg 1", "postalCode": "', LPAD(CAST(s_suppkey % 90 AS VARCHAR), 5, '0'), '", "addressLocality": "Bonn"}}, "telephone": ["1", "0123 456"], "email": "mailto:a@x.de", "aggregateRating": {{"ratingValue": 4.5, "reviewCount": ', CAST(s_suppkey AS VARCHAR), '}}}}}}, ',
+  '{{"item": {{"url": "https://b.de/', CAST(s_suppkey AS VARCHAR), '", "name": "again", "address": {{"postalCode": "', LPAD(CAST(s_suppkey % 90 AS VARCHAR), 5, '0'), '"}}}}}}, {{"item": {{"url": "https://b.de/far", "name": "far", "address": {{"postalCode": "99999"}}}}}}]}}]}}</script><div class="pagination"><span class="numbertext--current"> 2 </span><span class="numbertext"><a href="?page=7">7</a><a href="?page=1">1</a></span><a class="numbertext--counter" href="/suche/drei" data-page="', CASE WHEN s_suppkey % 2 = 0 THEN '3' ELSE 'x' END, '">3</a></div>') AS html FROM supplier"""
+query("X4_11880_index", lambda t: catalogs.index_cards(t.sql(B_INDEX_PAGES), "11880", F.col("plz")).select("page_id", "place", "url", "company_name", "address", "phone", "email", "rating", "reviews", "next_page"), """
+SELECT s_suppkey AS page_id, CAST(1 AS INT) AS place, concat('https://b.de/', s_suppkey) AS url, s_name AS company_name, concat('Weg 1, ', lpad(CAST(s_suppkey % 90 AS VARCHAR), 5, '0'), ' Bonn') AS address, '0123 456' AS phone, 'a@x.de' AS email, '4.5' AS rating, nullif(CAST(s_suppkey AS VARCHAR), '0') AS reviews,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'https://b.de/suche/drei' ELSE 'https://b.de/suche/?page=7' END AS next_page FROM supplier""")
