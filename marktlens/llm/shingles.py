@@ -11,8 +11,9 @@ more for pairs that are more similar): 53 of 16 bits for 10^5 documents, 539 of
 
 Equal sets are one class from the start. In a bucket of up to eight classes all pairs are compared. In a larger one each
 class is compared with the leaders, those that came before and were near no other leader; once the links found so are verified,
-the classes of that bucket that are still in different components are compared with each other. So a large group of near copies costs a few comparisons for each
-member, and no link between different components is lost.
+the classes of that bucket that are still in different components are compared with each other: at first each with the closest ones of
+each other component, then, while components stay apart that have closer pairs than were looked at, with eight times as many, until
+there are none. So a large group of near copies costs a few comparisons for each member, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marktlens.llm.common import checkpoint, components, map_rows, per_key, salted, small_batches, texts
 
-RECALL, SMALL = 0.98, 8
+RECALL, SMALL, LEAST = 0.98, 8, 2
 #: Where a bucket's key has the number of its table, above the bits of the segment.
 SHIFT = 48
 #: Bits of the complete distance, which a bucket's rows carry.
@@ -172,23 +173,34 @@ def _near(batches, most: int):
         yield _pairs(parts, marks)
 
 
-def _apart(batches, most: int, tables: int, wide: int):
-    """Pairs (a, b) of a bucket that are close on all bits and in different components, each in the first table where both meet; the
-    largest component meets only the others."""
+def _apart(batches, most: int, tables: int, wide: int, limit: int):
+    """Pairs (a, b) of a bucket that are close on all bits and in different components, each in the first table where both meet: of each
+    class with each other component the `limit` closest ones, and a row (key, null) for a bucket that has more. The largest component
+    meets only the others."""
     for k in _whole_buckets(batches, {"key": int, "cls": int, "root": int, "fp": bytes}):
-        cls, parts = k["cls"], []
+        cls, parts, marks = k["cls"], [], []
         for s, n in zip(*(x.tolist() for x in _edges(k["key"]))):
             kind, of = np.unique(k["root"][s : s + n], return_inverse=True)
+            more = False
             for j in np.flatnonzero(of != np.bincount(of).argmax()) if len(kind) > 1 else ():
-                i = s + np.flatnonzero(of != of[j])
-                differ = k["fp"][i] ^ k["fp"][s + j]
-                near = np.bitwise_count(differ).sum(1, dtype=np.int64) <= most
-                i, differ = i[near], differ[near]
-                if len(i):
-                    segments = np.unpackbits(differ.view(np.uint8), axis=1)[:, CODE : CODE + tables * wide].reshape(len(i), tables, wide)
-                    i = i[segments.any(2).argmin(1) == k["key"][s] >> SHIFT]
+                i = np.flatnonzero(of != of[j])
+                differ = k["fp"][s + i] ^ k["fp"][s + j]
+                apart = np.bitwise_count(differ).sum(1, dtype=np.int64)
+                i, differ, apart = (x[apart <= most] for x in (i, differ, apart))
+                if not len(i):
+                    continue
+                segments = np.unpackbits(differ.view(np.uint8), axis=1)[:, CODE : CODE + tables * wide].reshape(len(i), tables, wide)
+                here = segments.any(2).argmin(1) == k["key"][s] >> SHIFT
+                i, apart = i[here], apart[here]
+                order = np.lexsort((cls[s + i], apart, of[i]))
+                group = of[i][order]
+                new = np.flatnonzero(np.diff(group, prepend=-1))
+                place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+                more |= bool((place >= limit).any())
+                i = s + i[order[place < limit]]
                 parts.append(np.stack((cls[i], np.full(len(i), cls[s + j]))))
-        yield _pairs(parts)
+            marks += [int(k["key"][s])] * more
+        yield _pairs(parts, marks)
 
 
 def _found(rows: DataFrame, work, *bounds: int) -> DataFrame:
@@ -232,11 +244,19 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, tables:
     large = found.filter("b is null").select(F.col("a").alias("key"))
     if large.isEmpty():
         return first
-    roots = components(first).distinct().toDF("cls", "root")
-    known = full.select("cls", "fp").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    held = _buckets(full, tables, wide).select("key", "cls").join(large, "key", "left_semi").join(known, "cls")
-    more = _found(held, _apart, most_bits(bits, percent), tables, wide).join(first, ["a", "b"], "left_anti")
-    return first if more.isEmpty() else first.union(_verified(more, docs, classes, words, percent))
+    links, limit = first, LEAST
+    while True:
+        roots = components(links).distinct().toDF("cls", "root")
+        known = full.select("cls", "fp").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        held = _buckets(full, tables, wide).select("key", "cls").join(large, "key", "left_semi").join(known, "cls")
+        found = _found(held, _apart, most_bits(bits, percent), tables, wide, limit)
+        more, large = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("key"))
+        if more.isEmpty():
+            return links
+        links = links.union(_verified(more, docs, classes, words, percent))
+        if large.isEmpty():
+            return links
+        limit *= 8
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
