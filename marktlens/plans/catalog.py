@@ -220,7 +220,8 @@ query("U3_snapshot_diff", lambda t: merge.snapshot_diff(t.part.filter("p_partkey
 
 SCORES = "SELECT r.task_id, z.id AS plz_id, b.branch_id, CAST(r.rate * b.rate AS BIGINT) AS score FROM (SELECT r.task_id, m.plz, min(r.rate) AS rate FROM task_city_rating r JOIN city_plz m USING (city_id) WHERE r.rate IS NOT NULL GROUP BY ALL) r JOIN plz z ON z.plz = r.plz JOIN task_branch_rating b ON b.task_id = r.task_id AND b.rate IS NOT NULL"
 query("C2_pair_expansion", lambda t: expansion.expand_pairs(t.task_city_rating, t.task_branch_rating, t.city_plz, t.plz, 40), f"SELECT task_id, plz_id, branch_id, score, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('task_id', 'score, plz_id, branch_id')} FROM ({SCORES})) WHERE rn <= 40")
-query("J11_all_pairs", lambda t: expansion.expand_pairs(t.task_city_rating, t.task_branch_rating, t.city_plz, t.plz, None).groupBy("task_id").agg(F.count("*").alias("pairs"), F.min("score").alias("least")), f"SELECT task_id, count(*) AS pairs, min(score) AS least FROM ({SCORES}) GROUP BY 1")
+query("C2_whole_window", lambda t: expansion.expand_pairs(t.task_city_rating, t.task_branch_rating, t.city_plz, t.plz), f"SELECT task_id, plz_id, branch_id, score, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('task_id', 'score, plz_id, branch_id')} FROM ({SCORES})) WHERE rn <= 10000")
+query("J11_all_pairs", lambda t: expansion.pair_figures(t.task_city_rating, t.task_branch_rating, t.city_plz, t.plz), f"SELECT task_id, count(*) AS pairs, min(score) AS least FROM ({SCORES}) GROUP BY 1")
 
 GATE = f"""
 WITH t AS (SELECT t.id AS task_id, w.access_type AS access, t.rate_limit FROM task t JOIN workspace w ON w.id = t.workspace_id),
@@ -484,7 +485,7 @@ query("C14_rating", lambda t: rating.rate_batch(ranking.rating_batch(t.sending_l
 WITH b AS (SELECT task_id, contact_id, CAST(contact_id * 7 % 100 + CASE WHEN task_id % 10 = 0 THEN 50 ELSE 1 END AS INT) AS rate FROM (SELECT sl.task_id, sl.contact_id, w.access_type, {RN.format('sl.task_id', 'sl.rate_cb ASC NULLS LAST, sl.contact_id')} FROM sending_list sl JOIN task t ON t.id = sl.task_id JOIN workspace w ON w.id = t.workspace_id WHERE NOT coalesce(sl.removed, false) AND sl.rate IS NULL) WHERE rn <= CASE WHEN access_type = 'test' THEN 20 ELSE 50 END)
 SELECT * FROM b WHERE task_id NOT IN (SELECT task_id FROM b WHERE rate NOT BETWEEN 1 AND 100)""")
 query("C15_city_batch", lambda t: rating.city_batch(t.task_city_rating).select("task_id", "city_id", "rn"), f"SELECT task_id, city_id, CAST(rn AS INT) AS rn FROM (SELECT task_id, city_id, {RN.format('task_id', 'city_id')} FROM task_city_rating WHERE rate IS NULL AND task_id IN (SELECT DISTINCT task_id FROM task_city_rating WHERE rate IS NULL ORDER BY task_id LIMIT 200)) WHERE rn <= 50")
-query("T12_dispatch", lambda t: rating.dispatch(joins.pair_queue(t.task_pair, t.pair, t.plz, t.branch), F.when(F.col("catalog") == "gs", 40).otherwise(15)).select("catalog", "task_id", "id", "rn"), f"""
+query("T12_dispatch", lambda t: rating.dispatch(joins.pair_queue(t.task_pair, t.pair, t.plz, t.branch), {"gs": 40}, 15).select("catalog", "task_id", "id", "rn"), f"""
 SELECT catalog, task_id, id, CAST(rn AS INT) AS rn FROM (SELECT *, {RN.format('catalog', 'rate ASC NULLS LAST, id')} FROM (SELECT task_id, id, rate, catalog FROM (SELECT tp.task_id, tp.id, tp.rate, b.catalog, {RN.format('tp.task_id', 'tp.rate ASC NULLS LAST, tp.id')} FROM task_pair tp JOIN pair p ON p.id = tp.cb_id JOIN plz z ON z.id = p.plz_id JOIN branch b ON b.id = p.branch_id WHERE p.collected = false) WHERE rn <= 10)) WHERE rn <= CASE WHEN catalog = 'gs' THEN 40 ELSE 15 END""")
 query("T9_held_back", lambda t: rating.held_back(t.sending_list.filter("rate is null").groupBy("task_id").agg(F.min("updated_at").alias("first_seen"), F.count("*").alias("n")), "1998-06-01 00:00:00").select("task_id", "n"), "SELECT task_id, n FROM (SELECT task_id, min(updated_at) AS first_seen, count(*) AS n FROM sending_list WHERE rate IS NULL GROUP BY 1) WHERE n >= 15 OR first_seen <= TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 15 MINUTE")
 query("T3_stale_snapshots", lambda t: ag.fingerprint_text(t.task_city_rating, "city_id").select("task_id", F.md5("fingerprint").alias("h")).join(ag.fingerprint_text(t.task_city_rating.withColumn("rate", F.when(F.col("task_id") % 4 == 0, F.lit(5)).otherwise(F.col("rate"))), "city_id").select("task_id", F.md5("fingerprint").alias("stored")), "task_id").filter(filters.changed("h", "stored")).select("task_id", "h"), """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marktlens.operators.merge import complete_batches
@@ -32,8 +32,14 @@ def city_batch(city_rating: DataFrame, tasks: int = 200, cities: int = 50) -> Da
     return first_rows(unrated.join(some, "task_id", "left_semi"), ["task_id"], [F.col("city_id")], cities)
 
 
-def dispatch(queue: DataFrame, capacity: Column, pool: int = 10) -> DataFrame:
-    """Of each task's best pairs, those that the catalogs' capacities let through, the best of all tasks first."""
-    heads = first_rows(queue, ["task_id"], [F.col("rate").asc_nulls_last(), F.col("id")], pool).drop("rn")
-    place = Window.partitionBy("catalog").orderBy(F.col("rate").asc_nulls_last(), "id")
-    return heads.withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= capacity)
+def dispatch(queue: DataFrame, capacity: dict[str, int], others: int = 0, pool: int = 10) -> DataFrame:
+    """Of each task's best pairs, those that the catalogs' capacities let through (others: that of catalogs not named), the best of all
+    tasks first. Each catalog's rows are cut down in sixty-four shares before one task orders what is left."""
+    order = [F.col("rate").asc_nulls_last(), F.col("id")]
+    heads = first_rows(queue, ["task_id"], order, pool).drop("rn")
+    most = max([others, *capacity.values()])
+    heads = first_rows(heads.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(64))), ["catalog", "_share"], order, most).drop("rn", "_share")
+    room = F.lit(others)
+    for catalog, n in capacity.items():
+        room = F.when(F.col("catalog") == catalog, n).otherwise(room)
+    return first_rows(heads, ["catalog"], order, most).filter(F.col("rn") <= room)

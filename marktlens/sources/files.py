@@ -38,10 +38,10 @@ def email_allowlist(spark: SparkSession, path: str) -> DataFrame:
     return item.select(F.lower(F.trim(domain)).alias("domain")).filter("domain <> ''").distinct()
 
 
-def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Writes rows and replaces the earlier rows of their keys; other keys keep theirs. Keys are dealt by hash to as many folders
-    (the column `bucket`) as the table was made with, and only the folders of these keys are written anew, so that the number of files
-    doesn't grow with that of the keys. A null key is one of its own."""
+def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64, keys: DataFrame | None = None) -> None:
+    """Writes rows and replaces the earlier rows of their keys, and of those in `keys` (a column of the same name), for which there may be no
+    rows; other keys keep theirs. Keys are dealt by hash to as many folders (the column `bucket`) as the table was made with, and only the
+    folders of these keys are written anew, so that the number of files doesn't grow with that of the keys. A null key is one of its own."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     new = rows.withColumn("bucket", bucket)
     try:
@@ -50,13 +50,24 @@ def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> N
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        gone = new.select(F.col(key).alias("_gone")).distinct()
-        kept = held.join(new.select("bucket").distinct(), "bucket", "left_semi").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+        gone = rows.select(F.col(key).alias("_gone"))
+        gone = (gone if keys is None else gone.union(keys.select(key))).distinct()
+        touched = gone.select(F.pmod(F.xxhash64("_gone"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+        kept = held.join(touched, "bucket", "left_semi").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
         new = new.unionByName(kept.select(*new.columns))
+        if keys is not None:  # folders that lose all their rows go, as a write leaves those alone for which it has no rows
+            _drop(rows.sparkSession, [f"{path}/bucket={r.bucket}" for r in touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()])
     spread = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]) % 8  # a hot key's rows go to some tasks
     new.repartition("bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def _drop(spark: SparkSession, folders: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def memo_join(rows: DataFrame, key: str, known: DataFrame, compute) -> tuple[DataFrame, DataFrame]:
     """Rows with the results known for their key or computed for the keys that aren't; and the new results to append.
     compute: a function from a table of distinct keys to one of keys and results."""

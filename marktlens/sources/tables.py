@@ -88,6 +88,9 @@ class Tables:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder within the one that driver and executors share (spark.checkpoint.dir; a temporary one only where that is
-    not set, as in tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/tables-{uuid.uuid4().hex}"
+    """A new folder within the one that driver and executors share (spark.checkpoint.dir). A cluster has to name one; only a local master
+    gets one of its own, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp()}/tables-{uuid.uuid4().hex}"

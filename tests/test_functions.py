@@ -185,6 +185,10 @@ def test_files(spark, tmp_path):
     files.replace_by_key(spark.createDataFrame([(None, "d"), (2, "e"), (2, "f")], "k long, v string"), out, "k")
     files.replace_by_key(spark.createDataFrame([(None, "g")], "k long, v string"), out, "k")
     assert {tuple(r) for r in spark.read.parquet(out).select("k", "v").collect()} == {(1, "c"), (2, "e"), (2, "f"), (None, "g")}
+    files.replace_by_key(spark.createDataFrame([(3, "h")], "k long, v string"), out, "k", keys=spark.createDataFrame([(2,), (3,), (9,)], "k long"))
+    assert {tuple(r) for r in spark.read.parquet(out).select("k", "v").collect()} == {(1, "c"), (3, "h"), (None, "g")}
+    files.replace_by_key(spark.createDataFrame([], "k long, v string"), out, "k", keys=spark.createDataFrame([(1,), (None,)], "k long"))
+    assert {tuple(r) for r in spark.read.parquet(out).select("k", "v").collect()} == {(3, "h")}
     rows, new = files.memo_join(spark.createDataFrame([(1,), (2,)], "k long"), "k", spark.createDataFrame([(1, 10)], "k long, r long"), lambda keys: keys.withColumn("r", F.col("k") * 100))
     assert {tuple(r) for r in rows.collect()} == {(1, 10), (2, 200)} and new.count() == 1
 
