@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marktlens.llm.common import checkpoint, components, map_rows, per_key, salted, small_batches, texts
 
-RECALL, SMALL, LEAST = 0.98, 8, 2
+RECALL, SMALL, LEAST = 0.98, 8, 32
 #: Where a bucket's key has the number of its table, above the bits of the segment.
 SHIFT = 48
 #: Bits of the complete distance, which a bucket's rows carry.
@@ -236,27 +236,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return checkpoint(map_rows(both.select("a", "b", "x", "y"), jaccard, "a long, b long"))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, tables: int, wide: int, bits: int) -> DataFrame:
-    """Links (a, b) between classes (cls, n, fp, rd, rk) that connect all those that are found and similar."""
+def components_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, tables: int, wide: int, bits: int) -> DataFrame:
+    """cls and root of the classes (cls, n, fp, rd, rk) that have links, by links that connect all those that are found and similar."""
     full = classes.filter("n > 0")
     found = _found(_buckets(full, tables, wide), _near, most_bits(CODE, percent))
-    first = _verified(found.filter("b is not null"), docs, classes, words, percent)
-    large = found.filter("b is null").select(F.col("a").alias("key"))
-    if large.isEmpty():
-        return first
-    links, limit = first, LEAST
-    while True:
-        roots = components(links).distinct().toDF("cls", "root")
+    links = _verified(found.filter("b is not null"), docs, classes, words, percent)
+    large, limit = found.filter("b is null").select(F.col("a").alias("key")), LEAST
+    roots = components(links).distinct().toDF("cls", "root")
+    while not large.isEmpty():
         known = full.select("cls", "fp").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         held = _buckets(full, tables, wide).select("key", "cls").join(large, "key", "left_semi").join(known, "cls")
         found = _found(held, _apart, most_bits(bits, percent), tables, wide, limit)
         more, large = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("key"))
         if more.isEmpty():
-            return links
+            break
         links = links.union(_verified(more, docs, classes, words, percent))
-        if large.isEmpty():
-            return links
+        roots = components(links).distinct().toDF("cls", "root")
         limit *= 8
+    return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
@@ -272,8 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     bits = CODE + 64 * math.ceil(tables * wide / 64)
     rows = checkpoint(salted(_signatures(docs, words, bits), "_d", "_k"))
     classes = checkpoint(rows.groupBy("cls").agg(F.min("_d").alias("low"), F.min(F.struct("_k", "_d")).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("cls", "n", "fp", "low", F.col("rep._d").alias("rd"), F.col("rep._k").alias("rk")))
-    roots = components(links(docs, classes, words, percent, tables, wide, bits)).distinct()
-    known = salted(classes.select("cls", "low").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "cls")
+    roots = components_of(docs, classes, words, percent, tables, wide, bits)
+    known = salted(classes.select("cls", "low").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "cls")
     least = per_key(known, ["root"], F.min("low").alias("component_id"))
     by_class = known.join(least, ["root", "_salt"]).select("cls", "component_id")
     spread = per_key(rows.select("cls", "_salt"), ["cls"]).join(by_class, "cls")
