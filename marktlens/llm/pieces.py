@@ -23,7 +23,7 @@ from marktlens.llm.common import map_rows, small_batches
 
 MARK = "▁"
 #: Words that a worker remembers between texts; when full they are forgotten and encoded anew.
-MEMO = 400_000
+MEMO = 700_000
 #: Characters of texts that are encoded together.
 TOGETHER = 1 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
