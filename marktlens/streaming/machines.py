@@ -73,9 +73,9 @@ def soft_bounce_stream(events: DataFrame, most: int = 3, days: int = 7) -> DataF
     return events.withWatermark("time", "1 hour").groupBy("contact_id").applyInPandasWithState(step, "contact_id long, time timestamp", "n int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def retry_stream(events: DataFrame, remember: str = "7 days") -> DataFrame:
+def retry_stream(events: DataFrame, remember_days: int = 7) -> DataFrame:
     """retry_fold as a stream of updates: results (cb_id, seq, result) arrive in order of seq for each pair. A pair that is collected is
-    remembered for so long, to leave out results that come late, and then forgotten."""
+    remembered for so many days, to leave out results that come late, and then forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -96,7 +96,7 @@ def retry_stream(events: DataFrame, remember: str = "7 days") -> DataFrame:
                     error = (PARSE if kind == PARSE else result) if collected else f"{kind} {n}"
         state.update((error, collected, seen))
         if collected:
-            state.setTimeoutDuration(remember)
+            state.setTimeoutDuration(remember_days * 86_400_000)
         yield pd.DataFrame({"cb_id": [key[0]], "error": [error], "collected": [collected], "seen": [seen]})
 
     return events.groupBy("cb_id").applyInPandasWithState(step, "cb_id long, error string, collected boolean, seen int", "error string, collected boolean, seen int", "update", GroupStateTimeout.ProcessingTimeTimeout)
