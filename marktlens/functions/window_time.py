@@ -96,3 +96,19 @@ def shared_interval_ms(total_minutes: Column, campaigns: Column, limit_hour: Col
     """Milliseconds between letters of campaigns that share a mailbox on one day; null without minutes or limits."""
     ok = (total_minutes > 0) & (campaigns > 0) & (limit_hour > 0) & (limit_day > 0)
     return F.when(ok, F.ceil(F.greatest(total_minutes * 60000.0 / F.when(limit_day > 0, limit_day), campaigns * 3600000.0 / F.when(limit_hour > 0, limit_hour))).cast("long"))
+
+
+def normalised(window: Column) -> Column:
+    """A window with every day and the holiday, each with its list of slots, empty if it has none."""
+    none = F.array().cast("array<struct<`from`:string,`to`:string>>")
+    return F.map_from_arrays(F.array(*[F.lit(d) for d in (*DAYS, "hol")]), F.array(*[F.coalesce(F.try_element_at(window, F.lit(d)), none) for d in (*DAYS, "hol")]))
+
+
+def local_text(utc: Column, zone: str = "Europe/Berlin") -> Column:
+    """A UTC time on local clocks, day and month first."""
+    return F.date_format(F.from_utc_timestamp(utc.cast("timestamp"), zone), "dd.MM HH:mm")
+
+
+def months_ahead(day: Column) -> dict[str, Column]:
+    """A date, and those one and three months later; the last day of a shorter month stands for days that it lacks."""
+    return {"date": F.to_date(day), "date_plus_1m": F.add_months(day, 1), "date_plus_3m": F.add_months(day, 3)}

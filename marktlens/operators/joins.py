@@ -107,3 +107,30 @@ def surrogate_ids(staged: DataFrame, dimension: DataFrame, keys: list[str], name
     """The staged rows with the dimension's id, as `name`, in place of their natural keys; rows without a match go, as do those
     with a null in a key."""
     return staged.join(dimension.select(*keys, F.col("id").alias(name)), keys).drop(*keys)
+
+
+def letters_of_campaigns(campaign: DataFrame, letter: DataFrame) -> DataFrame:
+    """Each campaign with its letter (campaign_id, template, workspace_id, ...), if that belongs to its workspace too: one to one."""
+    l = letter.select(F.col("campaign_id").alias("_c"), F.col("workspace_id").alias("_w"), "template")
+    return campaign.join(l, (F.col("id") == F.col("_c")) & (F.col("workspace_id") == F.col("_w")), "left").drop("_c", "_w")
+
+
+def system_sender(mailbox: DataFrame, smtp: DataFrame) -> DataFrame:
+    """Of each workspace's mailboxes (id, workspace_id) that have an SMTP account (mailbox_id, host), the first by id."""
+    rows = mailbox.join(smtp.select(F.col("mailbox_id").alias("id"), "host"), "id")
+    return rows.groupBy("workspace_id").agg(F.min(F.struct("id", "host")).alias("m")).select("workspace_id", F.col("m.id").alias("mailbox_id"), "m.host")
+
+
+def logins(user: DataFrame, token: DataFrame, asked: DataFrame, as_of: str) -> DataFrame:
+    """asked (email) with the user (id, email) whose address it is in any case, and that user's latest token (user_id, token, expires_at, used)
+    that is neither used nor expired."""
+    key = lambda c: F.lower(F.trim(c))
+    good = token.filter(~F.coalesce("used", F.lit(False)) & (F.col("expires_at") > F.lit(as_of).cast("timestamp")))
+    good = good.groupBy(F.col("user_id").alias("id")).agg(F.max_by("token", F.struct("expires_at", "token")).alias("token"))
+    found = asked.select("email", key("email").alias("_k")).join(user.select("id", key("email").alias("_k")), "_k").join(good, "id")
+    return found.select("email", F.col("id").alias("user_id"), "token")
+
+
+def stale_letters(letter: DataFrame, rendered: Column) -> DataFrame:
+    """Letters whose stored text isn't what their template gives now."""
+    return letter.filter(~rendered.eqNullSafe(F.col("stored")))

@@ -25,6 +25,26 @@ def upsert(current: DataFrame, source: DataFrame, keys: list[str], columns: list
     return rows.select(*current.columns, "action")
 
 
+def reset_rates(rates: DataFrame, wanted: DataFrame, keys: list[str], forget: DataFrame | None = None) -> DataFrame:
+    """Rates (keys, rate) with a row without a rate for each wanted key that has none; the rates of the keys in `forget` (all, if it is None)
+    are null again."""
+    hit = F.lit(True) if forget is None else F.coalesce("_hit", F.lit(False))
+    rows = rates if forget is None else rates.join(forget.select(*forget.columns, F.lit(True).alias("_hit")).distinct(), forget.columns, "left")
+    rows = rows.withColumn("rate", F.when(~hit, F.col("rate"))).select(*rates.columns)
+    return insert_ignore(rows, wanted.select(*keys), keys)
+
+
+def clamped(rows: DataFrame, key: str, column: str, low: int = 0, high: int = 120) -> DataFrame:
+    """The rows whose value lies outside the bounds, with the nearest bound in its place."""
+    return rows.withColumn("_new", F.least(F.lit(high), F.greatest(F.lit(low), F.col(column)))).filter(F.col("_new") != F.col(column)).select(key, F.col("_new").cast(rows.schema[column].dataType).alias(column))
+
+
+def subset_answers(answer: DataFrame, given: DataFrame) -> DataFrame:
+    """Answers (batch, id) of those batches that name nothing but what was given (batch, id); a batch with an id of its own loses all."""
+    strange = answer.join(given.select("batch", "id"), ["batch", "id"], "left_anti").select("batch").distinct()
+    return answer.join(strange, "batch", "left_anti")
+
+
 def delete_missing(current: DataFrame, wanted: DataFrame, keys: list[str], only: str = "true") -> DataFrame:
     """`current` without the rows that `only` lets go and whose key `wanted` lacks."""
     held = wanted.select(*keys).distinct().withColumn("_held", F.lit(True))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.functions import letters, nested, websites
-from marktlens.operators import merge, ranking, titles
+from marktlens.functions import hashing, letters, nested, text, websites
+from marktlens.functions import window_time as wt
+from marktlens.operators import joins, merge, ranking, titles
 from marktlens.parsing import catalogs
 from marktlens.plans import catalog, geography, pacing, resolution
 from marktlens.plans.catalog import NOW, ORACLES, QUERIES, query
@@ -357,3 +358,24 @@ SELECT s_suppkey AS page_id, 'https://b.de/suche/?page=2' AS url, LPAD(CAST(s_su
 query("X4_11880_index", lambda t: catalogs.index_cards(t.sql(B_INDEX_PAGES), "11880", F.col("plz")).select("page_id", "place", "url", "company_name", "address", "phone", "email", "rating", "reviews", "next_page"), """
 SELECT s_suppkey AS page_id, CAST(1 AS INT) AS place, concat('https://b.de/', s_suppkey) AS url, s_name AS company_name, concat('Weg 1, ', lpad(CAST(s_suppkey % 90 AS VARCHAR), 5, '0'), ' Bonn') AS address, '0123 456' AS phone, 'a@x.de' AS email, '4.5' AS rating, nullif(CAST(s_suppkey AS VARCHAR), '0') AS reviews,
   CASE WHEN s_suppkey % 2 = 0 THEN 'https://b.de/suche/drei' ELSE 'https://b.de/suche/?page=7' END AS next_page FROM supplier""")
+
+# --- smaller pieces ----------------------------------------------------------------------------------------------------------
+
+query("F_short_ids", lambda t: t.orders.select("o_orderkey", hashing.short_id(F.col("o_orderkey"), 0x5A5A5A5A, 2654435761).alias("short")).withColumn("back", hashing.long_id(F.col("short"), 0x5A5A5A5A, 2654435761)), """
+SELECT o_orderkey, ltrim(concat(d[CAST(n // 916132832 % 62 AS INT) + 1], d[CAST(n // 14776336 % 62 AS INT) + 1], d[CAST(n // 238328 % 62 AS INT) + 1], d[CAST(n // 3844 % 62 AS INT) + 1], d[CAST(n // 62 % 62 AS INT) + 1], d[CAST(n % 62 AS INT) + 1]), '0') AS short, o_orderkey AS back
+FROM (SELECT o_orderkey, CAST(CAST(xor(o_orderkey, 1515870810) AS HUGEINT) * 2654435761 % 4294967296 AS BIGINT) + 1 AS n, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz' AS d FROM orders)""")
+query("F_memo_key", lambda t: t.contact.select("id", hashing.memo_key("rate", F.col("id"), F.col("blocked")).alias("key")), """SELECT id, sha1(concat('rate:["', id, '","', CASE WHEN blocked THEN 'true' ELSE 'false' END, '"]')) AS key FROM contact""")
+query("F_times", lambda t: t.events.select("event_id", wt.local_text(F.col("ts")).alias("local"), *[c.alias(n) for n, c in wt.months_ahead(F.date_add(F.to_date("ts"), 28)).items()]), """
+SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%d.%m %H:%M') AS local, d AS date, CAST(d + INTERVAL 1 MONTH AS DATE) AS date_plus_1m, CAST(d + INTERVAL 3 MONTH AS DATE) AS date_plus_3m FROM (SELECT event_id, ts, CAST(CAST(ts AS DATE) + 28 AS DATE) AS d FROM events)""")
+query("F_same_scalar", lambda t: t.part.select("p_partkey", text.same_scalar(F.when(F.col("p_partkey") % 4 > 0, F.concat(F.lit(" "), F.col("p_name"))), F.when(F.col("p_partkey") % 3 == 0, F.upper(F.col("p_name"))).otherwise(F.lit("other")), F.lit("  ")).alias("name")), "SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN trim(p_name) WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE 'other' END AS name FROM part")
+query("P20_normal_windows", lambda t: windowed(t).select("campaign_id", F.array_join(F.transform(F.map_entries(wt.normalised(F.col("window"))), lambda e: F.concat(e["key"], F.size(e["value"]).cast("string"))), ",").alias("slots")), "SELECT id AS campaign_id, CASE WHEN id % 3 = 0 THEN 'mon2,tue2,wed1,thu2,fri1,sat0,sun0,hol1' ELSE 'mon2,tue0,wed0,thu2,fri0,sat0,sun0,hol0' END AS slots FROM campaign")
+query("P19_stale_letters", lambda t: joins.stale_letters(t.contact.withColumn("stored", F.concat(F.lit("Hi "), F.col("id").cast("string"), F.when(F.col("id") % 5 == 0, "!").otherwise(""))), letters.filled(F.lit("Hi {{ id }}"), F.create_map(F.lit("id"), F.col("id").cast("string")))).select("id"), "SELECT id FROM contact WHERE id % 5 = 0")
+query("P17_logins", lambda t: joins.logins(t.contact.select("id", "email"), t.orders.select((F.col("o_custkey") + 1).alias("user_id"), F.col("o_orderkey").alias("token"), F.col("o_orderdate").cast("timestamp").alias("expires_at"), (F.col("o_orderkey") % 3 == 0).alias("used")), t.contact.filter("id % 2 = 0").select(F.upper("email").alias("email")), "1997-01-01 00:00:00"), """
+SELECT upper(c.email) AS email, c.id AS user_id, token FROM contact c JOIN (SELECT o_custkey + 1 AS id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS token FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderdate > TIMESTAMP '1997-01-01 00:00:00' GROUP BY 1) k ON k.id = c.id WHERE c.id % 2 = 0""")
+LETTER = "SELECT id AS campaign_id, CASE WHEN id % 8 = 0 THEN 'other' ELSE workspace_id END AS workspace_id, CONCAT('T', CAST(id AS VARCHAR)) AS template FROM campaign WHERE id % 5 > 0"
+query("J17_campaign_letters", lambda t: joins.letters_of_campaigns(t.campaign, t.sql(LETTER)).select("id", "template"), "SELECT id, CASE WHEN id % 5 > 0 AND id % 8 > 0 THEN concat('T', id) END AS template FROM campaign")
+query("J19_system_sender", lambda t: joins.system_sender(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("workspace_id")), t.supplier.filter("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("mailbox_id"), F.concat(F.lit("smtp"), F.col("s_suppkey").cast("string")).alias("host"))), "SELECT s_nationkey AS workspace_id, min(s_suppkey) AS mailbox_id, concat('smtp', min(s_suppkey)) AS host FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY 1")
+query("M13_reset_rates", lambda t: merge.reset_rates(t.task_city_rating, t.task_branch_rating.select("task_id", (F.col("branch_id") % 25).alias("city_id")).distinct(), ["task_id", "city_id"], t.task.filter("id % 4 = 0").select(F.col("id").alias("task_id"))).select("task_id", "city_id", F.col("rate").cast("long").alias("rate")), """
+SELECT task_id, city_id, CASE WHEN task_id % 4 > 0 THEN CAST(rate AS BIGINT) END AS rate FROM task_city_rating UNION ALL SELECT DISTINCT task_id, branch_id % 25, NULL FROM task_branch_rating b WHERE NOT EXISTS (SELECT 1 FROM task_city_rating c WHERE c.task_id = b.task_id AND c.city_id = b.branch_id % 25)""")
+query("M16_clamped", lambda t: merge.clamped(t.part.select("p_partkey", (F.col("p_size") * 5 - 60).alias("size")), "p_partkey", "size").select("p_partkey", F.col("size").cast("long").alias("size")), "SELECT p_partkey, CAST(least(120, greatest(0, p_size * 5 - 60)) AS BIGINT) AS size FROM part WHERE p_size * 5 - 60 NOT BETWEEN 0 AND 120")
+query("X10_subset_answers", lambda t: merge.subset_answers(t.li.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("id")), t.li.filter("l_linenumber < 5").select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("id"))).select("batch", F.col("id").cast("long").alias("id")), "SELECT l_orderkey AS batch, CAST(l_linenumber AS BIGINT) AS id FROM li WHERE l_orderkey NOT IN (SELECT l_orderkey FROM li WHERE l_linenumber >= 5)")
