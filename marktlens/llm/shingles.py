@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marktlens.llm.common import checkpoint, components, map_rows, per_key, salted, small_batches, texts
 
-RECALL, SMALL, LEAST = 0.98, 8, 32
+RECALL, SMALL, LEAST = 0.98, 8, 512
 #: Where a bucket's key has the number of its table, above the bits of the segment.
 SHIFT = 48
 #: Bits of the complete distance, which a bucket's rows carry.
