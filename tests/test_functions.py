@@ -195,6 +195,8 @@ def test_files(spark, tmp_path):
 
 def test_sanitize_keeps_entities_and_addresses():
     assert letters.sanitize("<p>a &amp; b &lt;i&gt; &#8364; 1 < 2</p>") == "<p>a &amp; b &lt;i&gt; &#8364; 1 &lt; 2</p>"
+    assert letters.sanitize('<a href="a?x=1&amp;y=2" onclick="x" CLASS=\'b "c"\' align=left>t</a>') == '<a href="a?x=1&amp;y=2" class="b &quot;c&quot;" align="left">t</a>'
+    assert letters.sanitize('<a href="&#106;avascript:x()">t</a>') == "<a>t</a>"
     assert 'href="https://a.de/?x=1&y=2"' in letters.sanitize('<a href="https://a.de/?x=1&y=2">t</a>')
 
 
