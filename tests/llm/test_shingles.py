@@ -50,8 +50,11 @@ def test_chains_blocks_and_blanks(spark):
     assert shingles.keep_one(docs.filter("false")).count() == 0
 
 
-def test_large_group_of_near_copies(spark):
-    """Two hundred variants in large buckets, a chain among them, and texts that share a bucket but no component."""
+@pytest.mark.parametrize("least", [1, 512])
+def test_large_group_of_near_copies(spark, monkeypatch, least):
+    """Two hundred variants in large buckets, a chain among them, and texts that share a bucket but no component; with one closest class at
+    first it takes rounds."""
+    monkeypatch.setattr(shingles, "LEAST", least)
     words = [f"w{i}" for i in range(3000)]
     rows = [(i, " ".join(words[:150] + [f"v{i}"])) for i in range(200)]
     rows += [(300 + i, " ".join(words[12 * i + 500 : 12 * i + 700])) for i in range(40)]
