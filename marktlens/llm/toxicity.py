@@ -11,8 +11,10 @@ gets a p-value for its length, and from that the document's score by a one-varia
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +27,8 @@ from marktlens.llm.common import checkpoint, map_rows, small_batches, texts
 BUCKETS = 1 << 20
 #: Remembered words of a task; when full they are forgotten and counted anew.
 MEMO = 200_000
+#: Characters of texts whose words are looked up together.
+TOGETHER = 1 << 16
 _WORD = re.compile(r"\w+")
 
 
@@ -48,6 +52,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32)
 
 
+def split_texts(texts: list[str], memo: dict) -> Iterator[tuple[list[list[str]], list[str]]]:
+    """The tokens of each of some texts that come one after the other, and the distinct ones that the memo lacks, which the caller
+    puts there; a memo that gets full is emptied first."""
+    at = 0
+    while at < len(texts):
+        lists, size = [], 0
+        while at < len(texts) and (not lists or size + len(texts[at]) <= TOGETHER):
+            lists.append(_WORD.findall(texts[at].lower()))
+            size += len(texts[at])
+            at += 1
+        new = set().union(*lists).difference(memo)
+        if max(map(len, new), default=0) > LONGEST:  # the memo holds no long ones
+            lists = [split_long(words) for words in lists]
+            new = set().union(*lists).difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = set().union(*lists)
+        yield lists, list(new)
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of the words, one after the other, and where those of each word begin: the word itself and its 4- and
     5-grams with marks at both ends."""
@@ -57,16 +81,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(codes)) - starts[owner]
-    found, owners = [_mixed(np.add.reduceat(codes * _POWERS[place], starts) if len(words) else codes)], [np.arange(len(words))]
-    for n in (4, 5):
+    fours, fives = np.maximum(sizes - 3, 0), np.maximum(sizes - 4, 0)
+    each = 1 + fours + fives
+    first = np.cumsum(each) - each
+    out = np.empty(int(each.sum()), np.int32)
+    out[first] = _mixed(np.add.reduceat(codes * _POWERS[place], starts) if len(words) else codes)
+    for n, before in ((4, first + 1), (5, first + 1 + fours)):
         if len(codes) >= n:
             h = sum(codes[k : len(codes) - n + 1 + k] * _POWERS[n - k] for k in range(n)) + np.uint64(n)
-            inside = owner[: len(h)] == owner[n - 1 :]
-            found.append(_mixed(h[inside]))
-            owners.append(owner[: len(h)][inside])
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(found)[order], np.searchsorted(owner[order], np.arange(len(words)))
+            inside = np.flatnonzero(owner[: len(h)] == owner[n - 1 :])
+            out[before[owner[inside]] + place[inside]] = _mixed(h[inside])
+    return out, first
 
 
 def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -102,28 +127,27 @@ class Model:
     slope: float = 0.0
     offset: float = -100.0
 
-    def learn(self, words: set[str], memo: dict[str, float]) -> None:
-        """Puts the scores of tokens that it lacks into the memo."""
-        new = list(words.difference(memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(words)
-        if new:
-            found, starts = features(new)
+    def learn(self, words: list[str], memo: dict[str, float]) -> None:
+        """Puts the scores of tokens into the memo."""
+        if words:
+            found, starts = features(words)
             best = np.maximum.reduceat(self.lower[found], starts)
-            memo.update(zip(new, np.where(best > 0, best - self.drift, -self.drift).tolist()))
+            memo.update(zip(words, np.where(best > 0, best - self.drift, -self.drift).tolist()))
+
+    def scan_all(self, texts: list[str], memo: dict[str, float]) -> Iterator[tuple[int, list[tuple[int, int, float]], list[str]]]:
+        """Of each text the number of tokens, segments over them, and the tokens."""
+        for lists, new in split_texts(texts, memo):
+            self.learn(new, memo)
+            edges = np.cumsum([0, *map(len, lists)])
+            scores = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(lists)), np.float64, int(edges[-1]))
+            at = np.flatnonzero(scores > 0)
+            scores, cuts = scores[at], np.searchsorted(at, edges).tolist()
+            for words, start, lo, hi in zip(lists, edges, cuts, cuts[1:]):
+                yield len(words), segments((at[lo:hi] - start).tolist(), scores[lo:hi].tolist(), self.drift) if lo < hi else [], words
 
     def scan(self, text: str, memo: dict[str, float]) -> tuple[int, list[tuple[int, int, float]], list[str]]:
         """Number of tokens, segments over them, and the tokens."""
-        words = _WORD.findall(text.lower())
-        distinct = set(words)
-        if max(map(len, distinct.difference(memo)), default=0) > LONGEST:  # the memo holds no long ones
-            words = split_long(words)
-            distinct = set(words)
-        self.learn(distinct, memo)
-        scores = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-        at = np.flatnonzero(scores > 0)
-        return len(words), segments(at.tolist(), scores[at].tolist(), self.drift), words
+        return next(self.scan_all([text], memo))
 
     def surprise(self, n: int, best: float) -> float:
         """-ln of the chance that n clean tokens hold a segment as good as `best`, at most 50."""
@@ -141,31 +165,41 @@ def _counts(batches_of_features, width: int):
     """Sums of bucket counts of a task as sparse rows."""
     total = np.zeros((width, BUCKETS), np.int64)
     for side, f in batches_of_features:
-        total[side][f] += 1
+        total[side][f] += 1  # once, however often f holds a bucket
     at = np.flatnonzero(total.sum(0))
     for i in range(0, len(at), 100_000):
         p = at[i : i + 100_000]
         yield {"bucket": p, **{f"c{s}": total[s][p] for s in range(width)}}
 
 
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    return held if n <= len(held) else np.concatenate((held, np.empty(max(len(held), n - len(held)), held.dtype)))
+
+
 def _bags(batches):
-    """The distinct features of each text."""
-    memo: dict[str, np.ndarray] = {}
-    none = np.empty(0, np.int32)
+    """The features of each text, some of them more than once."""
+    memo: dict[str, int] = {}  # numbers of words, whose features stand between two edges
+    held, edges = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
     for b in batches:
-        for i, text in enumerate(b.column("_t").to_pylist()):
-            words = set(_WORD.findall(text.lower()))
-            new = list(words.difference(memo))
-            if max(map(len, new), default=0) > LONGEST:
-                words = set(tokens(text))
-                new = list(words.difference(memo))
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(words)
+        i = 0
+        for lists, new in split_texts(b.column("_t").to_pylist(), memo):
             if new:
                 found, starts = features(new)
-                memo.update(zip(new, np.split(found, starts[1:])))
-            yield b, i, np.unique(np.concatenate([memo[w] for w in words])) if words else none
+                n, size = len(memo), int(edges[len(memo)])
+                held, edges = _room(held, size + len(found)), _room(edges, n + len(new) + 1)
+                held[size : size + len(found)] = found
+                edges[n + 1 : n + len(new) + 1] = size + np.append(starts[1:], len(found))
+                memo.update(zip(new, range(n, n + len(new))))
+            bags = [set(words) for words in lists]
+            sizes = np.cumsum([0, *map(len, bags)])
+            words = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(bags)), np.int64, int(sizes[-1]))
+            first, each = edges[words], edges[words + 1] - edges[words]
+            ends = np.concatenate(([0], np.cumsum(each)))
+            found = held[np.arange(ends[-1]) + np.repeat(first - ends[:-1], each)]
+            cuts = ends[sizes].tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield b, i, found[lo:hi]
+                i += 1
 
 
 def background(docs: DataFrame) -> DataFrame:
@@ -231,8 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, share: str = "crc32(cast(doc_id as
         m, memo = shipped.value, {}
         for b in batches:
             n, segs = [], []
-            for t in b.column("_t").to_pylist():
-                k, found, _ = m.scan(t, memo)
+            for k, found, _ in m.scan_all(b.column("_t").to_pylist(), memo):
                 n.append(k)
                 segs.append(sorted((x[2] for x in found), reverse=True)[:1])
             yield {"toxic": b.column("toxic"), "aside": b.column("aside"), "n": n, "best": [x[0] if x else 0.0 for x in segs]}
@@ -281,8 +314,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, significant: fl
         m, memo = shipped.value, {}
         for b in batches:
             out = {f.name: b.column(f.name) for f in rest} | {c: [] for c in new}
-            for text in b.column("text").to_pylist():
-                n, found, words = m.scan(text or "", memo)
+            for n, found, words in m.scan_all([t or "" for t in b.column("text").to_pylist()], memo):
                 best = max((x[2] for x in found), default=0.0)
                 s = m.score(n, best)
                 out["score"].append(s)

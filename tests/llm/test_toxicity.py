@@ -142,3 +142,36 @@ def test_counts_and_log_odds_against_loops(spark):
             want[f] = lower
     got = {int(i): float(model.lower[i]) for i in model.lower.nonzero()[0]}
     assert got.keys() == want.keys() and len(got) > 5 and all(abs(got[f] - want[f]) < 1e-5 for f in got)
+
+
+def test_words_of_many_texts_are_learned_together(monkeypatch):
+    """Features are made for groups of texts, and give what each text gives by itself: bags, and segments, also where the memo fills up."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé_日", k=rng.choice((1, 3, 6, 45, 90)))) for _ in range(400)]
+    texts = ["", *(" ".join(rng.choices(words, k=rng.randrange(30))) for _ in range(300)), ""]
+    calls, make = [], toxicity.features
+    monkeypatch.setattr(toxicity, "features", lambda w: calls.append(len(w)) or make(w))
+    model = toxicity.Model()
+    model.lower[rng.sample(range(toxicity.BUCKETS), 50_000)] = 1.5
+
+    class Batch:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def column(self, _):
+            return self
+
+        def to_pylist(self):
+            return self.rows
+
+    batches = [Batch(texts[:200]), Batch([]), Batch(texts[200:])]
+    want = [{f for w in toxicity.tokens(t) for f in slow_features(w)} for t in texts]
+    assert [set(bag.tolist()) for _, _, bag in toxicity._bags(batches)] == want and len(calls) <= 3
+    alone = [model.scan(t, {}) for t in texts]
+    assert sum(bool(found) for _, found, _ in alone) > 100
+    calls.clear()
+    assert list(model.scan_all(texts, {})) == alone and len(calls) <= 3
+    monkeypatch.setattr(toxicity, "MEMO", 300)
+    monkeypatch.setattr(toxicity, "TOGETHER", 500)
+    assert [set(bag.tolist()) for _, _, bag in toxicity._bags(batches)] == want
+    assert list(model.scan_all(texts, {})) == alone
