@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: Salts over which the rows of one key spread at most; they are the bits of one long.
 SALTS = 60
+#: By stage and maker what this worker process keeps from task to task.
+_KEPT: dict[int, dict] = {}
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -55,11 +58,32 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def kept(make: Callable, *args):
+    """make(*args), which a worker keeps for its other tasks of the same stage: workers outlive stages, and what all of a pipeline's
+    stages have learned together would not fit. Called within map_rows, whose tasks first drop what other stages left."""
+    mine = _KEPT.setdefault(_stage(), {})
+    if (key := (make, *args)) not in mine:
+        mine[key] = make(*args)
+    return mine[key]
+
+
+def _stage() -> int:
+    task = TaskContext.get()
+    return -1 if task is None else task.stageId()
+
+
+def _drop_others() -> None:
+    now = _stage()
+    for stage in [x for x in _KEPT if x != now]:
+        del _KEPT[stage]
+
+
 def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function that yields a dict of columns (lists or numpy arrays) for each batch it makes."""
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_others()
         for cols in work(batches):
             made = (cols[f.name] for f in fields)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(made, fields)], schema=fields)

@@ -13,13 +13,12 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm.common import map_rows, small_batches
+from marktlens.llm.common import kept, map_rows, small_batches
 
 MARK = "▁"
 #: Words that a worker remembers between texts; when full they are forgotten and encoded anew.
@@ -126,11 +125,11 @@ class Encoder:
 
         from tokenizers import Tokenizer, models, normalizers
 
-        self.tokenizer, self.by_words, self.prefix, self.bytes, self.unk, ids = build(data)
-        self.words = build(data)[0]
+        self.words, self.by_words, self.prefix, self.bytes, self.unk, ids = build(data)
+        self.normalizer = self.words.normalizer
         self.words.normalizer = normalizers.Sequence([])
         self.names = Tokenizer(models.BPE(vocab=ids, merges=[], unk_token=None))  # to decode: ids to pieces
-        self.names.decoder = self.tokenizer.decoder
+        self.names.decoder = self.words.decoder
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         spec = parse(data)
         self.plain = not spec["charsmap"] and not spec["squeeze"] and spec["prefix"] and spec["escape"]
@@ -166,7 +165,7 @@ class Encoder:
     def normalise(self, text: str) -> str:
         if not text:
             return ""
-        return MARK + text.replace(" ", MARK) if self.plain else self.tokenizer.normalizer.normalize_str(text)
+        return MARK + text.replace(" ", MARK) if self.plain else self.normalizer.normalize_str(text)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """Ids of each text, whether the sentencepiece library gives the same ones, and whether they decode to the text."""
@@ -201,11 +200,6 @@ class Encoder:
         return self.names.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
-def _encoder(data: bytes, threads: int) -> Encoder:
-    return Encoder(data, threads)
-
-
 def load(spark: SparkSession, path: str) -> bytes:
     """A model file, local to the driver or in a store that Spark reads; models are some megabytes at most."""
     if "://" in path:
@@ -225,7 +219,7 @@ def encode(docs: DataFrame, path: str, threads: int = 2, column: str = "text") -
     rest = [f for f in docs.schema if f.name not in new]
 
     def work(batches):
-        coder = _encoder(shipped.value, threads)
+        coder = kept(Encoder, shipped.value, threads)
         for b in batches:
             texts = b.column(column).to_pylist()
             for lo in range(0, len(texts), 512):
@@ -247,7 +241,7 @@ def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "decoded
     rest = [f for f in rows.schema if f.name != into]
 
     def work(batches):
-        coder = _encoder(shipped.value, 2)
+        coder = kept(Encoder, shipped.value, 2)
         for b in batches:
             ids = b.column(column).to_pylist()
             texts = coder.decode([x or [] for x in ids])
@@ -264,7 +258,7 @@ def digest(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
 
     def work(batches):
-        coder = _encoder(shipped.value, threads)
+        coder = kept(Encoder, shipped.value, threads)
         for b in batches:
             texts = b.column("text").to_pylist()
             found = iter(coder.encode([t for t in texts if t is not None]))

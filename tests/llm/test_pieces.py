@@ -97,3 +97,21 @@ def test_query(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.digest(docs, MODEL).collect() == []
+
+
+def test_workers_keep_no_encoder_beyond_its_stage(spark):
+    """Python workers outlive stages; a later stage's tasks must not carry the words and models of an earlier one."""
+    import gc
+
+    from marktlens.llm.common import map_rows
+
+    docs = spark.range(8).selectExpr("id as doc_id", "concat('some words ', id) as text").repartition(4)
+    assert pieces.digest(docs, f"{queries.TOKENIZERS}/piece_bpe_32k.model").filter("parity").count() == 8
+
+    def work(batches):
+        from marktlens.llm.pieces import Encoder
+
+        for b in batches:
+            yield {"held": [sum(isinstance(x, Encoder) for x in gc.get_objects())] * b.num_rows}
+
+    assert map_rows(docs.select("doc_id"), work, "held int").agg({"held": "max"}).first()[0] == 0
