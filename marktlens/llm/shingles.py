@@ -9,11 +9,10 @@ at an angle of t (cos t = 2s / (1 + s) at similarity s and equal sizes) differ i
 1 - (1 - (1 - t / pi)^width)^tables. There are as many tables as that takes for a stated recall at the similarity itself (0.98, and
 more for pairs that are more similar): 53 of 16 bits for 10^5 documents, 539 of 30 for 10^9. A recall that would take over 2^15 tables is an error.
 
-Equal sets are one class from the start. In a bucket of up to eight classes all pairs are compared. In a larger one each
-class is compared with the leaders, those that came before and were near no other leader; once the links found so are verified,
-the classes of that bucket that are still in different components are compared with each other: at first each with the closest ones of
-each other component, then, while components stay apart that have closer pairs than were looked at, with eight times as many, until
-there are none. So a large group of near copies costs a few comparisons for each member, and no link between different components is lost.
+Equal sets are one class from the start. In a bucket of up to eight classes all pairs are compared on 256 bits, and those that are
+close on their whole sets. A larger bucket gets the sets themselves: its classes that aren't connected yet are compared on them,
+and it passes on a spanning forest of what is similar. So a large group of near copies gives fewer links than it has members in
+each of its buckets, however many of its pairs are nearly similar enough, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from marktlens.llm.common import checkpoint, components, map_rows, per_key, salted, small_batches, texts
 
+#: LEAST: so many sets are compared with another one at once (memory alone follows it).
 RECALL, SMALL, LEAST = 0.98, 8, 512
 #: Where a bucket's key has the number of its table, above the bits of the segment.
 SHIFT = 48
@@ -123,12 +123,12 @@ def _buckets(classes: DataFrame, tables: int, wide: int) -> DataFrame:
     return map_rows(classes.select("cls", "fp"), work, "key long, cls long" + "".join(f", {c} long" for c in PARTS))
 
 
-def _whole_buckets(batches, wanted: dict[str, type]):
+def _whole_buckets(batches, *wanted: str):
     """The columns of whole buckets: rows come sorted by key, and the last bucket of a batch may go on."""
     left = None
     for batch in batches:
         if batch.num_rows:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) if t is int else np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c, t in wanted.items()}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in wanted}
             new = {c: np.concatenate((left[c], v)) for c, v in new.items()} if left else new
             last = int(np.searchsorted(new["key"], new["key"][-1]))
             left = {c: v[last:] for c, v in new.items()}
@@ -143,69 +143,61 @@ def _edges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _pairs(parts: list[np.ndarray], marks: list[int] = ()) -> dict:
-    a, b = np.concatenate(parts, axis=1) if parts else np.empty((2, 0), np.int64)
-    return {"a": [*np.minimum(a, b).tolist(), *marks], "b": [*np.maximum(a, b).tolist(), *([None] * len(marks))]}
-
-
 def _near(batches, most: int):
-    """Close pairs (a, b) of small buckets, those of leaders in large ones, and a row (key, null) for each large bucket."""
-    for k in _whole_buckets(batches, dict.fromkeys(("key", "cls", *PARTS), int)):
-        key, cls, parts, marks = k["key"], k["cls"], [], []
+    """Close pairs (a, b) of small buckets, and a row (key, a) for each class of a large one."""
+    for k in _whole_buckets(batches, "key", "cls", *PARTS):
+        key, cls, parts = k["key"], k["cls"], [np.empty((2, 0), np.int64)]
 
         def close(i, j):
             return sum(np.bitwise_count(k[c][i].view(np.uint64) ^ k[c][j].view(np.uint64)).astype(np.int16) for c in PARTS) <= most
 
-        starts, sizes = _edges(key)
+        _, sizes = _edges(key)
         few = np.repeat(sizes <= SMALL, sizes)
         for o in range(1, SMALL):
             i = np.flatnonzero((key[o:] == key[:-o]) & few[o:])
             i = i[close(i, i + o)]
             parts.append(np.stack((cls[i], cls[i + o])))
-        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            here = np.arange(s, s + n)
-            marks.append(int(key[s]))
-            while len(here) > 1:
-                hit = close(here[1:], here[:1])
-                found = here[1:][hit]
-                parts.append(np.stack((np.full(len(found), cls[here[0]]), cls[found])))
-                here = here[1:][~hit]
-        yield _pairs(parts, marks)
-
-
-def _apart(batches, most: int, tables: int, wide: int, limit: int):
-    """Pairs (a, b) of a bucket that are close on all bits and in different components, each in the first table where both meet: of each
-    class with each other component the `limit` closest ones, and a row (key, null) for a bucket that has more. The largest component
-    meets only the others."""
-    for k in _whole_buckets(batches, {"key": int, "cls": int, "root": int, "fp": bytes}):
-        cls, parts, marks = k["cls"], [], []
+        a, b = np.concatenate(parts, axis=1)
+        yield {"key": [None] * len(a), "a": np.minimum(a, b), "b": np.maximum(a, b)}
+        yield {"key": key[~few], "a": cls[~few], "b": [None] * int((~few).sum())}
+
+
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places of sets that are similar: links that connect all that links between any two of them would connect, and no more than
+    that takes. Sets are compared if nothing connects them yet."""
+    size = np.array([len(s) for s in sets])
+    kinds, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[flat] > 1  # what is in one set only is in no intersection
+    edges = np.concatenate(([0], np.cumsum(shared)))[np.concatenate(([0], np.cumsum(size)))]
+    flat = flat[shared]
+    here, part, links = np.zeros(len(kinds), bool), np.arange(len(sets)), []
+    for j in range(len(sets) - 1):
+        here[flat[edges[j] : edges[j + 1]]] = True
+        for lo in range(j + 1, len(sets), LEAST):
+            i = lo + np.flatnonzero(part[lo : lo + LEAST] != part[j])
+            i = i[100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])]
+            n = edges[i + 1] - edges[i]
+            ends = np.cumsum(n)
+            if len(i) and ends[-1]:
+                hits = np.concatenate(([0], np.cumsum(here[flat[np.repeat(edges[i] - ends + n, n) + np.arange(ends[-1])]])))
+                both = hits[ends] - hits[ends - n]
+                i = i[100 * both >= percent * (size[i] + size[j] - both)]
+                old, first = np.unique(part[i], return_index=True)
+                links += [(j, x) for x in i[first].tolist()]
+                part[np.isin(part, old)] = part[j]
+        here[flat[edges[j] : edges[j + 1]]] = False
+    return links
+
+
+def _within(batches, percent: int):
+    """Links (a, b) that connect the similar classes of each bucket."""
+    for k in _whole_buckets(batches, "key", "cls", "set"):
+        found = [np.empty((0, 2), np.int64)]
         for s, n in zip(*(x.tolist() for x in _edges(k["key"]))):
-            kind, of = np.unique(k["root"][s : s + n], return_inverse=True)
-            more = False
-            for j in np.flatnonzero(of != np.bincount(of).argmax()) if len(kind) > 1 else ():
-                i = np.flatnonzero(of != of[j])
-                differ = k["fp"][s + i] ^ k["fp"][s + j]
-                apart = np.bitwise_count(differ).sum(1, dtype=np.int64)
-                i, differ, apart = (x[apart <= most] for x in (i, differ, apart))
-                if not len(i):
-                    continue
-                segments = np.unpackbits(differ.view(np.uint8), axis=1)[:, CODE : CODE + tables * wide].reshape(len(i), tables, wide)
-                here = segments.any(2).argmin(1) == k["key"][s] >> SHIFT
-                i, apart = i[here], apart[here]
-                order = np.lexsort((cls[s + i], apart, of[i]))
-                group = of[i][order]
-                new = np.flatnonzero(np.diff(group, prepend=-1))
-                place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-                more |= bool((place >= limit).any())
-                i = s + i[order[place < limit]]
-                parts.append(np.stack((cls[i], np.full(len(i), cls[s + j]))))
-            marks += [int(k["key"][s])] * more
-        yield _pairs(parts, marks)
-
-
-def _found(rows: DataFrame, work, *bounds: int) -> DataFrame:
-    rows = rows.repartition("key").sortWithinPartitions("key", "cls")
-    return checkpoint(map_rows(rows, lambda batches: work(batches, *bounds), "a long, b long").distinct())
+            links = forest([np.frombuffer(x, np.uint64) for x in k["set"][s : s + n]], percent)
+            found.append(k["cls"][s + np.array(links, np.int64).reshape(-1, 2)])
+        a, b = np.concatenate(found).T
+        yield {"a": a, "b": b}
 
 
 def _sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -221,8 +213,8 @@ def _sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     return map_rows(rows, work, "cls long, set binary").dropDuplicates(["cls"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that are similar as sets, as a written table. A class of many pairs is a skewed side of a join, which AQE splits."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar as sets. A class of many pairs is a skewed side of a join, which AQE splits."""
 
     def jaccard(batches):
         for b in batches:
@@ -230,30 +222,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             near = np.array([similar(s, t, percent) for s, t in zip(x, y)], bool)
             yield {c: b.column(c).to_numpy()[near] for c in ("a", "b")}
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = checkpoint(_sets(docs, checkpoint(classes.select("cls", "rd", "rk").join(asked, "cls")), words)).hint("merge")  # not through the driver
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-    return checkpoint(map_rows(both.select("a", "b", "x", "y"), jaccard, "a long, b long"))
+    return map_rows(both.select("a", "b", "x", "y"), jaccard, "a long, b long")
 
 
-def components_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, tables: int, wide: int, bits: int) -> DataFrame:
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "cls")
+
+
+def components_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, tables: int, wide: int) -> DataFrame:
     """cls and root of the classes (cls, n, fp, rd, rk) that have links, by links that connect all those that are found and similar."""
-    full = classes.filter("n > 0")
-    found = _found(_buckets(full, tables, wide), _near, most_bits(CODE, percent))
-    links = _verified(found.filter("b is not null"), docs, classes, words, percent)
-    large, limit = found.filter("b is null").select(F.col("a").alias("key")), LEAST
-    roots = components(links).distinct().toDF("cls", "root")
-    while not large.isEmpty():
-        known = full.select("cls", "fp").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        held = _buckets(full, tables, wide).select("key", "cls").join(large, "key", "left_semi").join(known, "cls")
-        found = _found(held, _apart, most_bits(bits, percent), tables, wide, limit)
-        more, large = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("key"))
-        if more.isEmpty():
-            break
-        links = links.union(_verified(more, docs, classes, words, percent))
-        roots = components(links).distinct().toDF("cls", "root")
-        limit *= 8
-    return roots
+    most = most_bits(CODE, percent)
+    found = checkpoint(map_rows(_by_bucket(_buckets(classes.filter("n > 0"), tables, wide)), lambda batches: _near(batches, most), "key long, a long, b long"))
+    pairs, held = found.filter("key is null").select("a", "b").distinct(), found.filter("key is not null").select("key", F.col("a").alias("cls"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(held.select("cls")).distinct()
+    sets = checkpoint(_sets(docs, checkpoint(classes.select("cls", "rd", "rk").join(asked, "cls")), words)).hint("merge")  # not through the driver
+    links = map_rows(_by_bucket(held.join(sets, "cls")), lambda batches: _within(batches, percent), "a long, b long")
+    return components(_verified(pairs, sets, percent).union(links)).distinct().toDF("cls", "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
@@ -269,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     bits = CODE + 64 * math.ceil(tables * wide / 64)
     rows = checkpoint(salted(_signatures(docs, words, bits), "_d", "_k"))
     classes = checkpoint(rows.groupBy("cls").agg(F.min("_d").alias("low"), F.min(F.struct("_k", "_d")).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("cls", "n", "fp", "low", F.col("rep._d").alias("rd"), F.col("rep._k").alias("rk")))
-    roots = components_of(docs, classes, words, percent, tables, wide, bits)
+    roots = components_of(docs, classes, words, percent, tables, wide)
     known = salted(classes.select("cls", "low").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "cls")
     least = per_key(known, ["root"], F.min("low").alias("component_id"))
     by_class = known.join(least, ["root", "_salt"]).select("cls", "component_id")

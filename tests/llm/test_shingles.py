@@ -63,6 +63,42 @@ def test_large_group_of_near_copies(spark, monkeypatch, least):
     assert sorted(r.doc_id for r in kept) == brute(rows) and all(r.cls == "x" for r in kept)
 
 
+def test_a_nearly_similar_group_sends_few_pairs(spark, monkeypatch):
+    """Of 240 variants and a near copy of each, whose other pairs are mostly at 0.76, fewer pairs leave the buckets than classes are in them."""
+    asked, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *args: asked.append(pairs.count()) or verified(pairs, *args))
+    r, rows = np.random.default_rng(5), []
+    for i in range(240):
+        words = [f"w{k}" for k in range(150)]
+        for k in r.choice(29, 2, replace=False):
+            words[5 * int(k) + 4] = f"v{i}-{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, t + " end") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in shingles.keep_one(docs).collect()}
+    assert set(brute(rows)) <= kept <= set(range(240))
+    assert sum(asked) <= 480 * shingles.SMALL
+
+
+@pytest.mark.parametrize("least", [1, 3, 512])
+def test_forest_connects_what_all_pairs_connect(monkeypatch, least):
+    monkeypatch.setattr(shingles, "LEAST", least)
+    r = np.random.default_rng(least)
+    for n in (1, 2, 9, 30, 30, 30):
+        base = r.integers(0, 1 << 63, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate((base[r.random(60) < 0.94], r.integers(0, 1 << 63, r.integers(1, 8)).astype(np.uint64)))) for _ in range(n)]
+
+        def parts(links):
+            part = list(range(n))
+            for i, j in links:
+                part = [part[i] if x == part[j] else x for x in part]
+            return {frozenset(k for k in range(n) if part[k] == x) for x in part}
+
+        links = shingles.forest(sets, 80)
+        assert parts(links) == parts([x for x in itertools.combinations(range(n), 2) if shingles.similar(sets[x[0]], sets[x[1]], 80)])
+        assert len(links) == n - len(parts(links)) and all(shingles.similar(sets[i], sets[j], 80) for i, j in links)
+
+
 def test_ties_nulls_and_repeated_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, long), (5, long), (3, long + " end"), (None, long), (None, "alone with no id at all"), (8, None), (7, ""), (7, None), (9, "x " * 200_000)]
