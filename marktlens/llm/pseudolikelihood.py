@@ -34,6 +34,8 @@ from marktlens.llm.common import checkpoint, folder, map_rows, small_batches, te
 _WORD = re.compile(r"\w+|[^\w\s]")
 #: Remembered words of a task; when full they are forgotten and looked up anew.
 MEMO = 500_000
+#: Characters that a text's pieces have on average at most; longer ones would hardly occur twice.
+LONG = 32
 #: Tokens scored or learned together, and numbers of a parameter vector that are averaged together.
 STEP, CHUNK = 4096, 8192
 #: What a word's count is raised by, and the count of words never seen.
@@ -222,6 +224,23 @@ def targets(ids: bytes, n: int, turn: int, share: int) -> np.ndarray:
     return np.arange((zlib.crc32(ids) + turn) % share, n, share)
 
 
+def pieces(text: str) -> list[str]:
+    """What stands between white space in the lower-cased text: no word reaches across, so that the words of the pieces are those of
+    the text, and a piece that occurs again needs no other look. Where pieces are long, the words (each a piece with itself as its
+    only word)."""
+    text = text.lower()
+    found = text.split()
+    return found if len(text) <= LONG * len(found) else _WORD.findall(text)
+
+
+def words_of(piece: str) -> list[str]:
+    """The words of a piece that isn't empty: mostly it is one, or one with a mark behind it."""
+    if piece.isalnum():
+        return [piece]
+    word, last = piece[:-1], piece[-1]
+    return [word, last] if word.isalnum() and last != "_" else _WORD.findall(piece)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and n: how often each word occurs in all documents."""
     small_batches(docs.sparkSession)
@@ -230,12 +249,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: Counter[str] = Counter()
 
         def flush():
-            yield {"word": list(counts), "n": list(counts.values())}
+            words: dict[str, int] = {}
+            for piece, n in counts.items():
+                for w in words_of(piece):
+                    words[w] = words.get(w, 0) + n
+            yield {"word": list(words), "n": list(words.values())}
             counts.clear()
 
         for b in batches:
             for text in b.column("_t").to_pylist():
-                counts.update(_WORD.findall(text.lower()))
+                counts.update(pieces(text))
                 if len(counts) > MEMO:
                     yield from flush()
         yield from flush()

@@ -166,3 +166,13 @@ def test_every_token_is_a_target(spark):
         pl.Shape(share=3, rounds=2)
     docs = spark.createDataFrame([(i, "red" if i % 2 else "red green") for i in range(6)], "doc_id long, text string")
     assert not np.array_equal(pl.train(docs, shape).network.vector, pl.start(docs, shape).network.vector)
+
+
+def test_words_by_pieces_are_those_of_the_text(spark):
+    """White space of any kind, marks, a sigma at a word's end, long runs without white space; pieces that occur again are counted as such."""
+    texts = ["", " \n", "Don't stop_it, it's 5.0! a_ _", "\u039f\u0394\u039f\u03a3 \u0391\u03a3. a\u3000b\u2028c\x1cd\x85e\u00a0f\u200bg", "e\u0301t\u00e9 e\u0301 \u0130X \u00b2 \u0663", "x" * 500 + "-" + "y" * 500, "a,b " * 50]
+    want = [pl._WORD.findall(t.lower()) for t in texts]
+    assert [[w for p in pl.pieces(t) for w in pl.words_of(p)] for t in texts] == want
+    assert pl.pieces(texts[-1]) == ["a,b"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.word: r.n for r in pl.word_counts(docs).collect()} == Counter(w for words in want for w in words)
