@@ -30,6 +30,13 @@ def test_gs_detail():
     assert (card["emails"], card["email"], card["fax"], card["phones"], card["socials"], card["children"], card["websites"]) == (["c@d.de", "e@f.de"], "c@d.de", ["Fax 12"], ["Ruf: 0123 / 4567"], ["https://s.de/1"], ["/1"], [])
 
 
+@pytest.mark.parametrize("code, plz", [("", ""), ("00012", "00012"), ("D-00012", "D-00012"), ("00012,", "00012,")])
+def test_streets_with_five_digits_are_no_code(code, plz):
+    parts = "".join(f'<span class="mod-TeilnehmerKopf__adresse-daten">{p}</span>' for p in ("Weg 12345, ", code, "Ort"))
+    card = catalogs.gs_detail(f'<h1 class="mod-TeilnehmerKopf__name">A</h1><address class="mod-TeilnehmerKopf__adresse">{parts}</address>')
+    assert (card["street"], card["plz"], card["city"]) == ("Weg 12345", plz, "Ort")
+
+
 def test_index_pages_keep_to_their_code():
     one = lambda n, town: f'<article class="mod mod-Treffer"><a href="/other">o</a><a href="https://g.de/gsbiz/{n}">l</a><h2 class="mod-Treffer__name">N{n}</h2><span class="mod-AdresseKompakt__adress__ort">{town}</span></article>'
     html = one(1, "12345 Ort") + one(2, "99999 Ort") + one(1, "12345 Ort") + one(3, "Ort") + '<article class="mod mod-Treffer">no link</article>'
