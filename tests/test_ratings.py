@@ -30,3 +30,10 @@ def test_best_rates_are_found_by_set_of_cities(spark):
     df = aggregates.plz_best_rate(rated, held)
     assert in_order(df.select("task_id", "plz", "rate")) == in_order(plainly(rated, held).select("task_id", "plz", "rate"))
     assert not any("task_id" in by and "plz" in by for by in aggregated(df))
+
+
+def test_rated_places_are_counted_by_set_of_cities(spark):
+    rated, _, held, _ = tables(spark)
+    df = aggregates.rated_places(rated, held)
+    assert in_order(df) == in_order(plainly(rated, held).groupBy("task_id").agg(F.countDistinct("plz").alias("places")))
+    assert not any("task_id" in by and "plz" in by for by in aggregated(df))
