@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from marktlens.operators import aggregates
+from marktlens.plans import expansion
 
 
 def tables(spark):
@@ -37,3 +39,19 @@ def test_rated_places_are_counted_by_set_of_cities(spark):
     df = aggregates.rated_places(rated, held)
     assert in_order(df) == in_order(plainly(rated, held).groupBy("task_id").agg(F.countDistinct("plz").alias("places")))
     assert not any("task_id" in by and "plz" in by for by in aggregated(df))
+
+
+def pairs(spark):
+    rated, branches, held, plz = tables(spark)
+    places = plainly(rated, held).join(plz, "plz").select("task_id", F.col("id").alias("plz_id"), F.col("rate").alias("r"))
+    return places.join(branches.filter("rate is not null"), "task_id").select("task_id", "plz_id", "branch_id", (F.col("r") * F.col("rate")).cast("long").alias("score"))
+
+
+@pytest.mark.parametrize("keep", [1, 2, 3, 5, 8, 100])
+def test_best_pairs_are_ranked_by_set_of_cities(spark, keep):
+    df = expansion.expand_pairs(*tables(spark), keep)
+    every = {}
+    for r in sorted(pairs(spark).collect(), key=lambda r: (r.task_id, r.score, r.plz_id, r.branch_id)):
+        every.setdefault(r.task_id, []).append(r)
+    assert in_order(df.select("task_id", "plz_id", "branch_id", "score", "rn")) == sorted(((*r, n) for of in every.values() for n, r in enumerate(of[:keep], 1)), key=repr)
+    assert not any("task_id" in by and "plz" in by for by in aggregated(df))
