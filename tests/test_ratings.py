@@ -55,3 +55,9 @@ def test_best_pairs_are_ranked_by_set_of_cities(spark, keep):
         every.setdefault(r.task_id, []).append(r)
     assert in_order(df.select("task_id", "plz_id", "branch_id", "score", "rn")) == sorted(((*r, n) for of in every.values() for n, r in enumerate(of[:keep], 1)), key=repr)
     assert not any("task_id" in by and "plz" in by for by in aggregated(df))
+
+
+def test_all_pairs_are_counted_by_set_of_cities(spark):
+    df = expansion.pair_figures(*tables(spark))
+    assert in_order(df) == in_order(pairs(spark).groupBy("task_id").agg(F.count("*").alias("pairs"), F.min("score").alias("least")))
+    assert not any("task_id" in by and "plz" in by for by in aggregated(df))
