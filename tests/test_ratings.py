@@ -61,3 +61,9 @@ def test_all_pairs_are_counted_by_set_of_cities(spark):
     df = expansion.pair_figures(*tables(spark))
     assert in_order(df) == in_order(pairs(spark).groupBy("task_id").agg(F.count("*").alias("pairs"), F.min("score").alias("least")))
     assert not any("task_id" in by and "plz" in by for by in aggregated(df))
+
+
+def test_pairs_are_not_shuffled(spark):
+    plan = expansion.expand_pairs(*tables(spark))._jdf.queryExecution().executedPlan().toString().splitlines()
+    places = next(i for i, line in enumerate(plan) if "BroadcastHashJoin [cities" in line)
+    assert not [line for line in plan[:places] if "Exchange" in line]
