@@ -91,17 +91,19 @@ def queued(t: Tables) -> DataFrame:
 
 
 def worked_off(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str]:
-    """The queue in four files of ascending ids, each one claim, worked off into the shared folder."""
+    """The queue in four parts of ascending ids, each one claim, worked off into the shared folder. Cards are made once, and a part is queued and
+    claimed in as many files as it was made in."""
     root = shared_folder(spark)
-    cards = queued(Tables(spark, sf_dir))
+    queued(Tables(spark, sf_dir)).write.parquet(f"{root}/cards")
+    cards = spark.read.parquet(f"{root}/cards")
     most = cards.agg(F.max("id")).first()[0] or 0
-    for k in range(CUTS):  # one after another, so that their times tell their order
-        cards.filter(F.expr(f"id * {CUTS} div {most + 1} = {k}")).coalesce(1).write.mode("append").parquet(f"{root}/queue")
-    rows = spark.readStream.schema(cards.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/queue")
     verdict = resolution.verdict(F.col("email"))
     reason = F.when(verdict == "EMPTY", "no address").when(verdict == "INVALID", "bad address").when(F.col("cb_id").isNull(), "no pair")
     fold = lambda held, good: resolution.resolve(good) if held is None else resolution.resolve_into(held, good)
-    claims.work_off(rows, f"{root}/work", "email", reason, fold, f"{root}/state").awaitTermination()
+    for k in range(CUTS):  # what is new in the queue is one claim
+        cards.filter(F.expr(f"id * {CUTS} div {most + 1} = {k}")).write.mode("append").parquet(f"{root}/queue")
+        rows = spark.readStream.schema(cards.schema).parquet(f"{root}/queue")
+        claims.work_off(rows, f"{root}/work", "email", reason, fold, f"{root}/state").awaitTermination()
     return spark, f"{root}/work"
 
 
