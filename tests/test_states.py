@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marktlens.operators import merge
 from marktlens.plans import entries, pacing
 from marktlens.streaming import claims, expiring
+from tests.compare import SF
 
 START = dt.datetime(2024, 1, 1)
 H = expiring.HOUR
@@ -157,3 +158,18 @@ def test_letters_keep_to_windows(spark):
     at = [(r.campaign_id, r.rn, r.at.strftime("%d %H:%M")) for r in got]
     # 16 + 9 minutes on Monday, 5 on Wednesday, 20 + 9 on the next (a holiday's Monday has no window)
     assert at == [(1, 1, "02 09:04"), (1, 2, "02 09:11"), (1, 3, "02 09:18"), (1, 4, "02 23:55"), (1, 5, "04 10:03")]
+
+
+def test_queued_cards_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(i):
+        made.add(1)
+        return i
+
+    rows = [(i, i % 3, f"a{i % 2}@b.de", "A", "Ort", None, [str(i)], [], [], "T") for i in range(1, 13)]
+    cards = spark.createDataFrame(rows, "id long, cb_id long, email string, company_name string, city string, land string, phones array<string>, websites array<string>, categories array<string>, description string")
+    monkeypatch.setattr(entries, "queued", lambda t: cards.withColumn("id", seen("id")))
+    spark, root = entries.worked_off(spark, SF)
+    assert made.value == 12 and [tuple(r) for r in claims.ledger(spark, root).orderBy("batch").collect()] == [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0)]
