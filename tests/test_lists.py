@@ -1,4 +1,5 @@
 from marktlens.operators import ranking
+from marktlens.plans import lists
 
 
 
@@ -20,3 +21,11 @@ def test_best_pairs_meet_their_contacts_where_their_task_is(spark, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
     made = next(i for i, line in enumerate(plan) if "explode(_contacts" in line)
     assert not [line for line in plan[:made] if "Exchange" in line]
+
+
+def test_lists_are_rebuilt_in_one_join(spark):
+    old = spark.createDataFrame([(1, 1, 7, 1, 50), (1, 2, 7, 1, None), (1, 3, 7, 1, None), (1, 4, 7, 1, 9), (None, 1, 7, 1, None), (None, 2, 7, 1, 3)], "task_id long, contact_id long, cb_id long, rate_cb int, rate int")
+    new = spark.createDataFrame([(1, 1, 7, 1), (1, 2, 8, 1), (1, 5, 7, None)], "task_id long, contact_id long, cb_id long, rate_cb int")
+    df = lists.rebuild(old, new, "2020-01-01")
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted([(1, 1, 7, 1, 50, "keep"), (1, 2, 8, 1, None, "update"), (1, 4, 7, 1, 9, "keep"), (1, 5, 7, None, None, "insert"), (None, 2, 7, 1, 3, "keep")], key=repr)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
