@@ -53,3 +53,11 @@ def test_odd_pages(spark, catalog):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<h1>x"), (4, "u", "<" * 5000)], "page_id long, url string, html string")
     assert [r.company_name for r in catalogs.details(df, catalog).collect()] == ([] if catalog == "gs" else ["x"])
     assert catalogs.index_cards(df, catalog).collect() == [] and catalogs.details(df.filter("false"), catalog).collect() == []
+
+
+def test_cards_of_an_index_page_look_at_what_is_within_them(monkeypatch):
+    looked, within = [], blocks.Found.within
+    monkeypatch.setattr(blocks.Found, "within", lambda self, other: looked.append(1) or within(self, other))
+    one = '<article class="mod mod-Treffer"><a href="https://g.de/gsbiz/{}">l</a><h2 class="mod-Treffer__name">N{}</h2></article>'
+    found, _ = catalogs.gs_index("".join(one.format(i, i) for i in range(200)))
+    assert [c["company_name"] for c in found] == [f"N{i}" for i in range(200)] and len(looked) <= 200 * 8
