@@ -242,3 +242,10 @@ def test_answers(spark):
     assert [one(spark, v, text.json_object(F.col("v")))[0] for v in (None, " ", "[1]", '{"a": 1}', "{")] == ["{}", "{}", "{}", '{"a": 1}', "{}"]
     with pytest.raises(Exception, match="no JSON object"):
         one(spark, "[1]", text.json_object(F.col("v"), strict=True))
+
+
+def test_headers_that_mails_share_are_parsed_once():
+    raw = b"From: a@x.de\r\nDate: Thu, 17 Apr 2025 10:30:00 +0200\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nHallo\r\n"
+    first, before = mails.read(raw), mails.POLICY.header_factory.cache_info().misses
+    assert all(mails.read(raw) == first for _ in range(20)) and mails.POLICY.header_factory.cache_info().misses == before
+    assert mails.read(raw.replace(b"a@x", b"b@x"))[2]["from"] == "b@x.de" and mails.read(raw)[2]["from"] == "a@x.de"
